@@ -1,0 +1,9 @@
+import __spark_entry__ as entry
+
+
+def test_entry_has_rows(spark):
+    assert entry.entry(spark).count() > 0
+
+
+def test_every_sql_has_its_query():
+    assert set(entry.oracle_sql()) <= set(entry.queries())
