@@ -1,0 +1,82 @@
+import base64
+import hashlib
+import json
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+import __spark_entry__ as entry
+from sheafwork.llm import secret_scan as s
+
+
+def der(tag, *parts):
+    body = b"".join(parts)
+    size = bytes([len(body)]) if len(body) < 128 else bytes([0x80 | (n := (len(body).bit_length() + 7) // 8)]) + len(body).to_bytes(n, "big")
+    return bytes([tag]) + size + body
+
+
+PKCS1 = der(0x30, der(2, b"\0"), *[der(2, bytes([i + 1]) * 40) for i in range(8)])
+SSH_FIELD = lambda b: len(b).to_bytes(4, "big") + b
+SSH = b"openssh-key-v1\0" + SSH_FIELD(b"none") + SSH_FIELD(b"none") + SSH_FIELD(b"") + (1).to_bytes(4, "big") + SSH_FIELD(b"p" * 51) + SSH_FIELD(b"k" * 90)
+B64 = lambda b: base64.b64encode(b).decode()
+JWT = ".".join(base64.urlsafe_b64encode(x).decode().rstrip("=") for x in (json.dumps({"alg": "HS256"}).encode(), json.dumps({"sub": 1}).encode(), b"signature-bytes"))
+
+
+def plain_base(text):
+    """The contract's patterns as they stand, without any shortcut."""
+    text = text or ""
+    out = [("assign", m.start(), m.end()) for m in re.finditer(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text) if len(m[2]) >= 12]
+    out += [("access", m.start(), m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+    out += [("hex", m.start(), m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16]
+    return sorted(out, key=lambda x: (x[1], s.KINDS.index(x[0])))
+
+
+@pytest.mark.parametrize(
+    "text, kinds",
+    [
+        ("key " + B64(PKCS1) + " end", ["der_key"]),
+        ("x " + PKCS1.hex() + " y", ["hex", "hex_key"]),
+        ("-----BEGIN RSA PRIVATE KEY-----\n" + "\n".join(re.findall(".{1,64}", B64(PKCS1))) + "\n-----END RSA PRIVATE KEY-----", ["pem_key"]),
+        ("é " + B64(SSH), ["ssh_key"]),
+        ("Bearer " + JWT + ".", []),
+        ("Bearer " + JWT + " ok", ["jwt"]),
+        (B64(b"user=bob password=abcdefghijklmnop"), ["encoded"]),
+        (B64(PKCS1[:-1]), []),
+        (B64(b"\x30" + bytes(range(80))), []),
+        ("aaaaaaaaaa.bbbbbbbb.cc", []),
+        ("", []),
+        (None, []),
+    ],
+)
+def test_structures(text, kinds):
+    assert [k for k, _, _ in s.all_spans(text)] == kinds
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["password: secret: abcdefghijklmnop", "API_KEY='AKIA" + "Z" * 20, "toKen=abcdefghijklmnop", "ToKeN=short token=\"abcdefghijkl\"", "f" * 15 + " " + "0" * 16, "AKIAAKIA" + "A" * 13, "🙂 passwd = x.y=z-0123456789ab\n\n" * 3, "secret=" + "q" * 100_000],
+)
+def test_base_equals_the_patterns(text):
+    assert [x for x in s.all_spans(text) if x[0] in s.BASE_KINDS] == plain_base(text)
+
+
+def test_query_against_brute_force(spark):
+    d = "/root/testdata/sf0.001"
+    rows = entry.queries()["op4_secret_scans"](spark, d).collect()
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    assert len(rows) == len(texts)
+    joined = lambda spans: ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+    for r in rows:
+        base = plain_base(texts[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(joined(base).encode()).hexdigest()
+        assert [r.n_assign, r.n_access, r.n_hex] == [sum(k == x for k, _, _ in base) for x in s.BASE_KINDS]
+        assert {joined([b]) for b in base} <= set(r.spans.split(","))
+
+
+def test_rows_columns_and_redaction(spark):
+    rows = [(1, "token=abcdefghijklmnop é", "a"), (1, "token=abcdefghijklmnop é", "a"), (None, None, "b"), (3, "clean", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, secret_spans string")
+    assert [(r.doc_id, len(r.secret_spans)) for r in s.scan(docs).collect()] == [(1, 1), (1, 1), (None, 0), (3, 0)]
+    assert [r.text for r in s.redact(docs).collect()] == ["[SECRET] é", "[SECRET] é", None, "clean"]
+    assert s.scan(docs.where(F.lit(False))).count() == 0
