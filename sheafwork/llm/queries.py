@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheafwork.llm import secret_scan
+from sheafwork.llm import piece_codec, secret_scan, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -43,3 +44,24 @@ def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(_joined(base), 256).alias("base_sha256"),
         _joined(spans).alias("spans"),
     )
+
+
+@_query
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    file = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return token_counts.with_tail_sums(token_counts.length_histogram(docs, file, public_tokenizers.PATTERN))
+
+
+@_query
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    ids = docs.select("doc_id", piece_codec.encode_ids(F.col("text"), model).alias("ids"))
+    texts = ids.withColumn("decoded", piece_codec.decode_ids(F.col("ids"), model))
+    return texts.select(
+        "doc_id",
+        piece_codec.n_ids(F.col("ids")).alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
