@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheafwork.llm import piece_codec, secret_scan, token_counts
+from sheafwork.llm import language_id, piece_codec, secret_scan, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -65,3 +65,16 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+def held_out(doc_id: Column) -> Column:
+    """The fold that nothing is learned from."""
+    return F.crc32(doc_id.cast("string")) % 5 == 0
+
+
+@_query
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    profiles = language_id.collect_profiles(language_id.learn(docs.where(~held_out(F.col("doc_id")))))
+    predicted = language_id.identify(docs.select("doc_id", "text"), profiles)
+    return predicted.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score")
