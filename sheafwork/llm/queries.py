@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheafwork.llm import language_id, piece_codec, secret_scan, token_counts
+from sheafwork.llm import html_extract, language_id, piece_codec, secret_scan, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -78,3 +78,9 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     profiles = language_id.collect_profiles(language_id.learn(docs.where(~held_out(F.col("doc_id")))))
     predicted = language_id.identify(docs.select("doc_id", "text"), profiles)
     return predicted.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+@_query
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = html_extract.extract_pages(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
