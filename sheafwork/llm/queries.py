@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheafwork.llm import html_extract, language_id, piece_codec, secret_scan, token_counts
+from sheafwork.llm import html_extract, language_id, piece_codec, secret_scan, token_counts, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -84,3 +84,25 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = html_extract.extract_pages(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return pages.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+@_query
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archive = warc.write(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return warc.resolved(warc.read(archive)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLE["op5_warc"] = """
+WITH p AS (
+    SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS hex,
+           min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first_id
+    FROM pages
+)
+SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes,
+       list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 +
+           ((CAST('0x' || substr(hex, CAST(1 + 5 * (i // 4) AS INTEGER), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31) AS INTEGER), 1)),
+           'string_agg', '') AS payload_digest,
+       CASE WHEN first_id < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first_id < page_id THEN first_id END AS refers_to
+FROM p
+"""
