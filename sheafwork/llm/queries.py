@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheafwork.llm import html_extract, language_id, piece_codec, secret_scan, token_counts, warc
+from sheafwork.llm import html_extract, language_id, near_dup, piece_codec, secret_scan, token_counts, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -106,3 +106,8 @@ SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes,
        CASE WHEN first_id < page_id THEN first_id END AS refers_to
 FROM p
 """
+
+
+@_query
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(_table(spark, sf_dir, "documents"), words=3, percent=85)
