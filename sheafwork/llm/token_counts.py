@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Lengths in a range of the two-level sums.
-RANGE = 4096
+RANGE = 128
 
 
 @lru_cache(maxsize=4)
