@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheafwork.llm import decontam, html_extract, language_id, near_dup, piece_codec, secret_scan, token_counts, warc
+from sheafwork.llm import decontam, html_extract, language_id, license_scan, near_dup, piece_codec, secret_scan, token_counts, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -152,3 +152,61 @@ SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM w LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
 """
+
+
+@_query
+def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = _table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
+    finite = ~F.exists("x", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+    vectors = raw.where(F.col("x").isNotNull() & finite).select("vec_id", F.transform("x", lambda v: F.floor(64 * v)).alias("vector"))
+    return topk.top_k(vectors, vectors.where("vec_id % 20 = 0"), 20)
+
+
+ORACLE["op1_topk_search"] = """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+    SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+    FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id AND len(c.e) = len(q.e)
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY rank <= 20
+"""
+
+
+@_query
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(_table(spark, sf_dir, "documents"))
+    return found.withColumn("dice", F.round("dice", 6))
+
+
+def _licence_sql() -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    rows = ", ".join(f"({k}, {quoted(name)}, {quoted(text)})" for k, (name, text) in enumerate(license_scan.TEMPLATES))
+    words = r"list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
+    pairs = "unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS bigram"
+    blank = r"(?:\r\n?|\n)[ \t]*(?:\r\n?|\n)\s*"
+    parts = lambda kind, pattern: (
+        f"SELECT doc_id, '{kind}', unnest(range(len(l))), unnest(l) FROM (SELECT doc_id, string_split_regex(text, '{pattern}') AS l FROM documents) WHERE len(l) > 1"
+    )
+    return rf"""
+    WITH t AS (SELECT template, licence, {words} AS w FROM (VALUES {rows}) v(template, licence, text)),
+    tn AS (SELECT template, licence, size, bigram, count(*) AS n
+           FROM (SELECT template, licence, len(w) - 1 AS size, {pairs} FROM t) GROUP BY ALL),
+    u AS (SELECT doc_id, 'text' AS kind, 0 AS place, text FROM documents
+          UNION ALL {parts("paragraph", blank)} UNION ALL {parts("line", r"\r?\n|\r")}),
+    uw AS (SELECT doc_id, kind, place, {words} AS w FROM u),
+    un AS (SELECT doc_id, kind, place, unit_size, bigram, count(*) AS times
+           FROM (SELECT doc_id, kind, place, len(w) - 1 AS unit_size, {pairs} FROM uw WHERE len(w) > 1) GROUP BY ALL),
+    s AS (SELECT doc_id, kind, place, template, licence, unit_size, size AS template_size, sum(least(times, n)) AS shared
+          FROM un JOIN tn USING (bigram) GROUP BY ALL),
+    d AS (SELECT *, 2.0 * shared / (unit_size + template_size) AS dice FROM s)
+    SELECT doc_id, kind, CAST(place AS INTEGER) AS place, licence, CAST(shared AS BIGINT) AS shared, CAST(unit_size AS INTEGER) AS unit_size,
+           CAST(template_size AS INTEGER) AS template_size, round(CAST(dice AS DOUBLE), 6) AS dice
+    FROM d WHERE dice >= {license_scan.THRESHOLD}
+    QUALIFY row_number() OVER (PARTITION BY doc_id, kind, place ORDER BY dice DESC, template) = 1
+    """
+
+
+ORACLE["op6_license_scan"] = _licence_sql()
