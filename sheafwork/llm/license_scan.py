@@ -83,7 +83,7 @@ def templates(spark: SparkSession, texts: tuple[tuple[str, str], ...] = TEMPLATE
     """(template, licence, size, bigram, n): each template's bigrams and how often it has each."""
     rows = F.array(*(F.struct(F.lit(k).alias("template"), F.lit(name).alias("licence"), F.lit(text).alias("text")) for k, (name, text) in enumerate(texts)))
     each = spark.range(1).select(F.explode(rows).alias("t")).select("t.*").withColumn("w", words(F.col("text"))).where("size(w) > 1")
-    found = each.select("template", "licence", (F.size("w") - 1).alias("size"), F.explode(bigrams(F.col("w"))).alias("bigram"))
+    found = each.select("template", "licence", (F.size("w") - 1).alias("size"), F.explode_outer(bigrams(F.col("w"))).alias("bigram"))
     return found.groupBy("template", "licence", "size", "bigram").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -91,19 +91,24 @@ def units(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     """(doc_id, row, kind, place, w): the units of each document and their words; kind is text, paragraph or line. row
     tells documents' rows apart."""
     body = F.col("text")
+    none = F.array().cast("array<struct<kind:string,place:int,w:array<string>>>")
 
     def parts(kind: str, pieces: Column) -> Column:
-        return F.transform(pieces, lambda x, k: F.struct(F.lit(kind).alias("kind"), k.alias("place"), x.alias("unit")))
-
-    lines, paragraphs = F.split(body, r"\r?\n|\r"), F.split(body, r"(?:\r\n?|\n)[ \t]*(?:\r\n?|\n)\s*")
-    found = F.concat(
-        parts("text", F.array(body)),
-        F.when(F.size(paragraphs) > 1, parts("paragraph", paragraphs)).otherwise(parts("paragraph", F.array().cast("array<string>"))),
-        F.when(F.size(lines) > 1, parts("line", lines)).otherwise(parts("line", F.array().cast("array<string>"))),
-    )
+        return F.transform(pieces, lambda w, k: F.struct(F.lit(kind).alias("kind"), k.alias("place"), w.alias("w")))
+
+    def of_lines(lines: Column) -> Column:
+        """A word spans no line end, so the lines' words are the whole text's."""
+        return F.concat(parts("text", F.array(F.flatten(lines))), F.when(F.size(lines) > 1, parts("line", lines)).otherwise(none))
+
+    # Words are formed once, before the rows are exploded: a projection of them would be copied into each test of them.
+    lines = F.transform(F.split(body, r"\r?\n|\r"), words)
+    found = F.flatten(F.transform(F.array(lines), of_lines))
+    break_ = r"(?:\r\n?|\n)[ \t]*(?:\r\n?|\n)"
+    paragraphs = F.filter(F.array(F.transform(F.split(body, break_ + r"\s*"), words)), lambda p: F.size(p) > 1)
+    found = F.concat(found, F.when(body.rlike(break_), F.flatten(F.transform(paragraphs, lambda p: parts("paragraph", p)))).otherwise(none))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(body.isNotNull())
-    each = rows.select("doc_id", F.monotonically_increasing_id().alias("row"), F.explode(found).alias("u"))
-    return each.select("doc_id", "row", "u.kind", "u.place", words(F.col("u.unit")).alias("w"))
+    each = rows.select("doc_id", F.monotonically_increasing_id().alias("row"), F.explode_outer(found).alias("u"))
+    return each.select("doc_id", "row", "u.kind", "u.place", "u.w")
 
 
 def scan(docs: DataFrame, known: DataFrame | None = None, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -118,7 +123,7 @@ def scan(docs: DataFrame, known: DataFrame | None = None, threshold: float = THR
     for size in sizes:
         allowed = allowed | ((n >= least * size) & (n <= most * size))
     fit = units(docs, doc_id, text).where((F.size("w") > 1) & allowed)
-    own = fit.select("doc_id", "row", "kind", "place", n.alias("unit_size"), F.explode(bigrams(F.col("w"))).alias("bigram"))
+    own = fit.select("doc_id", "row", "kind", "place", n.alias("unit_size"), F.explode_outer(bigrams(F.col("w"))).alias("bigram"))
     met = own.join(F.broadcast(known), "bigram").where((F.col("unit_size") >= least * F.col("size")) & (F.col("unit_size") <= most * F.col("size")))
     place = ["doc_id", "row", "kind", "place", "unit_size", "template", "licence", "size"]
     counted = met.groupBy(*place, "bigram", "n").agg(F.count(F.lit(1)).alias("times"))
