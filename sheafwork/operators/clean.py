@@ -28,17 +28,18 @@ def _empty(cell: Column, markers: tuple[str, ...]) -> Column:
 def column_kinds(records: DataFrame, fields: list[str], markers: tuple[str, ...] = c.EMPTY_MARKERS, this_year: int | None = None) -> dict[str, str]:
     """number, date or text for each place of records.values, by all its filled values: one that doesn't fit makes it
     text; nothing filled is text. One aggregate for all fields."""
-    tests = []
+    seen, tests = [], []
     for k in range(len(fields)):
         cell = F.col("values")[k]
-        filled = ~_empty(cell, markers)
+        seen += [(~_empty(cell, markers)).alias(f"filled_{k}"), _number(cell).alias(f"number_{k}"), _date(cell, this_year).isNotNull().alias(f"date_{k}")]
+        filled, number = F.col(f"filled_{k}"), F.col(f"number_{k}")
         tests += [
             F.count_if(filled).alias(f"filled_{k}"),
-            F.count_if(filled & _number(cell).isNotNull()).alias(f"number_{k}"),
-            F.count_if(filled & _date(cell, this_year).isNotNull()).alias(f"date_{k}"),
-            F.count_if(filled & c.let(_number(cell), lambda x: F.coalesce(x != F.floor(x), F.lit(False)))).alias(f"parts_{k}"),
+            F.count_if(filled & number.isNotNull()).alias(f"number_{k}"),
+            F.count_if(filled & F.col(f"date_{k}")).alias(f"date_{k}"),
+            F.count_if(filled & (number != F.floor(number))).alias(f"parts_{k}"),
         ]
-    row = records.agg(*tests).first()
+    row = records.select(*seen).agg(*tests).first()
     kinds = {}
     for k, name in enumerate(fields):
         filled = row[f"filled_{k}"]

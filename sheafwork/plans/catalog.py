@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sheafwork.functions import cleaning, masking, names
+from sheafwork.operators import align, clean, headers, validate
+from sheafwork.plans import ask, store
+from sheafwork.plans.consolidate import Engine, Settings
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -57,3 +63,471 @@ def union_by_name_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("s_suppkey").alias("src_row"),
     )
     return customer.unionByName(supplier, allowMissingColumns=True)
+
+
+# Cleaning functions over values written in different ways.
+
+DIGITS, WIDE_DIGITS = "0123456789", "０１２３４５６７８９"
+
+
+@query(
+    """
+    SELECT l_orderkey, l_linenumber,
+           CASE l_linenumber % 6 WHEN 0 THEN q * 10000.0 WHEN 1 THEN q WHEN 2 THEN q / 100.0 WHEN 3 THEN q WHEN 4 THEN 1000.0 + q END AS parsed
+    FROM (SELECT *, CAST(CAST(l_quantity AS INTEGER) AS DOUBLE) AS q FROM lineitem)
+    """
+)
+def parse_number_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = F.col("l_quantity").cast("int").cast("string")
+    written = (
+        F.when(F.col("l_linenumber") % 6 == 0, F.concat(q, F.lit(" 万元")))
+        .when(F.col("l_linenumber") % 6 == 1, F.concat(F.lit("￥"), q))
+        .when(F.col("l_linenumber") % 6 == 2, F.concat(q, F.lit("%")))
+        .when(F.col("l_linenumber") % 6 == 3, F.translate(q, DIGITS, WIDE_DIGITS))
+        .when(F.col("l_linenumber") % 6 == 4, F.concat(F.lit("1,0"), F.lpad(q, 2, "0")))
+        .otherwise(F.concat(F.lit("约"), q))
+    )
+    parsed = cleaning.parse_number(written, compatibility=False).cast("double")
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", parsed.alias("parsed"))
+
+
+@query(
+    """
+    SELECT o_orderkey, CAST(CASE WHEN o_orderkey % 6 < 4 THEN CAST(o_orderdate AS DATE)
+        WHEN o_orderkey % 6 = 4 AND NOT (month(o_orderdate) = 2 AND day(o_orderdate) = 29) THEN make_date(2026, month(o_orderdate), day(o_orderdate)) END AS VARCHAR) AS parsed
+    FROM orders
+    """
+)
+def parse_date_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    day, kind = F.col("o_orderdate").cast("date"), F.col("o_orderkey") % 6
+    written = (
+        F.when(kind == 0, F.date_format(day, "yyyy/M/d"))
+        .when(kind == 1, F.translate(F.concat(F.year(day), F.lit("年 "), F.month(day), F.lit("月"), F.day(day), F.lit("日")), DIGITS, WIDE_DIGITS))
+        .when(kind == 2, F.date_format(day, "yyyyMMdd"))
+        .when(kind == 3, F.datediff(day, F.lit("1899-12-30").cast("date")).cast("string"))
+        .when(kind == 4, F.date_format(day, "M-d"))
+        .otherwise("2026-02-30")
+    )
+    return table(spark, sf_dir, "orders").select("o_orderkey", cleaning.parse_date(written, 2026, compatibility=False).cast("string").alias("parsed"))
+
+
+@query(
+    """
+    SELECT p_partkey, CAST(CASE WHEN d BETWEEN DATE '1970-01-01' AND DATE '2100-12-31' THEN CAST(d AS DATE) END AS VARCHAR) AS serial_date
+    FROM (SELECT p_partkey, DATE '1899-12-30' + CAST(p_size * 2000 AS INTEGER) AS d FROM part)
+    """
+)
+def excel_serial(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", cleaning.from_excel_serial(F.col("p_size") * 2000).cast("string").alias("serial_date"))
+
+
+@query(
+    r"""
+    SELECT doc_id, length(t) AS n_chars_left, sha256(t) AS text_sha256 FROM (
+        SELECT doc_id, trim(translate(text, 'ＡＢＣ０１２' || ' ' || chr(12288) || chr(160) || chr(8203) || chr(8204) || chr(8205) || chr(9) || chr(13) || chr(10), 'ABC012')) AS t FROM documents)
+    """
+)
+def fullwidth_translate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = cleaning.normalize_text(F.col("text"), compatibility=False)
+    return table(spark, sf_dir, "documents").select("doc_id", F.char_length(text).cast("long").alias("n_chars_left"), F.sha2(text, 256).alias("text_sha256"))
+
+
+@query()
+def nfkc_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", cleaning.normalize_text(F.col("text")).alias("text"))
+
+
+# Masks.
+
+
+@query(
+    r"""
+    SELECT c_custkey, '138****' || lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0') AS phone,
+           '3301**********' || lpad(CAST(c_custkey % 1000 AS VARCHAR), 3, '0') || 'X' AS id_card,
+           '************' || lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0') AS bank_card,
+           'c***@example.com' AS email, substr(c_name, 1, 1) || repeat('*', length(c_name) - 1) AS name
+    FROM customer
+    """
+)
+def mask_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key, four = F.col("c_custkey"), F.lpad((F.col("c_custkey") % 10000).cast("string"), 4, "0")
+    raw = table(spark, sf_dir, "customer").select(
+        key,
+        F.concat(F.lit("1380000"), four).alias("phone"),
+        F.concat(F.lit("33010219900101"), F.lpad((key % 1000).cast("string"), 3, "0"), F.lit("X")).alias("id_card"),
+        F.concat(F.lit("6222 0212-3456"), four).alias("bank_card"),
+        F.concat(F.lit("customer."), key, F.lit("@example.com")).alias("email"),
+        F.col("c_name").alias("name"),
+    )
+    masked = [masking.mask_text(F.col(c)).alias(c) for c in ("phone", "id_card", "bank_card", "email")]
+    return raw.select("c_custkey", *masked, masking.mask_name(F.col("name")).alias("name"))
+
+
+@query(
+    r"""
+    SELECT conv_id, turn, regexp_replace(regexp_replace(text, '(^|[^0-9])(1[3-9][0-9])[0-9]{4}([0-9]{4})($|[^0-9])', '\1\2****\3\4', 'g'),
+           '([A-Za-z0-9._%+-])[A-Za-z0-9._%+-]*(@[A-Za-z0-9.-]+\.[A-Za-z]{2,})', '\1***\2', 'g') AS masked
+    FROM conversations
+    """
+)
+def masked_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", masking.mask_text(F.col("text"), {"mask_phone", "mask_email"}).alias("masked"))
+
+
+# Field names.
+
+HEADERS = (("单位", "姓名", "学生数"), ("姓名", " 单 位", "学生数"), ("No.", "Name", "TOTAL"), ("total", "no.", "name", ""))
+
+
+@query(
+    "SELECT n, left(sha256(s), 32) AS signature FROM (VALUES "
+    + ", ".join(f"({k}, '{chr(31).join(sorted(''.join(x.split()).lower() for x in h if x.strip()))}')" for k, h in enumerate(HEADERS))
+    + ") v(n, s)"
+)
+def header_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(k, list(h)) for k, h in enumerate(HEADERS)], "n int, names array<string>")
+    return rows.select("n", names.signature(F.col("names")).alias("signature"))
+
+
+@query(
+    """
+    WITH n AS (SELECT n_name AS name FROM nation UNION ALL SELECT r_name FROM region),
+    s AS (SELECT name, list_distinct(string_split(name, '')) AS c FROM n)
+    SELECT a.name AS left_name, b.name AS right_name,
+           CAST(len(list_intersect(a.c, b.c)) AS DOUBLE) / len(list_distinct(list_concat(a.c, b.c))) AS likeness
+    FROM s a JOIN s b ON a.name < b.name
+    """
+)
+def jaccard_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = table(spark, sf_dir, "nation").select(F.col("n_name").alias("name")).union(table(spark, sf_dir, "region").select("r_name"))
+    # A header's names against a template's: two lists of at most some hundred names.
+    pairs = known.select(F.col("name").alias("left_name")).join(F.broadcast(known.select(F.col("name").alias("right_name"))), F.col("left_name") < F.col("right_name"))
+    return pairs.withColumn("likeness", names.likeness(F.col("left_name"), F.col("right_name")))
+
+
+@query(
+    """
+    SELECT * FROM (VALUES ('填报单位', '单位'), ('教师姓名', '姓名'), ('职称', '职称'), ('学生人数', '学生数'), ('课时数', '__UNKNOWN__'), ('序号', '__IGNORE__'), ('单位', '__UNKNOWN__')) v(source_col, target)
+    """
+)
+def rule_map_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["填报单位", "教师姓名", "职称", "学生人数", "课时数", "序号", "单位"]
+    mapping = align.resolve_conflicts(align.match_by_rules(columns, ["单位", "姓名", "职称", "课程数", "学生数"]))
+    return spark.createDataFrame(list(mapping.targets.items()), "source_col string, target string")
+
+
+# Grids: a table written out as the rows of a sheet.
+
+
+def _sheet(df: DataFrame, file: str, order: str, title: list[list[str]]) -> DataFrame:
+    """df as the rows of a sheet below title rows, numbered by an integer column that counts from 0."""
+    rows = F.array(*(F.when(df[c].isNotNull(), F.struct(F.lit("s").alias("kind"), df[c].cast("string").alias("text"))) for c in df.columns if c != order))
+    body = df.select(F.lit(file).alias("file"), F.lit("Sheet1").alias("sheet"), (F.col(order) + len(title) + 1).cast("int").alias("row_no"), rows.alias("cells"))
+    head = [(file, "Sheet1", k + 1, [("s", x) if x else None for x in row]) for k, row in enumerate(title)]
+    return body.unionByName(df.sparkSession.createDataFrame(head, headers.GRID))
+
+
+def _grids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customer = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("k"), F.concat(F.lit("学院"), F.col("c_nationkey")).alias("a"), F.col("c_name").alias("b"),
+        F.when(F.col("c_custkey") % 10 != 0, F.concat((F.col("c_custkey") % 97).cast("string"), F.when(F.col("c_custkey") % 2 == 0, "万").otherwise(""))).otherwise("无").alias("c"),
+    )
+    supplier = table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").alias("k"), F.concat(F.lit("Supplier#"), F.col("s_suppkey") % 50).alias("a"), F.concat(F.lit("学院 "), F.col("s_nationkey")).alias("b"),
+        F.concat(F.col("s_suppkey"), F.lit("%")).alias("c"),
+    )
+    one = _sheet(customer, "a.csv", "k", [["2026年情况统计表", "", ""], ["基本信息", "基本信息", "数据"], ["单位", "姓名", "学生数"]])
+    return one.unionByName(_sheet(supplier, "b.csv", "k", [["教师姓名", "所在学院", "学生人数"]]))
+
+
+@query(
+    """
+    SELECT '学院' || CAST(c_nationkey AS VARCHAR) AS unit, c_name AS person,
+           CASE WHEN c_custkey % 10 <> 0 THEN (c_custkey % 97) * CASE WHEN c_custkey % 2 = 0 THEN 10000.0 ELSE 1.0 END END AS n,
+           'a.csv' AS src_file, CAST(c_custkey + 4 AS INTEGER) AS src_row FROM customer
+    UNION ALL
+    SELECT '学院' || CAST(s_nationkey AS VARCHAR), 'Supplier#' || CAST(s_suppkey % 50 AS VARCHAR), s_suppkey / 100.0, 'b.csv', CAST(s_suppkey + 2 AS INTEGER) FROM supplier
+    """
+)
+def consolidated_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    result = Engine(spark, Settings(this_year=2026)).from_grids(_grids(spark, sf_dir), ["单位", "姓名", "学生数"])
+    return result.records.select(F.col("单位").alias("unit"), F.col("姓名").alias("person"), F.col("学生数").cast("double").alias("n"), "src_file", "src_row")
+
+
+@query(
+    """
+    SELECT * FROM (VALUES ('a.csv', '单位,姓名,数据·学生数', CAST(0 AS BIGINT)), ('b.csv', '教师姓名,所在学院,学生人数', CAST(0 AS BIGINT))) v(file, header, dropped)
+    """
+)
+def header_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sheets, _ = headers.recovered(_grids(spark, sf_dir))
+    return sheets.select("file", F.array_join("names", ",").alias("header"), F.col("dropped").cast("long").alias("dropped"))
+
+
+@query(
+    """
+    SELECT l_orderkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS INTEGER) AS kept_line, l_partkey FROM lineitem
+    """
+)
+def total_row_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.lit("明细").alias("label"))
+    totals = lines.groupBy("l_orderkey").agg(F.lit(99).alias("l_linenumber"), F.lit(0).cast("long").alias("l_partkey"), F.lit("小 计").alias("label"))
+    cells = F.array(*(F.struct(F.lit("s").alias("kind"), F.col(c).cast("string").alias("text")) for c in ("label", "l_orderkey", "l_partkey")))
+    kept = lines.unionByName(totals).where(~headers.is_total_row(cells))
+    line = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey"))
+    return kept.select("l_orderkey", line.alias("kept_line"), "l_partkey")
+
+
+@query(
+    """
+    SELECT r_regionkey, CASE WHEN r_regionkey % 2 = 0 THEN 3 + 12 + 4 + 4.5 + 8.0 / 3 * 1 ELSE 3 + 12.0 * 1 / 3 + 4 + 0 - 8.0 * 2 / 3 + 8.0 / 3 END AS score FROM region
+    """
+)
+def header_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cell = lambda x: F.struct(F.lit("s").alias("kind"), x.cast("string").alias("text"))
+    even = F.array(cell(F.lit("单位")), cell(F.lit("姓名")), cell(F.lit("学生数")))
+    odd = F.array(cell(F.col("r_name")), cell(F.lit("12")), cell(F.lit("13")))
+    below = F.array(cell(F.lit("x")), cell(F.lit("y")), cell(F.lit("7")))
+    region = table(spark, sf_dir, "region")
+    return region.select("r_regionkey", headers.header_score(F.when(F.col("r_regionkey") % 2 == 0, even).otherwise(odd), below).cast("double").alias("score"))
+
+
+# Kinds, audit and validation.
+
+
+def _order_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as records of projected sheets: a number, a date and a text column, with some values missing."""
+    cell = lambda x: F.when(x.isNotNull(), F.struct(F.lit("s").alias("kind"), x.cast("string").alias("text"), x.cast("string").alias("plain")))
+    price = F.when(F.col("o_orderkey") % 11 != 0, F.concat(F.floor("o_totalprice").cast("string"), F.when(F.col("o_orderkey") % 3 == 0, "元").otherwise("")))
+    values = F.array(cell(price), cell(F.date_format("o_orderdate", "yyyy/MM/dd")), cell(F.col("o_orderpriority")))
+    return table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("f"), F.col("o_custkey") % 7).alias("file"), F.lit("Sheet1").alias("sheet"), F.col("o_orderkey").cast("int").alias("row_no"), F.lit(0).alias("file_order"), values.alias("values")
+    )
+
+
+ORDER_FIELDS = ["price", "day", "priority"]
+
+
+@query("SELECT * FROM (VALUES ('price', 'integer'), ('day', 'date'), ('priority', 'text')) v(field, kind)")
+def column_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame(list(clean.column_kinds(_order_records(spark, sf_dir), ORDER_FIELDS).items()), "field string, kind string")
+
+
+@query(
+    """
+    SELECT 'f' || CAST(o_custkey % 7 AS VARCHAR) AS src_file, CAST(o_orderkey AS INTEGER) AS src_row, 'price' AS field,
+           CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) || '元' AS before, CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) AS after
+    FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey % 11 <> 0
+    UNION ALL
+    SELECT 'f' || CAST(o_custkey % 7 AS VARCHAR), CAST(o_orderkey AS INTEGER), 'day', strftime(o_orderdate, '%Y/%m/%d'), strftime(o_orderdate, '%Y-%m-%d') FROM orders
+    """
+)
+def clean_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = {"price": "integer", "day": "date", "priority": "text"}
+    return clean.audit(_order_records(spark, sf_dir), ORDER_FIELDS, kinds).select("src_file", "src_row", "field", "before", "after")
+
+
+def _customer_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("c_custkey")
+    return table(spark, sf_dir, "customer").select(
+        F.when(key % 5 != 0, F.concat(F.lit("学院"), F.col("c_nationkey"))).alias("单位"),
+        F.concat(F.lit("Name "), key % 300).alias("姓名"),
+        F.when(key % 50 == 0, F.lit("many")).when(key % 3 != 0, (key % 40).cast("string")).alias("数量"),
+        F.when((key % 4 != 0) & (key % 6 != 2), F.col("c_mktsegment")).alias("备注"),
+        F.concat(F.lit("f"), key % 6).alias("src_file"), F.lit("").alias("src_sheet"), key.cast("int").alias("src_row"), F.struct(F.lit(0).alias("file_order"), key.alias("row_no")).alias("src_order"),
+    )
+
+
+CUSTOMER_FIELDS = ["单位", "姓名", "数量", "备注"]
+_CUSTOMER_SQL = """
+    c AS (SELECT CASE WHEN c_custkey % 5 <> 0 THEN '学院' || CAST(c_nationkey AS VARCHAR) END AS unit, 'Name ' || CAST(c_custkey % 300 AS VARCHAR) AS person,
+           CASE WHEN c_custkey % 50 = 0 THEN 'many' WHEN c_custkey % 3 <> 0 THEN CAST(c_custkey % 40 AS VARCHAR) END AS n,
+           CASE WHEN c_custkey % 4 <> 0 AND c_custkey % 6 <> 2 THEN c_mktsegment END AS note, 'f' || CAST(c_custkey % 6 AS VARCHAR) AS file, CAST(c_custkey AS INTEGER) AS row FROM customer),
+    long AS (SELECT file, row, '单位' AS col, unit AS v FROM c UNION ALL SELECT file, row, '姓名', person FROM c UNION ALL SELECT file, row, '数量', n FROM c UNION ALL SELECT file, row, '备注', note FROM c),
+    per_file AS (SELECT file, col, count(v) AS has, count(*) AS total FROM long GROUP BY ALL),
+    per_col AS (SELECT col, sum(has) AS all_has, sum(total) AS all_rows FROM per_file GROUP BY col),
+    missing AS (
+        SELECT 'warning' AS level, 'missing' AS rule, file, CAST(NULL AS INTEGER) AS row, col FROM per_file JOIN per_col USING (col)
+        WHERE has = 0 AND total > 1 AND all_has > 0 AND all_has < all_rows
+        UNION ALL
+        SELECT 'warning', 'missing', l.file, l.row, l.col FROM long l JOIN per_file f ON l.file = f.file AND l.col = f.col JOIN per_col p ON l.col = p.col
+        WHERE l.v IS NULL AND all_has > 0 AND all_has < all_rows AND NOT (has = 0 AND total > 1)),
+    outliers AS (SELECT 'warning' AS level, 'type_outlier' AS rule, file, row, '数量' AS col FROM c WHERE n = 'many'),
+    keyed AS (SELECT *, lower(replace(concat_ws('|', unit, person), ' ', '')) AS k, CASE WHEN unit IS NULL THEN 1 ELSE 2 END AS used FROM c),
+    firsts AS (SELECT k, min(row) AS first_row, arg_min(file, row) AS first_file FROM keyed GROUP BY k),
+    duplicates AS (SELECT CASE WHEN file = first_file OR used = 2 THEN 'error' ELSE 'warning' END AS level, 'duplicate' AS rule, file, row, '单位' AS col
+                   FROM keyed JOIN firsts USING (k) WHERE row > first_row),
+    sparse AS (SELECT 'warning' AS level, 'sparse_row' AS rule, file, row, '' AS col FROM c
+               WHERE (CASE WHEN unit IS NULL THEN 0 ELSE 1 END) + 1 + (CASE WHEN n IS NULL THEN 0 ELSE 1 END) + (CASE WHEN note IS NULL THEN 0 ELSE 1 END) < 2)
+"""
+
+
+def _issues(df: DataFrame) -> DataFrame:
+    return df.select("level", "rule", "file", "row", F.col("column").alias("col"))
+
+
+@query(f"WITH {_CUSTOMER_SQL} SELECT * FROM missing")
+def missing_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _issues(validate.missing(_customer_records(spark, sf_dir), CUSTOMER_FIELDS))
+
+
+@query(f"WITH {_CUSTOMER_SQL} SELECT * FROM outliers")
+def type_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _issues(validate.type_outliers(_customer_records(spark, sf_dir), CUSTOMER_FIELDS))
+
+
+@query(f"WITH {_CUSTOMER_SQL} SELECT * FROM duplicates")
+def duplicate_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _issues(validate.duplicates(_customer_records(spark, sf_dir), CUSTOMER_FIELDS))
+
+
+@query(f"WITH {_CUSTOMER_SQL} SELECT * FROM sparse")
+def sparse_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _issues(validate.sparse_rows(_customer_records(spark, sf_dir), CUSTOMER_FIELDS))
+
+
+@query(
+    f"""WITH {_CUSTOMER_SQL}, i AS (SELECT * FROM missing UNION ALL SELECT * FROM outliers UNION ALL SELECT * FROM duplicates UNION ALL SELECT * FROM sparse)
+    SELECT level, count(*) AS n FROM i GROUP BY level"""
+)
+def issue_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validate.level_counts(validate.validate(_customer_records(spark, sf_dir), CUSTOMER_FIELDS))
+
+
+@query(
+    f"""WITH {_CUSTOMER_SQL}, i AS (SELECT * FROM missing UNION ALL SELECT * FROM outliers UNION ALL SELECT * FROM duplicates UNION ALL SELECT * FROM sparse)
+    SELECT level, rule, file, row, col, row_number() OVER (ORDER BY CASE level WHEN 'error' THEN 1 WHEN 'warning' THEN 2 ELSE 3 END, file, coalesce(row, 0), rule, col) AS place
+    FROM i QUALIFY place <= 100"""
+)
+def issue_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _issues(validate.validate(_customer_records(spark, sf_dir), CUSTOMER_FIELDS))
+    rank = F.array_position(F.array(*map(F.lit, validate.LEVELS)), F.col("level"))
+    order = [rank, "file", F.coalesce("row", F.lit(0)), "rule", "col"]
+    first = found.orderBy(*order).limit(100)  # the report's first page
+    return first.withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("long"))
+
+
+@query(
+    """
+    SELECT n_nationkey AS src_row, n_name AS name, r_name AS region FROM nation LEFT JOIN region ON n_regionkey = r_regionkey
+    """
+)
+def sample_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    joined = nation.join(region, nation.n_regionkey == region.r_regionkey, "left")
+    return joined.select(F.col("n_nationkey").alias("src_row"), F.col("n_name").alias("name"), F.col("r_name").alias("region"))
+
+
+# The store.
+
+
+def _cache_rows(spark: SparkSession, sf_dir: str, newer: bool) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").where((F.col("o_orderkey") % 2 == 0) if newer else (F.col("o_orderkey") % 2 == 1))
+    best = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    one = rows.withColumn("k", F.row_number().over(best)).where("k = 1")
+    when = F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")
+    return one.select(
+        F.col("o_custkey").cast("string").alias("signature"), F.col("o_orderkey").cast("string").alias("mapping"), F.when(F.col("o_orderstatus") == "F", "user").otherwise("llm").alias("source"),
+        F.lit("{}").alias("confidence"), when.alias("created_at"), when.alias("updated_at"), F.lit(1).cast("long").alias("hit_count"),
+    )
+
+
+@query(
+    """
+    WITH o AS (SELECT *, o_orderkey % 2 AS half, row_number() OVER (PARTITION BY o_custkey, o_orderkey % 2 ORDER BY o_orderkey) AS k FROM orders),
+    r AS (SELECT CAST(o_custkey AS VARCHAR) AS signature, CAST(o_orderkey AS VARCHAR) AS mapping, CASE WHEN o_orderstatus = 'F' THEN 'user' ELSE 'llm' END AS source,
+          strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS stamp, CASE WHEN half = 0 THEN 1 ELSE 0 END AS new FROM o WHERE k = 1)
+    SELECT signature, mapping, source, stamp AS updated_at, min(stamp) OVER (PARTITION BY signature) AS created_at, count(*) OVER (PARTITION BY signature) AS hit_count
+    FROM r QUALIFY row_number() OVER (PARTITION BY signature ORDER BY source = 'user' DESC, stamp DESC, new DESC) = 1
+    """
+)
+def upsert_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    merged = store.upserted(_cache_rows(spark, sf_dir, False), _cache_rows(spark, sf_dir, True))
+    return merged.select("signature", "mapping", "source", "updated_at", "created_at", "hit_count")
+
+
+def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") != "O", "done").alias("finished_at"), F.when(F.col("o_orderkey") % 3 == 0, F.col("o_totalprice")).otherwise(0.0).alias("cost_cny")
+    )
+
+
+@query("SELECT o_orderkey AS id, o_totalprice AS cost_cny FROM orders WHERE o_orderstatus <> 'O' AND o_orderkey % 3 = 0 AND o_totalprice > 0 ORDER BY o_orderkey DESC LIMIT 1")
+def last_paid_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.last_paid_run(_runs(spark, sf_dir)).select("id", "cost_cny")
+
+
+@query("SELECT round(coalesce(sum(CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice ELSE 0 END), 0), 2) AS cost_cny FROM orders")
+def cost_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.total_cost(_runs(spark, sf_dir)).select(F.round("cost_cny", 2).alias("cost_cny"))
+
+
+# Guarded SQL: the same statement here and there.
+
+SQL = {
+    "sql_filter_project": "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 100000",
+    "sql_aggregate": "SELECT l_returnflag, l_linestatus, count(*) AS n, sum(l_quantity) AS qty, round(avg(l_discount), 6) AS discount FROM lineitem GROUP BY l_returnflag, l_linestatus",
+    "sql_having": "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 12",
+    "sql_distinct": "SELECT DISTINCT p_brand, p_type FROM part",
+    "sql_topk": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25",
+    "sql_topk_ties": "SELECT p_partkey, p_size FROM (SELECT p_partkey, p_size, rank() OVER (ORDER BY p_size DESC) AS k FROM part) t WHERE k <= 10",
+    "sql_offset": "SELECT c_custkey FROM customer ORDER BY c_custkey LIMIT 10 OFFSET 20",
+    "sql_inner_join": "SELECT n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name",
+    "sql_left_join": "SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey",
+    "sql_right_join": "SELECT n_name, count(s_suppkey) AS n FROM supplier RIGHT JOIN nation ON s_nationkey = n_nationkey GROUP BY n_name",
+    "sql_full_join": "SELECT coalesce(a.k, b.k) AS k, a.n AS n_customers, b.n AS n_suppliers FROM (SELECT c_nationkey AS k, count(*) AS n FROM customer GROUP BY 1) a FULL JOIN (SELECT s_nationkey AS k, count(*) AS n FROM supplier GROUP BY 1) b ON a.k = b.k",
+    "sql_semi_join": "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000)",
+    "sql_anti_join": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
+    "sql_in_subquery": "SELECT count(*) AS n FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size > 40)",
+    "sql_scalar_subquery": "SELECT count(*) AS n FROM orders WHERE o_totalprice > (SELECT avg(o_totalprice) FROM orders)",
+    "sql_cross_join": "SELECT r_name, n_name FROM region CROSS JOIN nation",
+    "sql_theta_join": "SELECT a.n_name AS low, b.n_name AS high FROM nation a JOIN nation b ON a.n_regionkey < b.n_regionkey AND a.n_nationkey > b.n_nationkey",
+    "sql_cte": "WITH t AS (SELECT o_custkey, sum(o_totalprice) AS total FROM orders GROUP BY o_custkey) SELECT count(*) AS n, round(max(total), 2) AS most FROM t",
+    "sql_recursive": "WITH RECURSIVE r(n, f) AS (SELECT 1, CAST(1 AS BIGINT) UNION ALL SELECT n + 1, f * (n + 1) FROM r WHERE n < 15) SELECT n, f FROM r",
+    "sql_union": "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier",
+    "sql_intersect": "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier",
+    "sql_except": "SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier",
+    "sql_window_rank": "SELECT s_suppkey, s_nationkey, rank() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) AS k FROM supplier",
+    "sql_window_frame": "SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 2) AS moving FROM orders",
+    "sql_window_lag": "SELECT o_orderkey, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS before FROM orders",
+    "sql_case_filter": "SELECT o_orderpriority, count(*) FILTER (WHERE o_orderstatus = 'F') AS done, sum(CASE WHEN o_totalprice > 100000 THEN 1 ELSE 0 END) AS large FROM orders GROUP BY o_orderpriority",
+    "sql_rollup": "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)",
+    "sql_string_agg": "SELECT n_regionkey, string_agg(n_name, ',') WITHIN GROUP (ORDER BY n_name) AS nations FROM nation GROUP BY n_regionkey",
+    "sql_strings": "SELECT p_partkey, upper(substr(p_name, 1, 5)) AS head, replace(p_type, ' ', '_') AS type, length(p_name) AS n, instr(p_name, 'a') AS at FROM part",
+}
+
+
+def _statement(name: str, sql: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        known = [t for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem") if re.search(rf"\b{t}\b", sql)]
+        for t in known:
+            table(spark, sf_dir, t).createOrReplaceTempView(t)
+        ask.check(spark, sql, set(known))
+        return spark.sql(sql)
+
+    run.__name__ = name
+    return run
+
+
+for _name, _sql in SQL.items():
+    query(_sql.replace("string_agg(n_name, ',') WITHIN GROUP (ORDER BY n_name)", "string_agg(n_name, ',' ORDER BY n_name)"))(_statement(_name, _sql))
+
+
+@query("SELECT count(*) AS n, sum(CASE WHEN c_custkey <= 5 THEN 1 ELSE 0 END) AS first_five FROM (SELECT c_custkey FROM customer ORDER BY c_custkey LIMIT 50)")
+def limit_wrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("编号")).createOrReplaceTempView(ask.quoted("客户"))
+    text = ask.prepared("SELECT '编号' FROM 客户 ORDER BY \"编号\";", {"客户", "编号"})
+    ask.check(spark, text, {"客户"})
+    rows = spark.sql(text).limit(50)
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("编号") <= 5, 1).otherwise(0)).alias("first_five"))
+
+
+@query(
+    r"""
+    SELECT conv_id, CAST(turn AS VARCHAR) AS turn, regexp_replace(role, '^$', '') AS role FROM conversations
+    """
+)
+def dual_output_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    full = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
+    masked = masking.mask_rows(full)
+    return masked.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role")
