@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sheafwork.llm.batches import parts
+
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^\"'>])*)>|</?[a-zA-Z][^>]*>", re.S
 )
@@ -254,7 +256,7 @@ def extract(source: str | None) -> str:
 
 @F.arrow_udf(T.StringType())
 def _extract(pages: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    for batch in pages:
+    for batch in parts(pages):
         yield pa.array([extract(x.as_py()) for x in batch], pa.string())
 
 

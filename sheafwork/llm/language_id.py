@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sheafwork.llm.batches import parts
+
 UNKNOWN = "und"
 #: N-grams in a profile and n-grams of a document that are compared.
 PROFILE_SIZE = 400
@@ -206,7 +208,7 @@ def predicted(text: Column, profiles: Profiles) -> Column:
 
     @F.arrow_udf("lang string, score double")
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in texts:
+        for batch in parts(texts):
             langs, scores = zip(*(profiles.predict(x.as_py()) for x in batch)) if len(batch) else ((), ())
             yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang", "score"])
 

@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheafwork.llm import graph, scratch
+from sheafwork.llm.batches import parts
 
 #: Chance that a pair at the threshold meets in no band, and the most coordinates of a signature.
 MISS = 1e-7
@@ -41,7 +42,7 @@ SKETCH_BITS = 256
 SKETCH_LEAST = 0.35
 #: Documents and shingles in a block of a cluster that one task compares with another block.
 BLOCK_DOCS = 256
-BLOCK_SHINGLES = 1_000_000
+BLOCK_SHINGLES = 250_000
 #: Rows up to which the clustered documents' ids go to every executor.
 BROADCAST_ROWS = 250_000
 _COLUMNS = 4096
@@ -112,7 +113,7 @@ def sets_and_bands(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in (whole.slice(k, 1000) for k in range(0, whole.num_rows, 1000)):
+            for batch in parts([whole]):
                 sizes, keys, bucket, sketch = [], [], [], []
                 for text in batch.column(1):
                     found = shingle_set(text.as_py(), words)

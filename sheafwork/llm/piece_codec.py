@@ -23,10 +23,14 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sheafwork.llm.batches import parts
+
 _SPACE = "▁"
 _NEVER = 1 << 60
 #: Words kept with their ids in each Python worker; the cache starts anew when it is full.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 100_000
+#: Likewise for pairs of pieces whose compatibility is known.
+CACHE_PAIRS = 250_000
 
 
 class PieceCodec:
@@ -148,7 +152,7 @@ class PieceCodec:
                 out.append(ids)
         if end:
             out.append(self.end.to_bytes(4, "little"))
-        if len(self.pairs) > 4_000_000:
+        if len(self.pairs) > CACHE_PAIRS:
             self.pairs.clear()
         return b"".join(out)
 
@@ -205,7 +209,7 @@ def encode_ids(text: Column, model_file: str, begin: bool = True, end: bool = Tr
     @F.arrow_udf("binary")
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encode = codec(model_file).encode
-        for batch in texts:
+        for batch in parts(texts):
             yield pa.array([encode(x.as_py(), begin, end) for x in batch], pa.binary())
 
     return run(text)
@@ -217,7 +221,7 @@ def decode_ids(packed: Column, model_file: str) -> Column:
     @F.arrow_udf("string")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         decode = codec(model_file).decode
-        for batch in batches:
+        for batch in parts(batches):
             yield pa.array([decode(x.as_py()) for x in batch], pa.string())
 
     return run(packed)

@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sheafwork.llm.batches import parts
+
 #: Kinds in the order that breaks ties between spans of one start. The first three are the base kinds.
 KINDS = ("assign", "access", "hex", "jwt", "pem_key", "der_key", "ssh_key", "hex_key", "encoded")
 BASE_KINDS = KINDS[:3]
@@ -211,7 +213,7 @@ def _spans(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     from pyspark.sql.pandas.types import to_arrow_type
 
     kind = to_arrow_type(SPANS)
-    for batch in texts:
+    for batch in parts(texts):
         yield pa.array(
             [[{"kind": k, "start": s, "end": e} for k, s, e in all_spans(x.as_py())] for x in batch], kind
         )
@@ -246,7 +248,7 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataF
 
     @F.arrow_udf("string")
     def clean(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in texts:
+        for batch in parts(texts):
             yield pa.array([_redact(x.as_py(), mark) for x in batch], pa.string())
 
     return docs.withColumn(text, clean(F.col(text)))

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sheafwork.llm.batches import parts
+
 #: Lengths in a range of the two-level sums.
 RANGE = 128
 
@@ -39,7 +41,7 @@ def token_length(text: Column, ranks_file: str, pattern: str) -> Column:
     @F.arrow_udf("long")
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encode = encoding(ranks_file, pattern).encode_ordinary
-        for batch in texts:
+        for batch in parts(texts):
             yield pa.array([len(encode(x.as_py() or "")) for x in batch], pa.int64())
 
     return run(text)

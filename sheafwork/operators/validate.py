@@ -79,18 +79,14 @@ def type_outliers(records: DataFrame, fields: list[str]) -> DataFrame:
     """Values that are neither number nor date in a field of three or more values, mostly numbers."""
     if not fields:
         return _nothing(records)
-    counts = []
-    for k, f in enumerate(fields):
-        counts += [F.count_if(_has(f)).alias(f"n{k}"), F.count_if(_has(f) & c.parse_number(_value(f), normalized=True).isNotNull()).alias(f"m{k}")]
-    totals = records.agg(*counts)
-    places = []
-    for k, f in enumerate(fields):
-        numeric = (F.col(f"n{k}") >= 3) & (F.col(f"m{k}") >= NUMERIC_SHARE * F.col(f"n{k}"))
-        odd = _has(f) & numeric & c.parse_number(_value(f), normalized=True).isNull() & c.parse_date(_value(f), normalized=True).isNull()
-        places.append(F.when(odd, F.struct(F.lit(f).alias("field"), F.lit(k).alias("order"), _value(f).alias("value"))))
-    found = records.crossJoin(F.broadcast(totals))  # one row
-    found = found.select("src_file", "src_sheet", "src_row", F.explode(F.filter(F.array(*places), lambda x: x.isNotNull())).alias("p"))
-    return found.select("src_file", "src_sheet", "src_row", "p.*").select(
+    places = F.array(*(F.struct(F.lit(f).alias("field"), F.lit(k).alias("order"), _value(f).alias("value")) for k, f in enumerate(fields)))
+    long = records.select("src_file", "src_sheet", "src_row", F.explode(places).alias("p")).select("src_file", "src_sheet", "src_row", "p.*")
+    filled = long.where(F.trim(F.regexp_replace("value", r"[\s　]+", "")) != "").withColumn("number", c.parse_number(F.col("value"), normalized=True).isNotNull())
+    totals = filled.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("number")).alias("numbers"))
+    numeric = totals.where((F.col("n") >= 3) & (F.col("numbers") >= NUMERIC_SHARE * F.col("n"))).select("field")  # at most a row a field
+    odd = filled.where(~F.col("number")).join(F.broadcast(numeric), "field", "left_semi")
+    found = odd.where(c.parse_date(F.col("value"), normalized=True).isNull())
+    return found.select(
         *_issue("warning", "type_outlier", F.format_string("%s is mostly numbers, this one is %s", "field", "value"),
                 "Check whether it is a slip", _here(), F.col("field"), F.col("value"), F.col("order"))
     )
