@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sheafwork.llm import scratch
 from sheafwork.llm.batches import parts
 
 #: Lengths in a range of the two-level sums.
@@ -48,9 +49,10 @@ def token_length(text: Column, ranks_file: str, pattern: str) -> Column:
 
 
 def length_histogram(docs: DataFrame, ranks_file: str, pattern: str, text: str = "text") -> DataFrame:
-    """(n_tokens, n_docs): the documents of each encoded length."""
+    """(n_tokens, n_docs): the documents of each encoded length. It is stored, as sums read it more than once and texts
+    are to be encoded once."""
     lengths = docs.select(token_length(F.col(text), ranks_file, pattern).alias("n_tokens"))
-    return lengths.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs"))
+    return scratch.stored(lengths.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs")), "lengths")
 
 
 def with_tail_sums(histogram: DataFrame) -> DataFrame:
