@@ -3,7 +3,7 @@
 Base spans come from three patterns (assigned values, access key ids, hex runs). On top of them, base64 and hex
 candidates are decoded and are reported only if what they hold parses: a token whose header is a JSON object naming
 its algorithm, DER whose nested lengths add up and whose fields are those of a private key, an OpenSSH private key
-whose length-prefixed fields fill the body, or printable text that holds a base secret itself.
+whose length-prefixed fields fill the body, or printable text that holds a base secret or a PEM private key itself.
 
 Every row gives a result: a null or empty text has no spans. Texts are scanned whole, offsets are code points, end
 exclusive. Repeated rows each get their result, other columns pass through untouched; a column of the name asked for
@@ -41,12 +41,16 @@ _ASSIGN = re.compile(
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 # A run of the class cannot start inside a longer one, so the lookbehind spares retries and changes no match.
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{16,}")
-_JWT = re.compile(r"(?<![A-Za-z0-9_.-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_.-])")
+# Dots after a token end a sentence, unless more of a token follows. A single one that ends the text stays no match.
+_JWT = re.compile(
+    r"(?<![A-Za-z0-9_.-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)(?!\.*[A-Za-z0-9_-])(?!\.\Z)"
+)
 _PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*)PRIVATE KEY-----([A-Za-z0-9+/=\s]+)-----END \1PRIVATE KEY-----")
-_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{32,}={0,2}")
-_HEX_ANY = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){32,}(?![0-9A-Fa-f])")
+# The shortest base secret has 18 characters: an access key, or an assigned value with its name.
+_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}={0,2}")
+_HEX_ANY = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){18,}(?![0-9A-Fa-f])")
 # What a text must contain for a pattern to match at all, as cheap substring tests over a text whose characters are
-# mapped to their class: a run of 16 hex digits, of 64 of either case, of 32 of base64, a dot between token parts.
+# mapped to their class: a run of 16 hex digits, of 36 of either case, of 24 of base64, a dot between token parts.
 _ASSIGN_WORDS = ("pass", "secret", "token", "api")
 
 
@@ -170,11 +174,18 @@ def _key_kind(data: bytes | None) -> str | None:
     return "ssh_key" if is_ssh_private_key(data) else None
 
 
+def _pem_spans(text: str) -> list[tuple[str, int, int]]:
+    if "-----BEGIN " not in text:
+        return []
+    return [("pem_key", m.start(), m.end()) for m in _PEM.finditer(text) if _key_kind(unbase64(m[2]))]
+
+
 def _holds_secret(data: bytes | None) -> bool:
-    """Printable ASCII with an assigned value or an access key in it."""
+    """Printable ASCII with an assigned value, an access key or a PEM private key in it."""
     if not data or not all(0x20 <= b < 0x7F or b in b"\t\r\n" for b in data):
         return False
-    return any(kind != "hex" for kind, _, _ in base_spans(data.decode("ascii")))
+    text = data.decode("ascii")
+    return any(kind != "hex" for kind, _, _ in base_spans(text)) or bool(_pem_spans(text))
 
 
 def structural_spans(text: str) -> list[tuple[str, int, int]]:
@@ -182,16 +193,15 @@ def structural_spans(text: str) -> list[tuple[str, int, int]]:
     found, raw = [], text.encode()
     if b"xxxxxxxx.xx" in raw.translate(_TOKEN_CLASS):
         found += [("jwt", m.start(), m.end()) for m in _JWT.finditer(text) if is_signed_token(m[1], m[2])]
-    if "-----BEGIN " in text:
-        found += [("pem_key", m.start(), m.end()) for m in _PEM.finditer(text) if _key_kind(unbase64(m[2]))]
-    runs = b"x" * 32 in raw.translate(_BASE64_CLASS)
+    found += _pem_spans(text)
+    runs = b"x" * 24 in raw.translate(_BASE64_CLASS)
     for m in _BASE64.finditer(text) if runs else ():
         data = unbase64(m[0])
         if kind := _key_kind(data):
             found.append((kind, m.start(), m.end()))
         elif _holds_secret(data):
             found.append(("encoded", m.start(), m.end()))
-    runs = b"x" * 64 in raw.translate(_HEX_ANY_CLASS)
+    runs = b"x" * 36 in raw.translate(_HEX_ANY_CLASS)
     for m in _HEX_ANY.finditer(text) if runs else ():
         data = bytes.fromhex(m[0])
         if _key_kind(data):
