@@ -5,6 +5,8 @@ summed for each path and divided by its number of blocks; each of the two series
 smoothed, both are fused, and the blocks of paths above a threshold are the content. What surrounds them decides what
 else belongs to it: the article (else main, else the least element with most of the selected text), whose blocks are
 all kept but for those within menus, page headers, footers, sidebars, notices, adverts, forms and reader comments.
+A class or id that hints at one of those marks no element that holds the article, or most of the page's text while
+what is outside of it can't be the article.
 
 Character references are decoded, white space inside a block becomes one space (a line break is white space), blocks
 are joined by an empty line. Scripts, styles, templates and comments are never text. Pages are read whole; a null or
@@ -50,6 +52,13 @@ HINTS = frozenset(
     "sidebar menu nav navbar navigation breadcrumb breadcrumbs footer comment comments disqus discussion replies share sharing social related recommended recommendations "
     "popup modal overlay login signup toolbar pagination pager skip widget banner masthead".split()
 )
+#: Those of reader comments, whose id marks a section within an article too.
+COMMENTS = frozenset(("comment", "comments", "disqus", "replies"))
+#: A word in a class or id that these come before tells of the page's layout.
+LAYOUT = frozenset(("no", "has", "with", "without"))
+TITLES = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+#: Elements of running text: in an article, a class that a hint is only a part of doesn't mark them if they hold sentences.
+RUNNING = TITLES | {"p", "blockquote", "pre", "li", "dt", "dd", "td", "th", "figcaption"}
 ROLES = frozenset(("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "form"))
 PUNCTUATION = re.compile(r"[.,;:!?…¿¡。，、；：！？]")
 #: Of the standard deviation of the fused series; paths at or above it are content.
@@ -68,25 +77,45 @@ class Block:
 def _is_outside(tag: str, attributes: str, in_article: bool) -> bool:
     if tag in OUTSIDE or tag == "header" and not in_article:
         return True
-    if not attributes.strip() or tag in ("html", "body", "article", "main") and "comment" not in attributes:
+    if not attributes.strip() or tag in ("html", "body", "article", "main"):
         return False
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
-        if name in ("class", "id"):
-            if any(word in HINTS or word == "header" and not in_article for word in re.split(r"[^a-z]+", value)):
-                return True
-        elif name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
+        if name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
             return True
-        elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
+        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True
     return False
 
 
+def _hint(tag: str, attributes: str, in_article: bool) -> int:
+    """Whether class or id mark an element as something else than the article: 0 no, 1 unless it holds sentences, 2 yes, 3 as
+    reader comments, which may outweigh the article.
+    """
+    if not attributes.strip() or tag in ("html", "body", "article", "main") and "comment" not in attributes:
+        return 0
+    found = 0
+    for name, value in _ATTRIBUTE.findall(attributes):
+        name = name.lower()
+        if name not in ("class", "id"):
+            continue
+        for token in value.strip("\"'").lower().split():
+            words = [w for w in re.split(r"[^a-z]+", token) if w]
+            hints = [w for k, w in enumerate(words) if (w in HINTS or w == "header" and not in_article) and LAYOUT.isdisjoint(words[:k])]
+            if in_article and name == "id" and (tag in TITLES or tag == "section" and COMMENTS.isdisjoint(hints)):
+                continue  # an anchor
+            if hints:
+                found = max(found, 3 if not COMMENTS.isdisjoint(hints) else 1 if in_article and tag in RUNNING and len(hints) < len(words) else 2)
+    return found
+
+
 class Page:
-    """Elements (parent, tag, whether outside the article) and blocks in page order."""
+    """Elements (parent, tag, whether outside the article, hint in class or id) and blocks in page order."""
 
     def __init__(self, source: str) -> None:
         self.parents, self.tags, self.outside = [-1], ["#"], [False]
+        self.hints: dict[int, int] = {}
+        self.nested: set[int] = set()  # hinted elements within an article
         self.blocks: list[Block] = []
         self._stack, self._text, self._linked, self._links = [0], [], 0, 0
         self._articles = 0
@@ -112,6 +141,39 @@ class Page:
         if at < len(source):
             self._add(source[at:])
         self._flush()
+        self._judge()
+
+    def _judge(self) -> None:
+        """Mark what hints stand for as outside, but for elements that hold the article."""
+        if not self.hints:
+            return
+        hinted = defaultdict(list)  # of each hinted element, its blocks
+        free = held = 0
+        for b in self.blocks:
+            line = self.ancestors(b.element)
+            if any(self.outside[e] for e in line):
+                continue
+            marks = [e for e in line if e in self.hints]
+            sentence = len(b.text) if PUNCTUATION.search(b.text) and 2 * b.linked <= len(b.text) else 0
+            text = len(b.text) - min(b.linked, len(b.text))
+            held += text
+            free += 0 if marks else text
+            in_article = 0
+            for e in line:  # from the inside: an article counts for what is around it
+                if e in self.hints:
+                    hinted[e].append((text, sentence, in_article, any(self.tags[x] == "h1" for x in line)))
+                if self.tags[e] in ("article", "main") and e not in self.hints:
+                    in_article = text
+        for e, hint in self.hints.items():
+            blocks = hinted[e]
+            text, sentences, article = (sum(b[k] for b in blocks) for k in range(3))
+            if hint == 1 and (sentences or self.tags[e] in TITLES):
+                continue
+            if article and article >= free and e not in self.nested:
+                continue
+            if 2 * text > held and (any(b[3] for b in blocks) or (free == 0 if hint == 3 else 10 * free < text)):
+                continue  # what surrounds the article, unless what is outside can be the article itself
+            self.outside[e] = True
 
     def _add(self, text: str, plain: bool = False) -> None:
         text = text if plain or "&" not in text else entities.unescape(text)
@@ -142,11 +204,16 @@ class Page:
             self._flush()
         parent = self._stack[-1]
         outside = self.outside[parent] or tag in RAW or _is_outside(tag, attributes, self._articles > 0)
-        if outside and not self.outside[parent] and tag in INLINE:
+        hint = 0 if outside else _hint(tag, attributes, self._articles > 0)
+        if (hint or outside and not self.outside[parent]) and tag in INLINE:
             self._flush()  # a marked span parts the text around it
         self.parents.append(parent)
         self.tags.append(tag)
         self.outside.append(outside)
+        if hint:
+            self.hints[len(self.tags) - 1] = hint
+            if self._articles:
+                self.nested.add(len(self.tags) - 1)
         if attributes.endswith("/") and tag in ("svg", "path"):
             return
         self._stack.append(len(self.tags) - 1)
@@ -174,7 +241,8 @@ class Page:
         for k in range(len(self._stack) - 1, 0, -1):
             open_tag = self.tags[self._stack[k]]
             if open_tag == tag:
-                if tag in INLINE and self.outside[self._stack[k]] != self.outside[self.parents[self._stack[k]]]:
+                e = self._stack[k]
+                if tag in INLINE and (e in self.hints or self.outside[e] != self.outside[self.parents[e]]):
                     self._flush()
                 while len(self._stack) > k:
                     self._pop()

@@ -45,6 +45,30 @@ def test_pages(page, blocks):
     assert h.extract_blocks(page) == blocks
 
 
+ONE, TWO = "Long text, with commas, and more. Indeed it goes on, for a while.", "A second one: it too, has marks."
+COMMENT = "Nice, post. I like it, very much, too. Indeed it is, all in all, a long one."
+
+
+@pytest.mark.parametrize(
+    "page, blocks",
+    [
+        (f"<div class='content no-sidebar'><article>{BODY}</article></div>", [ONE, TWO]),
+        (f"<div class='site has-comments'><h1>T</h1>{BODY}</div>", ["T", ONE, TWO]),
+        (f"<div class='layout with-sidebar'>{BODY}<div class=sidebar>Side, text.</div></div>", [ONE, TWO]),
+        (f"<div class='layout sidebar-left'><nav>n</nav><article>{BODY}</article><div class=sidebar>Side, text.</div></div>", [ONE, TWO]),
+        (f"<div class='layout sidebar-left'><h1>T</h1>{BODY}<div class=sidebar>Side, text.</div></div>", ["T", ONE, TWO]),
+        (f"<article>{BODY}<section id=discussion><h2 id=related-work>Related</h2><p class=notice-period>A month, at least.</section></article>", [ONE, TWO, "Related", "A month, at least."]),
+        # What surrounds the article still goes.
+        (f"<article>{BODY}<section id=comments><p>Nice, post.</section><div class=related-posts>More, here.</div><p class=ad-label>Advert</article>", [ONE, TWO]),
+        (f"<div>{BODY}</div><div id=comments>{20 * f'<p>{COMMENT}</p>'}</div>", [ONE, TWO]),
+        (f"<article>{BODY}</article><div id=comments>{20 * f'<article class=comment>{COMMENT}</article>'}</div>", [ONE, TWO]),
+        (f"<div class=related><article>Teaser, short.</article></div><div>{BODY}</div>", [ONE, TWO]),
+    ],
+)
+def test_hints_spare_what_holds_the_article(page, blocks):
+    assert h.extract_blocks(page) == blocks
+
+
 def test_long_and_broken_pages():
     assert h.extract("<article><p>" + "word " * 200_000 + "</article>") == ("word " * 200_000).strip()
     assert h.extract("<div>" * 3000 + "deep" + "</b></div>" * 10) == "deep"
