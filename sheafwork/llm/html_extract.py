@@ -4,7 +4,8 @@ A page is read into text blocks, each with the path of block tags from the root
 summed for each path and divided by its number of blocks; each of the two series (a value a block, in page order) is
 smoothed, both are fused, and the blocks of paths above a threshold are the content. What surrounds them decides what
 else belongs to it: the article (else main, else the least element with most of the selected text), whose blocks are
-all kept but for those within menus, page headers, footers, sidebars, notices, adverts, forms and reader comments.
+all kept (without article and main, also the selected blocks outside of that element) but for those within menus,
+page headers, footers, sidebars, notices, adverts, forms and reader comments.
 A class or id that hints at one of those marks no element that holds the article, or most of the page's text while
 what is outside of it can't be the article.
 
@@ -314,7 +315,18 @@ def extract_blocks(source: str | None) -> list[str]:
     root = max((e for e in weight if weight[e] >= 0.75 * weight[0]), key=lambda e: (len(page.ancestors(e)), -e))
     while page.tags[root] in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "blockquote", "pre", "tr", "td", "tbody", "table") and page.parents[root] > 0:
         root = page.parents[root]
-    return [b.text for b, line, chosen in zip(blocks, lines, content) if root in line and (chosen or 2 * b.linked <= len(b.text))]
+
+    # The root adds blocks that aren't selected; of the selected outside of it, only links go. The page's title stays
+    # where it stands within the least element around all that is selected.
+    own = [2 * b.linked <= len(b.text) for b in blocks]
+    around = set.intersection(*(set(line) for line, x, chosen in zip(lines, own, content) if chosen and (x or root in line)))
+
+    def kept(line: list[int], chosen: bool, own: bool) -> bool:
+        if any(page.tags[e] == "h1" for e in line) and (chosen or around <= set(line)):
+            return True
+        return chosen or own if root in line else chosen and own
+
+    return [b.text for b, line, chosen, x in zip(blocks, lines, content, own) if kept(line, chosen, x)]
 
 
 def extract(source: str | None) -> str:

@@ -69,6 +69,16 @@ def test_hints_spare_what_holds_the_article(page, blocks):
     assert h.extract_blocks(page) == blocks
 
 
+@pytest.mark.parametrize("n", [1, 5, 20])
+def test_selected_blocks_outside_the_root_stay(n):
+    long = n * f"<p>{ONE}</p><p>{TWO}</p>"
+    title = "<h1>Title</h1><p>Lead</p>"
+    assert h.extract_blocks(f"<div id=post>{title}<div class=body>{long}</div></div>") == ["Title", "Lead"] + n * [ONE, TWO]
+    assert h.extract_blocks(f"<div id=post>{title}<div>{4 * long}</div><div>{long}</div></div>") == ["Title", "Lead"] + 5 * n * [ONE, TWO]
+    linked = f"<div><h1><a href=1>Title</a></h1><div>{4 * long}</div><ul><li><a href=2>other</a></ul></div>"
+    assert h.extract_blocks(linked) == ["Title"] + 4 * n * [ONE, TWO]
+
+
 def test_long_and_broken_pages():
     assert h.extract("<article><p>" + "word " * 200_000 + "</article>") == ("word " * 200_000).strip()
     assert h.extract("<div>" * 3000 + "deep" + "</b></div>" * 10) == "deep"
