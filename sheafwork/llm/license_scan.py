@@ -7,10 +7,16 @@ allows the threshold, and its bigrams aren't formed if there is none.
 
 A null or empty text and a unit of fewer than two words match nothing. A document of one paragraph has none but the
 whole, one of one line no lines. Repeated rows are reported each. Other columns aren't read.
+
+scan_windows finds notices wherever they stand, also over several lines or paragraphs and inside a sentence: it takes
+every run of words of a document for a unit.
 """
 
 from __future__ import annotations
 
+import math
+from collections import Counter, defaultdict
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,6 +75,35 @@ TEMPLATES = (
 )
 
 
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
+    "and/or other materials provided with the distribution. ",
+    "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software "
+    "without specific prior written permission. ",
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE '
+    "IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE "
+    "LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE "
+    "GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT "
+    "LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+)
+#: For windows; the units' templates are part of their query's SQL.
+WINDOW_TEMPLATES = (
+    *TEMPLATES,
+    ("BSD-2-Clause", _BSD[0] + _BSD[2]),
+    ("BSD-3-Clause", "".join(_BSD)),
+    (
+        "GPL-2.0-or-later",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free "
+        "Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be "
+        "useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public "
+        "License for more details. You should have received a copy of the GNU General Public License along with this program; if not, write to the Free Software "
+        "Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA.",
+    ),
+)
+
+
 def words(text: Column) -> Column:
     """array<string>: runs of letters and digits, in lower case."""
     return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
@@ -134,3 +169,99 @@ def scan(docs: DataFrame, known: DataFrame | None = None, threshold: float = THR
     return scored.groupBy("doc_id", "row", "kind", "place").agg(best).select(
         "doc_id", "kind", "place", "b.licence", "b.shared", "b.unit_size", "b.template_size", "b.dice"
     )
+
+
+#: Words that many texts have, taken last.
+_COMMON = frozenset("a all an and any as at be by for free if in is it may more no not of on or other that the this to under use will with without work you".split())
+
+
+def markers(known: list[tuple[int, int, str, int]], threshold: float) -> list[str]:
+    """Words of which every window at the threshold has one, of (template, size, bigram, n): so many of a template's
+    bigrams have one of its longest words, common ones last, that no match can do without all of them."""
+    found, of = set(), defaultdict(dict)
+    for template, size, bigram, n in known:
+        of[template, size][bigram] = n
+    for (_, size), grams in of.items():
+        spare = size - math.ceil(threshold / (2 - threshold) * size - 1e-9)
+        left = Counter(grams)
+        for word in sorted({w for b in grams for w in b.split(" ")}, key=lambda w: (w in _COMMON, -len(w), w)):
+            if size - sum(left.values()) > spare:
+                break
+            found.add(word)
+            for b in [b for b in left if word in b.split(" ")]:
+                del left[b]
+    return sorted(found)
+
+
+def scan_windows(docs: DataFrame, known: DataFrame | None = None, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, kind, place, licence, shared, unit_size, template_size, dice): kind is window, place its first word, from
+    0. Of the windows that match a template, those with the most shared bigrams (ties: the greater coefficient, the
+    first template, the first place, the shorter one), none over another.
+
+    A best window starts and ends at a bigram of its template. From each one that can start a match, the coefficient is
+    formed at each one after it as far as sizes allow. A repeated bigram counts as often as the template has it, that is
+    unless the n-th before it is in the window too."""
+    known = templates(docs.sparkSession, WINDOW_TEMPLATES) if known is None else known
+    marks = markers([tuple(r) for r in known.select("template", "size", "bigram", "n").collect()], threshold)
+    marked = F.array(*map(F.lit, marks)) if marks else F.array().cast("array<string>")
+    least, most = threshold / (2 - threshold), (2 - threshold) / threshold
+    # As in units, words are formed once; documents without a marker have no bigrams here.
+    grams = F.flatten(F.transform(F.filter(F.array(words(F.col("text"))), lambda w: (F.size(w) > 1) & F.arrays_overlap(w, marked)), bigrams))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("row"))
+    own = rows.select("doc_id", "row", F.posexplode_outer(grams).alias("pos", "bigram"))
+    of = ["doc_id", "row", "template", "licence", "size"]
+    met = own.join(F.broadcast(known), "bigram").repartition("doc_id", "row")
+
+    def hits(places: Column) -> Column:
+        """(pos, before): before is the n-th place before pos, null if there is none."""
+        earlier = lambda k: F.when(k >= F.col("n"), F.get(places, (k - F.col("n")).cast("int")))
+        return F.transform(places, lambda x, k: F.struct(x.alias("pos"), earlier(k).alias("before")))
+
+    sorted_ = met.groupBy(*of, "bigram", "n").agg(F.array_sort(F.collect_list("pos")).alias("p"))
+    each = sorted_.select(*of, F.flatten(F.transform(F.array("p"), hits)).alias("h"))
+    lists = each.groupBy(*of).agg(F.array_sort(F.flatten(F.collect_list("h"))).alias("h"))
+    need = F.ceil(least * F.col("size") - 1e-9).cast("int")
+    span = F.floor(most * F.col("size") + 1e-9).cast("int")
+    start = "struct<shared:bigint,pos:int,best:bigint,last:int,dice:double>"
+
+    def windows(h: Column) -> Column:
+        def at(k: Column) -> Column:
+            return F.get(h, k)["pos"]
+
+        def best(k: Column) -> Column:
+            first = at(k)
+
+            def step(a: Column, x: Column) -> Column:
+                shared = a["shared"] + F.when(x["before"] >= first, 0).otherwise(1)
+                unit = x["pos"] - first + 1
+                dice = 2 * shared / (unit + F.col("size"))
+                more = (unit <= span) & (dice >= threshold) & (F.struct(shared, dice) > F.struct(a["best"], a["dice"]))
+                return F.struct(
+                    shared.alias("shared"), x["pos"].alias("pos"), F.when(more, shared).otherwise(a["best"]).alias("best"),
+                    F.when(more, x["pos"]).otherwise(a["last"]).alias("last"), F.when(more, dice).otherwise(a["dice"]).alias("dice"),
+                ).cast(start)
+
+            none = F.struct(F.lit(0).alias("shared"), F.lit(-1).alias("pos"), F.lit(0).alias("best"), F.lit(-1).alias("last"), F.lit(0.0).alias("dice"))
+            run = F.aggregate(F.slice(h, k + 1, span), none.cast(start), step)
+            return F.struct(first.alias("first"), run.alias("run"))
+
+        able = F.filter(F.sequence(F.lit(0), F.size(h) - 1), lambda k: F.coalesce(at(k + need - 1) - at(k) < span, F.lit(False)))
+        return F.filter(F.transform(able, best), lambda w: w["run"]["best"] > 0)
+
+    found = lists.select(*of, F.explode_outer(F.flatten(F.transform(F.array("h"), windows))).alias("w")).where("w IS NOT NULL")
+    whole = F.struct(
+        (-F.col("w.run.best")).alias("shared"), (-F.col("w.run.dice")).alias("dice"), "template",
+        F.col("w.first").alias("first"), F.col("w.run.last").alias("last"), "licence", "size",
+    )
+    all_of = found.groupBy("doc_id", "row").agg(F.array_sort(F.collect_list(whole)).alias("all"))
+    kind = all_of.schema["all"].dataType.simpleString()
+
+    def apart(taken: Column, w: Column) -> Column:
+        over = F.exists(taken, lambda t: (t["first"] <= w["last"]) & (w["first"] <= t["last"]))
+        return F.when(over, taken).otherwise(F.concat(taken, F.array(w)))
+
+    out = all_of.select("doc_id", F.explode_outer(F.aggregate("all", F.array().cast(kind), apart)).alias("w"))
+    return out.select(
+        "doc_id", F.lit("window").alias("kind"), F.col("w.first").alias("place"), "w.licence", (-F.col("w.shared")).alias("shared"),
+        (F.col("w.last") - F.col("w.first") + 1).alias("unit_size"), F.col("w.size").alias("template_size"), (-F.col("w.dice")).alias("dice"),
+    )

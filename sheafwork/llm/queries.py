@@ -199,6 +199,12 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("dice", F.round("dice", 6))
 
 
+@_query
+def op6_license_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan_windows(_table(spark, sf_dir, "documents"))
+    return found.withColumn("dice", F.round("dice", 6))
+
+
 def _licence_sql() -> str:
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
     rows = ", ".join(f"({k}, {quoted(name)}, {quoted(text)})" for k, (name, text) in enumerate(license_scan.TEMPLATES))

@@ -57,3 +57,50 @@ def test_nulls_repeats_no_rows_and_no_python(spark):
     assert sorted(((r.doc_id, r.shared) for r in out.collect()), key=repr) == sorted([(None, 4), (1, 4), (1, 4)], key=repr)
     assert l.scan(docs.where("false")).count() == 0
     assert not re.search("Python|Arrow|Pandas", out._jdf.queryExecution().toString())
+
+
+def plain_windows(text, threshold):
+    """[(place, licence, shared, unit_size)] by comparing every run of words with every template."""
+    w = words(text or "")
+    own = list(zip(w, w[1:]))
+    found = []
+    for k, (name, template) in enumerate(l.WINDOW_TEMPLATES):
+        other = pairs(words(template))
+        size = sum(other.values())
+        for a in range(len(own)):
+            seen, shared, best = Counter(), 0, None
+            for b in range(a, len(own)):
+                seen[own[b]] += 1
+                shared += seen[own[b]] <= other[own[b]]
+                dice = 2 * shared / (b - a + 1 + size)
+                if dice >= threshold and (best is None or (shared, dice) > best[:2]):
+                    best = (shared, dice, b)
+            if best:
+                found.append((-best[0], -best[1], k, a, best[2], name))
+    taken = []
+    for f in sorted(found):
+        if not any(t[3] <= f[4] and f[3] <= t[4] for t in taken):
+            taken.append(f)
+    return sorted((f[3], f[5], -f[0], f[4] - f[3] + 1) for f in taken)
+
+
+APACHE = l.TEMPLATES[0][1]
+NOTICES = [
+    "Some project of ours\n\n" + MIT.replace("conditions: ", "conditions:\n\n").replace("Software. THE", "Software.\n\nTHE") + "\n\nThe end of it.",
+    "You should know that all this is " + APACHE + " as we have told you before and will again",
+    "intro of it\n" + "\n".join(re.findall(r".{1,60}(?:\s|$)", l.TEMPLATES[14][1])) + "\nprogram text goes on here",
+    l.WINDOW_TEMPLATES[17][1].replace("2. ", "\n\n2. "),
+    MIT + " " + MIT, "word " * 500, "the software of the software", "", None, "Licensed under CC BY-NC 4.0. Licensed under CC BY-SA 4.0.",
+]
+
+
+def test_windows_against_brute_force(spark):
+    docs = spark.createDataFrame(list(enumerate(NOTICES)), "doc_id long, text string")
+    out = l.scan_windows(docs)
+    got = {}
+    for r in out.collect():
+        got.setdefault(r.doc_id, []).append((r.place, r.licence, r.shared, r.unit_size))
+    assert {k: sorted(v) for k, v in got.items()} == {k: w for k, t in enumerate(NOTICES) if (w := plain_windows(t, 0.8))}
+    assert [[x[1] for x in sorted(got[k])] for k in range(5)] == [["MIT"], ["Apache-2.0"], ["GPL-3.0-or-later"], ["BSD-3-Clause"], ["MIT", "MIT"]]
+    assert l.scan_windows(docs.where("false")).count() == 0
+    assert not re.search("Python|Arrow|Pandas", out._jdf.queryExecution().toString())
