@@ -2,17 +2,24 @@
 
 A page is read into text blocks, each with the path of block tags from the root to it. Text length and punctuation are
 summed for each path and divided by its number of blocks; each of the two series (a value a block, in page order) is
-smoothed, both are fused, and the blocks of paths above a threshold are the content. What surrounds them decides what
-else belongs to it: the article (else main, else the least element with most of the selected text), whose blocks are
-all kept (without article and main, also the selected blocks outside of that element) but for those within menus,
-page headers, footers, sidebars, notices, adverts, forms and reader comments.
-A class or id that hints at one of those marks no element that holds the article, or most of the page's text while
-what is outside of it can't be the article.
-
+smoothed, both are fused, and the blocks of paths above a threshold are the content. A block's weight is its text times
+its path's ratio if it is content, not mostly links, and else nothing; weights decide all that follows.
+
+- An element that a class, id or role, a form or page header marks as something else than the article goes, unless it
+  holds the article by weight: an article or main element of more weight than all that isn't marked, or most of the
+  page's weight with next to nothing outside of it. Reader comments go even if they outweigh the article.
+- The article is the article (else main) element of most weight. Without one it is the least element with three
+  quarters of the weight, and content outside of it stays too.
+- In an article or main element every block is kept. Elsewhere what isn't content is kept between the title and the last
+  content, and as headings and, later, list items, cells and the like within the article; the rest (copyright lines,
+  tags, crumbs) goes.
+
+Navigation, footers, asides, buttons, dialogs, scripts, styles, templates and comments in the markup are never text.
 Character references are decoded, white space inside a block becomes one space (a line break is white space), blocks
-are joined by an empty line. Scripts, styles, templates and comments are never text. Pages are read whole; a null or
-empty page gives an empty text. Repeated rows each get their result; other columns pass through, one of the output's
-name is replaced.
+are joined by an empty line. A page is read in one pass and its elements are summed in one more, in time proportional
+to its length, however deep or broken it is. Pages are read whole; a null or empty page gives an empty text. Of
+elements of equal weight the first counts. Repeated rows each get their result; other columns pass through, one of the
+output's name is replaced; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -23,6 +30,7 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,163 +38,155 @@ from pyspark.sql import types as T
 
 from sheafwork.llm.batches import parts
 
-_MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^\"'>])*)>|</?[a-zA-Z][^>]*>", re.S
-)
+_NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
+#: What follows a tag's name, up to its end; a quoted value may hold the end's sign.
+_REST = re.compile(r"[^\"'>]*(?:(?:\"[^\"]*\"|'[^']*')[^\"'>]*)*>")
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 #: Their content isn't markup: it runs to the end tag.
 RAW = frozenset(("script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp", "noembed", "noframes"))
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW}
 VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"))
 #: Part of the running text of a block.
 INLINE = frozenset(
     ("a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr")
 )
 #: Elements that are never part of the article.
-OUTSIDE = frozenset(
-    ("head", "nav", "footer", "aside", "form", "button", "select", "option", "fieldset", "dialog", "menu", "svg", "math", "object", "canvas", "audio", "video", "input")
-)
-#: Start tags that end an open element of the same group.
-CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+OUTSIDE = frozenset(("head", "nav", "footer", "aside", "button", "select", "option", "dialog", "menu", "svg", "math", "object", "canvas", "audio", "video"))
+#: Elements that are part of it only if they hold most of the page.
+AROUND = frozenset(("form", "fieldset"))
+#: Start tags that end an open element of the same group, unless one of the barriers is in between.
+CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+_BARRIERS = ("ul", "ol", "table", "dl", "div", "article", "section", "body")
+_P_BARRIERS = (*_BARRIERS, "td", "li")
 #: Words in class or id that mark an element as something else than the article.
 HINTS = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert newsletter subscribe subscription "
-    "sidebar menu nav navbar navigation breadcrumb breadcrumbs footer comment comments disqus discussion replies share sharing social related recommended recommendations "
-    "popup modal overlay login signup toolbar pagination pager skip widget banner masthead".split()
-)
+    ("ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promotion", "cookie", "cookies", "consent", "gdpr",
+     "notice", "notices", "alert", "newsletter", "subscribe", "subscription", "sidebar", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs",
+     "footer", "copyright", "comment", "comments", "disqus", "discussion", "replies", "share", "sharing", "social", "related", "recommended", "recommendations",
+     "popup", "modal", "overlay", "login", "signup", "toolbar", "pagination", "pager", "skip", "widget", "banner", "masthead")
+)
 #: Those of reader comments, whose id marks a section within an article too.
 COMMENTS = frozenset(("comment", "comments", "disqus", "replies"))
-#: A word in a class or id that these come before tells of the page's layout.
+#: A word in a class or id that these come before tells of the page's layout, and so does one before the last two.
 LAYOUT = frozenset(("no", "has", "with", "without"))
+STATES = frozenset(("open", "closed"))
 TITLES = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 #: Elements of running text: in an article, a class that a hint is only a part of doesn't mark them if they hold sentences.
 RUNNING = TITLES | {"p", "blockquote", "pre", "li", "dt", "dd", "td", "th", "figcaption"}
 ROLES = frozenset(("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "form"))
 PUNCTUATION = re.compile(r"[.,;:!?…¿¡。，、；：！？]")
 #: Of the standard deviation of the fused series; paths at or above it are content.
-THRESHOLD = 0.5
-
-
-class Block:
-    """A run of text with no block tag inside."""
-
-    __slots__ = ("element", "text", "linked")
-
-    def __init__(self, element: int, text: str, linked: int) -> None:
-        self.element, self.text, self.linked = element, text, linked
-
-
-def _is_outside(tag: str, attributes: str, in_article: bool) -> bool:
-    if tag in OUTSIDE or tag == "header" and not in_article:
-        return True
-    if not attributes.strip() or tag in ("html", "body", "article", "main"):
-        return False
+THRESHOLD = 0.8
+#: What a neighbour counts in the Gaussian mean of the series (half a block's deviation).
+NEIGHBOUR = math.exp(-2)
+#: Share of the weight that the article holds on a page without article and main.
+ARTICLE_SHARE = 0.75
+_WEAK, _MARK, _READERS = 1, 2, 3
+
+
+def _mark(tag: str, attributes: str, in_article: bool) -> int:
+    """Whether an element is marked as something else than the article: 0 no, 1 unless it holds sentences, 2 yes, 3 as
+    reader comments."""
+    found = _MARK if tag in AROUND or tag == "header" and not in_article else 0
+    if not attributes.strip() or tag in ("html", "body", "main") or tag == "article" and "comment" not in attributes:
+        return found
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
-        if name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-    return False
-
-
-def _hint(tag: str, attributes: str, in_article: bool) -> int:
-    """Whether class or id mark an element as something else than the article: 0 no, 1 unless it holds sentences, 2 yes, 3 as
-    reader comments, which may outweigh the article.
-    """
-    if not attributes.strip() or tag in ("html", "body", "article", "main") and "comment" not in attributes:
-        return 0
-    found = 0
-    for name, value in _ATTRIBUTE.findall(attributes):
-        name = name.lower()
+        if tag != "article" and (name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and _HIDDEN.search(value)):
+            found = max(found, _MARK)
         if name not in ("class", "id"):
             continue
-        for token in value.strip("\"'").lower().split():
+        for token in value.split():
             words = [w for w in re.split(r"[^a-z]+", token) if w]
+            if words and words[-1] in STATES:
+                continue
             hints = [w for k, w in enumerate(words) if (w in HINTS or w == "header" and not in_article) and LAYOUT.isdisjoint(words[:k])]
             if in_article and name == "id" and (tag in TITLES or tag == "section" and COMMENTS.isdisjoint(hints)):
                 continue  # an anchor
             if hints:
-                found = max(found, 3 if not COMMENTS.isdisjoint(hints) else 1 if in_article and tag in RUNNING and len(hints) < len(words) else 2)
+                found = max(found, _READERS if not COMMENTS.isdisjoint(hints) else _WEAK if in_article and tag in RUNNING and len(hints) < len(words) else _MARK)
     return found
 
 
 class Page:
-    """Elements (parent, tag, whether outside the article, hint in class or id) and blocks in page order."""
+    """Elements in page order (each after its parent) and blocks of text, without those that are never text."""
 
     def __init__(self, source: str) -> None:
-        self.parents, self.tags, self.outside = [-1], ["#"], [False]
-        self.hints: dict[int, int] = {}
-        self.nested: set[int] = set()  # hinted elements within an article
-        self.blocks: list[Block] = []
-        self._stack, self._text, self._linked, self._links = [0], [], 0, 0
-        self._articles = 0
-        at = 0
-        for m in _MARKUP.finditer(source):
-            if m.start() < at:
-                continue
-            if m.start() > at:
-                self._add(source[at : m.start()])
-            at = m.end()
-            tag = (m[2] or "").lower()
-            if not tag:
-                if m[0].startswith("<![CDATA["):
-                    self._add(m[0][9:].removesuffix("]]>"), plain=True)
-            elif m[1]:
-                self._end(tag)
-            else:
-                self._start(tag, m[3])
-                if tag in RAW and not m[3].endswith("/"):
-                    past = re.compile(rf"</{tag}\b[^>]*>", re.I).search(source, at)
-                    self._end(tag)
-                    at = past.end() if past else len(source)
-        if at < len(source):
-            self._add(source[at:])
+        self.parents, self.tags, self.paths, self.outside, self.marks, self.nested, self.titled = [-1], ["#"], [0], [False], [0], [False], [False]
+        self.elements: list[int] = []  # of each block
+        self.texts: list[str] = []
+        self.linked: list[int] = []
+        self._ids = {(-1, "#"): 0}
+        self._stack, self._open = [0], defaultdict(list)  # open elements; of each tag, its places there
+        self._blocks = [0]  # places of the open elements that are no running text
+        self._text, self._linked_here = [], 0
+        self._scan(source)
         self._flush()
-        self._judge()
 
-    def _judge(self) -> None:
-        """Mark what hints stand for as outside, but for elements that hold the article."""
-        if not self.hints:
-            return
-        hinted = defaultdict(list)  # of each hinted element, its blocks
-        free = held = 0
-        for b in self.blocks:
-            line = self.ancestors(b.element)
-            if any(self.outside[e] for e in line):
-                continue
-            marks = [e for e in line if e in self.hints]
-            sentence = len(b.text) if PUNCTUATION.search(b.text) and 2 * b.linked <= len(b.text) else 0
-            text = len(b.text) - min(b.linked, len(b.text))
-            held += text
-            free += 0 if marks else text
-            in_article = 0
-            for e in line:  # from the inside: an article counts for what is around it
-                if e in self.hints:
-                    hinted[e].append((text, sentence, in_article, any(self.tags[x] == "h1" for x in line)))
-                if self.tags[e] in ("article", "main") and e not in self.hints:
-                    in_article = text
-        for e, hint in self.hints.items():
-            blocks = hinted[e]
-            text, sentences, article = (sum(b[k] for b in blocks) for k in range(3))
-            if hint == 1 and (sentences or self.tags[e] in TITLES):
-                continue
-            if article and article >= free and e not in self.nested:
-                continue
-            if 2 * text > held and (any(b[3] for b in blocks) or (free == 0 if hint == 3 else 10 * free < text)):
-                continue  # what surrounds the article, unless what is outside can be the article itself
-            self.outside[e] = True
+    def _scan(self, source: str) -> None:
+        at, n, quotes = 0, len(source), True
+        while at < n:
+            sign = source.find("<", at)
+            if sign < 0:
+                self._add(source[at:])
+                return
+            if sign > at:
+                self._add(source[at:sign])
+            if source.startswith("<!--", sign):
+                past = source.find("-->", sign + 4)
+                at = n if past < 0 else past + 3
+            elif source.startswith("<![CDATA[", sign):
+                past = source.find("]]>", sign)
+                self._add(source[sign + 9 : n if past < 0 else past], plain=True)
+                at = n if past < 0 else past + 3
+            elif source.startswith(("<!", "<?"), sign):
+                past = source.find(">", sign)
+                at = n if past < 0 else past + 1
+            else:
+                name = _NAME.match(source, sign)
+                end = source.find(">", sign) if name else -1
+                if name is None:
+                    self._add("<")
+                    at = sign + 1
+                elif end < 0:  # no tag ends any more
+                    self._add(source[sign:])
+                    return
+                else:
+                    rest = _REST.match(source, name.end()) if quotes else None
+                    quotes = rest is not None  # a quote that never ends: from here on, tags end at the first sign
+                    at = rest.end() if rest else end + 1
+                    at = self._tag(source, name[1].lower(), source[sign + 1] == "/", source[name.end() : at - 1], at)
+
+    def _tag(self, source: str, tag: str, ends: bool, attributes: str, at: int) -> int:
+        if ends:
+            self._end(tag)
+            return at
+        self._start(tag, attributes)
+        if tag in RAW and not attributes.endswith("/"):
+            found = _RAW_END[tag].search(source, at)
+            past = source.find(">", found.start()) if found else -1
+            self._end(tag)
+            return len(source) if past < 0 else past + 1
+        return at
 
     def _add(self, text: str, plain: bool = False) -> None:
         text = text if plain or "&" not in text else entities.unescape(text)
         self._text.append(text)
-        if self._links:
-            self._linked += len(text.strip())
+        if self._open["a"]:
+            self._linked_here += len(text.strip())
 
     def _flush(self) -> None:
-        text = " ".join("".join(self._text).split())
-        if text:
-            self.blocks.append(Block(self._stack[-1], text, self._linked))
-        self._text, self._linked = [], 0
+        element = self._stack[-1]
+        if self._text and not self.outside[element]:
+            text = " ".join("".join(self._text).split())
+            if text:
+                self.elements.append(element), self.texts.append(text), self.linked.append(self._linked_here)
+        self._text, self._linked_here = [], 0
+
+    def _top(self, tags: tuple[str, ...]) -> int:
+        """The place of the last open element of some tags, or -1."""
+        return max(self._open[t][-1] if self._open[t] else -1 for t in tags)
 
     def _start(self, tag: str, attributes: str) -> None:
         if tag == "br":
@@ -197,79 +197,54 @@ class Page:
             return
         if tag not in INLINE:
             self._flush()
-            if tag in CLOSES:
-                self._close(CLOSES[tag], {"ul", "ol", "table", "dl", "div", "article", "section", "body"})
-            else:
-                self._close({"p"}, {"ul", "ol", "table", "dl", "div", "article", "section", "body", "td", "li"})
-        elif tag in RAW:
-            self._flush()
-        parent = self._stack[-1]
-        outside = self.outside[parent] or tag in RAW or _is_outside(tag, attributes, self._articles > 0)
-        hint = 0 if outside else _hint(tag, attributes, self._articles > 0)
-        if (hint or outside and not self.outside[parent]) and tag in INLINE:
+            place = self._top(CLOSES.get(tag, ("p",)))
+            if place > self._top(_BARRIERS if tag in CLOSES else _P_BARRIERS):
+                self._pop_to(place)
+        parent, in_article = self._stack[-1], bool(self._open["article"])
+        outside = self.outside[parent] or tag in RAW or tag in OUTSIDE
+        mark = 0 if outside else _mark(tag, attributes, in_article)
+        if tag in INLINE and (mark or outside != self.outside[parent]):
             self._flush()  # a marked span parts the text around it
-        self.parents.append(parent)
-        self.tags.append(tag)
-        self.outside.append(outside)
-        if hint:
-            self.hints[len(self.tags) - 1] = hint
-            if self._articles:
-                self.nested.add(len(self.tags) - 1)
+        path = self.paths[parent]
+        if tag not in INLINE:
+            path = self._ids.setdefault((path, tag), len(self._ids))
+        self.parents.append(parent), self.tags.append(tag), self.paths.append(path), self.outside.append(outside)
+        self.marks.append(mark), self.nested.append(in_article), self.titled.append(self.titled[parent] or tag == "h1")
         if attributes.endswith("/") and tag in ("svg", "path"):
             return
+        self._open[tag].append(len(self._stack))
+        if tag not in INLINE:
+            self._blocks.append(len(self._stack))
         self._stack.append(len(self.tags) - 1)
-        self._articles += tag == "article"
-        self._links += tag == "a"
-
-    def _pop(self) -> None:
-        e = self._stack.pop()
-        self._articles -= self.tags[e] == "article"
-        self._links -= self.tags[e] == "a"
-
-    def _close(self, tags: set[str], barrier: set[str]) -> None:
-        for k in range(len(self._stack) - 1, 0, -1):
-            tag = self.tags[self._stack[k]]
-            if tag in tags:
-                while len(self._stack) > k:
-                    self._pop()
-                return
-            if tag in barrier:
-                return
+
+    def _pop_to(self, place: int) -> None:
+        while len(self._stack) > place:
+            tag = self.tags[self._stack.pop()]
+            self._open[tag].pop()
+            if self._blocks[-1] == len(self._stack):
+                self._blocks.pop()
 
     def _end(self, tag: str) -> None:
-        if tag not in INLINE or tag in RAW:
+        if tag not in INLINE:
             self._flush()
-        for k in range(len(self._stack) - 1, 0, -1):
-            open_tag = self.tags[self._stack[k]]
-            if open_tag == tag:
-                e = self._stack[k]
-                if tag in INLINE and (e in self.hints or self.outside[e] != self.outside[self.parents[e]]):
-                    self._flush()
-                while len(self._stack) > k:
-                    self._pop()
-                return
-            if tag in INLINE and open_tag not in INLINE:
-                return  # a stray end tag of running text closes no block
-
-    def ancestors(self, element: int) -> list[int]:
-        out = []
-        while element >= 0:
-            out.append(element)
-            element = self.parents[element]
-        return out
+        place = self._open[tag][-1] if self._open[tag] else -1
+        if place < 0 or tag in INLINE and place < self._blocks[-1]:
+            return  # a stray end tag; one of running text closes no block
+        e = self._stack[place]
+        if tag in INLINE and (self.marks[e] or self.outside[e] != self.outside[self.parents[e]]):
+            self._flush()
+        self._pop_to(place)
 
 
-def smoothed(values: list[float], radius: int = 1) -> list[float]:
-    """A Gaussian mean over the neighbours in page order."""
-    weights = [math.exp(-(k * k) / 2) for k in range(-radius, radius + 1)]
-    out = []
-    for i in range(len(values)):
-        near = [(values[j], w) for j, w in zip(range(i - radius, i + radius + 1), weights) if 0 <= j < len(values)]
-        out.append(sum(v * w for v, w in near) / sum(w for _, w in near))
-    return out
+def smoothed(values: list[float]) -> list[float]:
+    """A Gaussian mean over each value and its neighbours in page order."""
+    if not values:
+        return []
+    weights = [NEIGHBOUR, 1.0, NEIGHBOUR]
+    return (np.convolve(values, weights)[1:-1] / np.convolve(np.ones(len(values)), weights)[1:-1]).tolist()
 
 
-def path_ratios(paths: list[tuple[str, ...]], texts: list[str]) -> list[float]:
+def path_ratios(paths: list, texts: list[str]) -> list[float]:
     """The fused series: of each block, its path's text length and punctuation by block, each smoothed and scaled."""
     length, marks, count = defaultdict(int), defaultdict(int), defaultdict(int)
     for path, text in zip(paths, texts):
@@ -290,43 +265,104 @@ def selected(fused: list[float]) -> list[bool]:
     return [x >= THRESHOLD * spread for x in fused]
 
 
+def _sums(page: Page, values: list[float]) -> list[float]:
+    """Of each element, the sum of its blocks' values, those of the elements in it included."""
+    out = [0.0] * len(page.tags)
+    for e, value in zip(page.elements, values):
+        out[e] += value
+    for e in range(len(out) - 1, 0, -1):
+        out[page.parents[e]] += out[e]
+    return out
+
+
+def _ratios(page: Page) -> tuple[list[bool], list[float]]:
+    """Of each block, whether it is content by its path, and its weight."""
+    fused = path_ratios([page.paths[e] for e in page.elements], page.texts)
+    content = selected(fused)
+    return content, [len(t) * x if c and 2 * a <= len(t) else 0.0 for t, x, c, a in zip(page.texts, fused, content, page.linked)]
+
+
+def _dropped(page: Page, weights: list[float]) -> list[bool]:
+    """Of each element, whether it is, or is in, one that is marked and doesn't hold the article."""
+    n = len(page.tags)
+    marked, gone = [False] * n, [False] * n
+    for e in range(1, n):
+        marked[e] = marked[page.parents[e]] or page.marks[e] > 0
+    if not any(marked):
+        return gone
+    weight = _sums(page, weights)
+    sentences = _sums(page, [float(2 * a <= len(t) and PUNCTUATION.search(t) is not None) for t, a in zip(page.texts, page.linked)])
+    titles = _sums(page, [float(page.titled[e]) for e in page.elements])
+    free = sum(w for e, w in zip(page.elements, weights) if not marked[e])
+    articles = [0.0] * n  # of each element, the weight of unmarked articles in it
+    for e in range(n - 1, 0, -1):
+        articles[page.parents[e]] += weight[e] if page.tags[e] in ("article", "main") and not page.marks[e] else articles[e]
+    for e in range(1, n):
+        gone[e] = gone[page.parents[e]]
+        if gone[e] or not page.marks[e]:
+            continue
+        if page.marks[e] == _WEAK and (sentences[e] or page.tags[e] in TITLES):
+            continue
+        if articles[e] and articles[e] >= free and not page.nested[e]:
+            continue
+        most, alone = 2 * weight[e] > weight[0], free == 0 if page.marks[e] == _READERS else 10 * free < weight[e]
+        gone[e] = not (most and (titles[e] or alone and sentences[e]))
+    return gone
+
+
+def _above(page: Page, element: int) -> int:
+    """What a title stands in."""
+    while page.titled[element]:
+        element = page.parents[element]
+    return element
+
+
 def extract_blocks(source: str | None) -> list[str]:
     """The blocks of the article, in page order."""
     if not source:
         return []
     page = Page(source)
-    blocks = [b for b in page.blocks if not page.outside[b.element] and not any(page.outside[e] for e in page.ancestors(b.element))]
-    if not blocks:
+    gone = _dropped(page, _ratios(page)[1])
+    left = [k for k, e in enumerate(page.elements) if not gone[e]]
+    if not left:
         return []
-    lines = [page.ancestors(b.element) for b in blocks]
-    paths = [tuple(page.tags[e] for e in reversed(line) if page.tags[e] not in INLINE) for line in lines]
-    fused = path_ratios(paths, [b.text for b in blocks])
-    content = selected(fused)
-    weight: dict[int, float] = defaultdict(float)
-    for b, line, score, chosen in zip(blocks, lines, fused, content):
-        if chosen:
-            for e in line:
-                weight[e] += len(b.text) * score
+    page.elements, page.texts, page.linked = ([x[k] for k in left] for x in (page.elements, page.texts, page.linked))
+    content, weights = _ratios(page)
+    own = [2 * a <= len(t) for t, a in zip(page.texts, page.linked)]
+    if not any(weights):  # links only
+        weights = [float(len(t)) if c else 0.0 for t, c in zip(page.texts, content)]
+    weight = _sums(page, weights)
+    n = len(page.tags)
+    last, depth = list(range(n)), [0] * n
+    for e in range(n - 1, 0, -1):
+        last[page.parents[e]] = max(last[page.parents[e]], last[e])
+    for e in range(1, n):
+        depth[e] = depth[page.parents[e]] + 1
     for tag in ("article", "main"):
-        found = [e for e in weight if page.tags[e] == tag and not any(page.tags[x] == tag for x in page.ancestors(e)[1:])]
+        found = [e for e in range(1, n) if page.tags[e] == tag and weight[e] > 0]
         if found:
-            root = max(found, key=lambda e: (weight[e], -e))
-            return [b.text for b, line in zip(blocks, lines) if root in line]
-    root = max((e for e in weight if weight[e] >= 0.75 * weight[0]), key=lambda e: (len(page.ancestors(e)), -e))
-    while page.tags[root] in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "blockquote", "pre", "tr", "td", "tbody", "table") and page.parents[root] > 0:
+            root = max(found, key=lambda e: (weight[e], -depth[e], -e))
+            return [t for e, t in zip(page.elements, page.texts) if root <= e <= last[root]]
+    root = max((e for e in range(n) if weight[e] >= ARTICLE_SHARE * weight[0]), key=lambda e: (depth[e], -e))
+    while page.tags[root] in RUNNING | INLINE | {"ul", "ol", "dl", "tr", "tbody", "table"} and page.parents[root] > 0:
         root = page.parents[root]
-
-    # The root adds blocks that aren't selected; of the selected outside of it, only links go. The page's title stays
-    # where it stands within the least element around all that is selected.
-    own = [2 * b.linked <= len(b.text) for b in blocks]
-    around = set.intersection(*(set(line) for line, x, chosen in zip(lines, own, content) if chosen and (x or root in line)))
-
-    def kept(line: list[int], chosen: bool, own: bool) -> bool:
-        if any(page.tags[e] == "h1" for e in line) and (chosen or around <= set(line)):
-            return True
-        return chosen or own if root in line else chosen and own
-
-    return [b.text for b, line, chosen, x in zip(blocks, lines, content, own) if kept(line, chosen, x)]
+    inside = [root <= e <= last[root] for e in page.elements]
+    # The page's title stays where it stands within the least element around all that is content, and what it leads in.
+    chosen = [c and (o or i) for c, o, i in zip(content, own, inside)]
+    held = _sums(page, [float(c) for c in chosen])
+    around = max((e for e in range(n) if held[e] == held[0]), key=lambda e: (depth[e], -e))
+    first, final = chosen.index(True), len(chosen) - 1 - chosen[::-1].index(True)
+    titles = [k for k in range(first) if page.titled[page.elements[k]] and _above(page, page.elements[k]) <= root <= last[_above(page, page.elements[k])]]
+    start = titles[-1] if titles else first
+    out = []
+    for k, (e, text) in enumerate(zip(page.elements, page.texts)):
+        tags = {page.tags[e], page.tags[page.parents[e]]}
+        title = k == start or page.titled[e] and (content[k] or around <= e <= last[around])
+        running = not RUNNING.isdisjoint(tags)
+        within = start < k < final or running and k > start or not TITLES.isdisjoint(tags)
+        if title or chosen[k] or own[k] and (within if inside[k] else start < k < first and running):
+            out.append(text)
+    return out
 
 
 def extract(source: str | None) -> str:

@@ -1,5 +1,9 @@
 import html
+import math
+import random
 import re
+import time
+from html.parser import HTMLParser
 
 import pytest
 
@@ -79,6 +83,121 @@ def test_selected_blocks_outside_the_root_stay(n):
     assert h.extract_blocks(linked) == ["Title"] + 4 * n * [ONE, TWO]
 
 
+ARTICLE = f"<h1>Title</h1><p>{ONE} {TWO}</p><p>{TWO} {ONE}</p>"
+WRAPPERS = [
+    "<body class='comments-open'>%s</body>",
+    "<body><div class='with-sidebar'>%s</div></body>",
+    "<body><div id='page' class='has-banner'>%s</div></body>",
+    "<body><main class='no-comments'>%s</main></body>",
+    "<body><form>%s</form></body>",
+    "<body><div class='site menu'>%s</div></body>",
+]
+
+
+@pytest.mark.parametrize("wrapper", WRAPPERS)
+@pytest.mark.parametrize("tag", ["<article>%s</article>", "<article class='post comments-open'>%s</article>", "<div class=post>%s</div>"])
+def test_wrappers_lose_no_article(wrapper, tag):
+    page = wrapper % ("<nav><a href=a>Home</a></nav>" + tag % ARTICLE + "<footer>f</footer>")
+    assert h.extract_blocks(page) == ["Title", f"{ONE} {TWO}", f"{TWO} {ONE}"]
+
+
+#: Pages without article, main, or any word that says what is what.
+BARE = [
+    f"<div><div><span>Home</span> <span>News</span></div>{ARTICLE}<div>All rights of this page</div></div>",
+    f"<div>Some site</div><div>{ARTICLE}</div><div>Made by us</div>",
+    f"<table><tr><td>Top<td>More</table><div><div>{ARTICLE}</div></div><table><tr><td>Map<td>Help</table>",
+    f"<ul><li>Home<li>Shop<li>About</ul><div>{ARTICLE}</div><ul><li>Terms<li>Privacy</ul>",
+    f"<div><div>12 May</div>{ARTICLE}<div><div>Topics</div><div>sea</div><div>wind</div></div></div>",
+    f"<section><div>Home / Sea</div><div>{ARTICLE}</div></section><section><div>Top</div></section>",
+    f"<dl><dt>Site<dd>Shop</dl>{ARTICLE}<div><div>Tel</div></div>",
+    f"<div>{ARTICLE}</div>",
+]
+
+
+def test_ratios_decide_without_marks(monkeypatch):
+    want = ["Title", f"{ONE} {TWO}", f"{TWO} {ONE}"]
+    assert [h.extract_blocks(p) for p in BARE] == [want] * len(BARE)
+    monkeypatch.setattr(h, "selected", lambda fused: [True] * len(fused))
+    assert sum(h.extract_blocks(p) != want for p in BARE) == 7
+
+
+class Plain(HTMLParser):
+    """Blocks and their tag paths of a well-formed page, by another parser."""
+
+    def __init__(self, page):
+        super().__init__()
+        self.stack, self.rows, self.text = [], [], ""
+        self.feed(page), self.cut()
+
+    def cut(self):
+        if self.text.strip():
+            self.rows.append((tuple(t for t in self.stack if t not in h.INLINE), " ".join(self.text.split())))
+        self.text = ""
+
+    def handle_starttag(self, tag, attrs):
+        if tag not in h.INLINE:
+            self.cut()
+        self.stack.append(tag)
+
+    def handle_endtag(self, tag):
+        if tag not in h.INLINE:
+            self.cut()
+        self.stack.pop()
+
+    def handle_data(self, data):
+        self.text += data
+
+
+def test_ratios_against_another_version():
+    r = random.Random(5)
+
+    def grown(depth):
+        if depth == 0 or r.random() < 0.2:
+            return " ".join(r.choice(["word", "a, b.", "<b>bold</b>", "end!"]) for _ in range(r.randrange(1, 9)))
+        return "".join(f"<{t}>{grown(depth - 1)}</{t}>" for t in (r.choice(["div", "section", "blockquote"]) for _ in range(r.randrange(1, 4))))
+
+    for _ in range(40):
+        page = grown(4)
+        rows = Plain(page).rows
+        own = h.Page(page)
+        assert own.texts == [t for _, t in rows]
+        paths = [p for p, _ in rows]
+        mean = lambda f: [sum(f(t) for q, t in rows if q == p) / paths.count(p) for p in paths]
+        length, marks = mean(len), [(a + 1 / paths.count(p)) for a, p in zip(mean(lambda t: len(h.PUNCTUATION.findall(t))), paths)]
+        e = h.NEIGHBOUR
+
+        def smooth(x):
+            pad = [None, *x, None]
+            return [sum(w * v for w, v in zip((e, 1, e), pad[k : k + 3]) if v is not None) / sum(w for w, v in zip((e, 1, e), pad[k : k + 3]) if v is not None) for k in range(len(x))]
+
+        a, b = smooth(length), smooth(marks)
+        want = [math.sqrt(x / max(a) * y / max(b)) for x, y in zip(a, b)]
+        assert h.path_ratios([own.paths[x] for x in own.elements], own.texts) == pytest.approx(want)
+        spread = (sum((x - sum(want) / len(want)) ** 2 for x in want) / len(want)) ** 0.5
+        sure = [(x > h.THRESHOLD * spread, y) for x, y in zip(want, h.selected(want)) if abs(x - h.THRESHOLD * spread) > 1e-9]
+        assert all(x == y for x, y in sure)
+
+
+@pytest.mark.parametrize(
+    "page, size",
+    [
+        ("<div " * 100_000, 499_999),
+        ("<div>x " * 100_000, 300_000 - 2),
+        ("<div>" * 50_000 + "</p>" * 50_000, 0),
+        ("<i><div>" + "<b>" * 50_000 + "</i>" * 50_000, 0),
+        ("<p><li>" + "<b>" * 30_000 + "<h1></h1>" * 30_000, 0),
+        ("<a x='>' " * 50_000, None),
+        ("<script>" + "</script" * 50_000, 0),
+        ("<!--" * 50_000, 0),
+    ],
+)
+def test_time_grows_with_the_length_of_a_broken_page(page, size):
+    began = time.process_time()
+    text = h.extract(page)
+    assert size is None or len(text) == size
+    assert time.process_time() - began < 4  # a quadratic reader takes minutes
+
+
 def test_long_and_broken_pages():
     assert h.extract("<article><p>" + "word " * 200_000 + "</article>") == ("word " * 200_000).strip()
     assert h.extract("<div>" * 3000 + "deep" + "</b></div>" * 10) == "deep"
