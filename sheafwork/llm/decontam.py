@@ -11,8 +11,10 @@ item's phrases are its windows of so many consecutive words, or all its words if
 occurrence of a phrase is hit.
 
 A null text has no words. Items without words or with a null item_id take no part; items that repeat count once. Rows
-that repeat a doc_id are judged by their own text each, also where doc_id is null. Other columns aren't read. Tables
-that go to every executor are counted first and have another way beyond a bound.
+that repeat a doc_id are judged by their own text each, also where doc_id is null. Other columns aren't read and may
+have any name. Texts are read whole, whatever their length; empty tables give no rows, or no hits. No result depends on
+an order, so there are no ties. Tables that go to every executor are measured first, by rows and bytes; beyond the
+bounds, keys that many rows share are dealt to several parts.
 """
 
 from __future__ import annotations
@@ -21,12 +23,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheafwork.llm import scratch
+from sheafwork.llm.columns import unused
 
 WINDOW = 13
 #: Terms of a phrase, from the rarest, whose postings are intersected.
 INTERSECTED = 3
-#: Rows up to which a table goes to every executor.
+#: Rows, and bytes of them written out, up to which a table goes to every executor.
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 64 << 20
+#: Parts that a key's rows are dealt to where a table is beyond those bounds.
+SALTS = 64
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Stands for a document's end: its posting is at the place past the last word. No word is empty.
@@ -40,9 +46,26 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(low, F.lit("")), _BETWEEN), "")
 
 
+def is_small(df: DataFrame) -> bool:
+    """Whether a table may go to every executor, by its rows and bytes."""
+    rows, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0))).first()
+    return rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES
+
+
 def small(df: DataFrame) -> DataFrame:
-    """df, marked for broadcast if its rows are few."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    """df, marked for broadcast if it is small."""
+    return F.broadcast(df) if is_small(df) else df
+
+
+def by_key(many: DataFrame, few: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Join on a key that a large share of many's rows may have in common. few goes to every executor if it is small;
+    else each key's rows of many are dealt to SALTS parts and few is repeated for each."""
+    if is_small(few):
+        return many.join(F.broadcast(few), key, how)
+    salt = F.pmod(F.xxhash64(*(F.col(c) for c in many.columns if c != key)), F.lit(SALTS)).cast("int")
+    name = unused(many.join(few.limit(0), key), "salt") if how == "inner" else unused(many, "salt")
+    repeated = few.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return many.withColumn(name, salt).join(repeated, [key, name], how).drop(name)
 
 
 def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -76,7 +99,7 @@ def build_index(docs: DataFrame, vocabulary: DataFrame | None = None) -> DataFra
     rows = docs.select("doc_id", "id", "version", F.posexplode(F.concat(words(F.col("text")), F.array(F.lit(_END)))).alias("pos", "term"))
     if vocabulary is not None:
         wanted = scratch.stored(vocabulary.select("term").union(vocabulary.sparkSession.createDataFrame([(_END,)], "term string")).distinct(), "vocabulary")
-        rows = rows.join(small(wanted), "term", "left_semi")
+        rows = by_key(rows, wanted, "term", "left_semi")
     return scratch.stored(rows.select("term", "doc_id", "id", "version", "pos"), "postings")
 
 
@@ -84,7 +107,7 @@ def phrase_candidates(index: DataFrame, phrases: DataFrame) -> DataFrame:
     """(phrase, id, version, start): where the rarest terms of a phrase are at its offsets."""
     often = index.where(F.col("term") != _END).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     places = phrases.select("phrase", "length", F.posexplode("terms").alias("offset", "term"))
-    ranked = places.join(small(scratch.stored(often, "frequencies")), "term").groupBy("phrase").agg(
+    ranked = by_key(places, scratch.stored(often, "frequencies"), "term").groupBy("phrase").agg(
         F.count(F.lit(1)).alias("found"), F.first("length").alias("length"), F.sort_array(F.collect_list(F.struct("n", "offset", "term"))).alias("order")
     )
     # A phrase has at most as many terms as the window is long; one that has a term the index lacks occurs nowhere.
@@ -95,12 +118,11 @@ def phrase_candidates(index: DataFrame, phrases: DataFrame) -> DataFrame:
             "phrase", F.col("order")[k]["term"].alias("term"), F.col("order")[k]["offset"].alias("offset")
         )
         if found is None:
-            hits = index.join(small(term), "term").select("phrase", "id", "version", (F.col("pos") - F.col("offset")).alias("start"))
+            hits = by_key(index, term, "term").select("phrase", "id", "version", (F.col("pos") - F.col("offset")).alias("start"))
             found = hits.where("start >= 0")
             continue
-        needed = small(term.select("term").distinct())
-        there = index.join(needed, "term", "left_semi").select("term", "id", "version", F.col("pos").alias("at"))
-        wanted = found.join(small(term), "phrase", "left").withColumn("at", F.col("start") + F.col("offset"))
+        there = by_key(index, term.select("term").distinct(), "term", "left_semi").select("term", "id", "version", F.col("pos").alias("at"))
+        wanted = by_key(found, term, "phrase", "left").withColumn("at", F.col("start") + F.col("offset"))
         kept = wanted.where(F.col("term").isNotNull()).join(there.distinct(), ["term", "id", "version", "at"], "left_semi")
         found = kept.select("phrase", "id", "version", "start").unionByName(
             wanted.where(F.col("term").isNull()).select("phrase", "id", "version", "start")
@@ -111,7 +133,7 @@ def phrase_candidates(index: DataFrame, phrases: DataFrame) -> DataFrame:
 def phrase_matches(docs: DataFrame, index: DataFrame, phrases: DataFrame) -> DataFrame:
     """(id, version, hits): of each document that has any, its phrases' occurrences, as array<struct<start, end,
     phrase>>, end exclusive, each once. docs as by keyed()."""
-    found = phrase_candidates(index, phrases).join(small(phrases), "phrase")
+    found = by_key(phrase_candidates(index, phrases), phrases, "phrase")
     by_doc = found.groupBy("id", "version").agg(F.collect_list(F.struct("start", "length", "terms", "phrase")).alias("places"))
     by_doc = scratch.stored(by_doc, "candidates")
     narrow = docs.select("id", "version", "text")
@@ -143,8 +165,7 @@ def judged(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame
     index = build_index(rows, phrases.select(F.explode("terms").alias("term")))
     matches = scratch.stored(phrase_matches(rows, index, phrases), "matches")
     of_items = (
-        matches.select("id", "version", F.explode(F.array_distinct("hits.phrase")).alias("phrase"))
-        .join(small(phrase_items), "phrase")
+        by_key(matches.select("id", "version", F.explode(F.array_distinct("hits.phrase")).alias("phrase")), phrase_items, "phrase")
         .groupBy("id", "version")
         .agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"))
     )
@@ -165,9 +186,10 @@ def judged(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame
 def without_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs without the rows that are contaminated; all their columns stay."""
     bad = judged(docs.select("doc_id", "text"), items, window).where("contaminated")
-    bad = scratch.stored(bad.select(F.col("id").alias("_id"), F.col("version").alias("_version")).distinct(), "contaminated")
+    own, text = unused(docs, "_id"), unused(docs, "_version")
+    bad = scratch.stored(bad.select(F.col("id").alias(own), F.col("version").alias(text)).distinct(), "contaminated")
     own_id = F.coalesce(docs["doc_id"].cast("long"), F.lit(0))
-    same = (own_id == F.col("_id")) & (F.xxhash64(docs["text"], docs["doc_id"].isNull()) == F.col("_version"))
+    same = (own_id == F.col(own)) & (F.xxhash64(docs["text"], docs["doc_id"].isNull()) == F.col(text))
     return docs.join(small(bad), same, "left_anti")
 
 
