@@ -8,13 +8,15 @@ lacks the n-gram. Ties of counts go to the smaller n-gram, ties of distances to
 
 score is 1 minus the winning distance over the largest possible one. A text that is null or has no letter is "und" with
 score 0, as is every text if nothing was learned. Rows whose label is null teach nothing, nor do texts without letters.
-Repeated rows count each. Other columns pass through untouched, one of an output's name is replaced.
+Repeated rows count each. Texts are counted whole, whatever their length, in pieces of bounded size. An empty table
+teaches nothing, or gives no rows. Other columns pass through untouched, one of an output's name is replaced.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -22,13 +24,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sheafwork.llm import scratch
 from sheafwork.llm.batches import parts
+from sheafwork.llm.columns import unused
 
 UNKNOWN = "und"
 #: N-grams in a profile and n-grams of a document that are compared.
 PROFILE_SIZE = 400
 DOCUMENT_SIZE = 300
-#: More languages than this are refused: their profiles go to every executor.
+#: Languages whose profiles go to every executor; more are joined as a table.
 MAX_LANGUAGES = 2000
 _SPACE = 32
 _BREAK = 0x110000
@@ -165,8 +169,9 @@ def learn(labelled: DataFrame, text: str = "text", label: str = "lang", size: in
     rows = labelled.where(F.col(label).isNotNull()).select(F.col(text).alias("text"), F.col(label).cast("string").alias("label"))
     counts = rows.mapInArrow(_count_partition, "label string, gram long, n long").groupBy("label", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("label").orderBy(F.desc("n"), "gram")
-    ranked = counts.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < size)
-    return ranked.select("label", "gram", "rank")
+    # The bound is on the place itself, so that each task keeps only its first ones before they are shuffled.
+    ranked = counts.withColumn("place", F.row_number().over(order)).where(F.col("place") <= size)
+    return ranked.select("label", "gram", (F.col("place") - 1).alias("rank"))
 
 
 class Profiles:
@@ -195,12 +200,20 @@ class Profiles:
         return self.labels[best], 1.0 - float(distances[best]) / (self.size * len(own))
 
 
-def collect_profiles(profiles: DataFrame, size: int = PROFILE_SIZE) -> Profiles:
-    """Profiles on the driver: at most MAX_LANGUAGES times size rows, else an error."""
-    rows = profiles.limit(MAX_LANGUAGES * size + 1).collect()
-    if len(rows) > MAX_LANGUAGES * size:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    return Profiles([tuple(r) for r in rows], size)
+@dataclass(frozen=True)
+class ProfileTable:
+    """Profiles of more languages than go to every executor, as a table (label, gram, rank)."""
+
+    rows: DataFrame
+    size: int = PROFILE_SIZE
+
+
+def collect_profiles(profiles: DataFrame, size: int = PROFILE_SIZE) -> Profiles | ProfileTable:
+    """Profiles on the driver if there are at most MAX_LANGUAGES; else they stay a table."""
+    profiles = scratch.stored(profiles, "profiles")
+    if profiles.select("label").distinct().count() > MAX_LANGUAGES:
+        return ProfileTable(profiles, size)
+    return Profiles([tuple(r) for r in profiles.collect()], size)
 
 
 def predicted(text: Column, profiles: Profiles) -> Column:
@@ -215,8 +228,40 @@ def predicted(text: Column, profiles: Profiles) -> Column:
     return run(text)
 
 
-def identify(docs: DataFrame, profiles: Profiles, text: str = "text", lang: str = "lang_pred", score: str = "score") -> DataFrame:
+def _by_table(docs: DataFrame, profiles: ProfileTable, text: str, name: str) -> DataFrame:
+    """docs with the same struct as column name, by a join with the profiles' table on n-grams: a row's n-grams are
+    bounded, its distances are summed by row and language."""
+
+    @F.arrow_udf("array<bigint>")
+    def top(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in parts(texts):
+            yield pa.array([top_grams(letter_codes(x.as_py()), DOCUMENT_SIZE) for x in batch], pa.list_(pa.int64()))
+
+    row = unused(docs, "row")
+    docs = scratch.stored(docs.withColumn(row, F.monotonically_increasing_id()), "rows-to-identify")
+    grams = docs.select(F.col(row).alias("row"), top(F.col(text)).alias("grams")).where(F.size("grams") > 0)
+    own = grams.select("row", F.size("grams").alias("n"), F.posexplode("grams").alias("at", "gram"))
+    saved = profiles.size - F.least(F.abs(F.col("rank") - F.col("at")), F.lit(profiles.size))
+    salt = lambda x: F.pmod(x, F.lit(64)).cast("int")  # noqa: E731  frequent n-grams are in most rows
+    known = profiles.rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(63))))
+    met = own.withColumn("salt", salt(F.xxhash64("row"))).join(known, ["gram", "salt"])
+    sums = met.groupBy("row", "n", "label").agg(F.sum(saved).alias("saved"))
+    first = profiles.rows.agg(F.min("label").alias("first"))  # wins where no profile has any of the n-grams
+    best = sums.groupBy("row", "n").agg(F.min(F.struct((-F.col("saved")).alias("order"), "label")).alias("b"))
+    found = grams.select("row", F.size("grams").alias("n")).join(best.drop("n"), "row", "left").crossJoin(F.broadcast(first))
+    score = F.coalesce(-F.col("b.order"), F.lit(0)) / (profiles.size * F.col("n"))
+    label = F.when(F.coalesce(F.col("b.order"), F.lit(0)) < 0, F.col("b.label")).otherwise(F.col("first"))
+    found = found.select(F.col("row").alias(row), F.struct(label.alias("lang"), score.alias("score")).alias(name))
+    none = F.struct(F.lit(UNKNOWN).alias("lang"), F.lit(0.0).alias("score"))
+    return docs.join(found, row, "left").drop(row).withColumn(name, F.coalesce(name, none))
+
+
+def identify(docs: DataFrame, profiles: Profiles | ProfileTable, text: str = "text", lang: str = "lang_pred", score: str = "score") -> DataFrame:
     """docs with the predicted language and its score."""
     kept = [c for c in docs.columns if c.lower() not in (lang.lower(), score.lower())]
-    out = docs.select(*(F.col(f"`{c}`") for c in kept), predicted(F.col(text), profiles).alias("_predicted"))
-    return out.select(*(F.col(f"`{c}`") for c in kept), F.col("_predicted.lang").alias(lang), F.col("_predicted.score").alias(score))
+    name = unused(docs, "predicted")
+    if isinstance(profiles, ProfileTable):
+        out = _by_table(docs, profiles, text, name)
+    else:
+        out = docs.withColumn(name, predicted(F.col(f"`{text}`"), profiles))
+    return out.select(*(F.col(f"`{c}`") for c in kept), F.col(f"{name}.lang").alias(lang), F.col(f"{name}.score").alias(score))

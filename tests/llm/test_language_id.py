@@ -74,3 +74,20 @@ def test_texts_are_counted_apart_and_odd_rows(spark):
     nothing = l.collect_profiles(l.learn(docs.where("false")))
     assert {r.lang_pred for r in l.identify(odd, nothing).collect()} == {"und"}
     assert l.identify(odd.where("false"), profiles).count() == 0
+
+
+def test_more_languages_than_go_to_executors(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang").limit(60)
+    docs = docs.unionByName(spark.createDataFrame([(None, None, "q"), (7, "!?", None), (8, "Всё", None)], docs.schema)).withColumnRenamed("lang", "row")
+    profiles = l.learn(docs, label="row")
+    few, many = l.collect_profiles(profiles), None
+    monkeypatch.setattr(l, "MAX_LANGUAGES", 1)
+    many = l.collect_profiles(profiles)
+    assert isinstance(many, l.ProfileTable)
+    rows = lambda p: sorted((repr((r.doc_id, r.text, r.row, r.lang_pred, round(r.score, 9))) for r in l.identify(docs, p).collect()))
+    assert rows(many) == rows(few) and len(rows(few)) == 63
+
+
+def test_each_task_keeps_its_first_n_grams_only(spark):
+    docs = spark.createDataFrame([("ab", "x")], "text string, lang string")
+    assert "WindowGroupLimit" in l.learn(docs)._jdf.queryExecution().toString()
