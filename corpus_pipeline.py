@@ -6,7 +6,9 @@ kept; the last returns each document's token ids.
 
 Nulls: a null text has no language and goes in the first stage; a null label teaches nothing; rows with a null doc_id
 stay unless a stage's own test rejects them. Repeated rows become one in the second stage, unless their doc_id is null.
-An empty table passes through every stage as an empty one. Other columns are kept as they are.
+Texts are read whole, whatever their length. Of languages at equal distance the first by name counts, of near
+duplicates the least doc_id stays. An empty table passes through every stage as an empty one. Other columns, of any
+name, are kept as they are.
 """
 
 from __future__ import annotations
@@ -16,16 +18,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheafwork.llm import decontam, language_id, near_dup, piece_codec, scratch, secret_scan
+from sheafwork.llm.columns import unused
+
+#: Languages that the first stage keeps; None stands for every one that labels name.
+LANGUAGES: tuple[str, ...] | None = None
+#: Score of the rank-order distance (0 to 1) up to which a text is in none of them.
+LEAST_SCORE = 0.0
 
 #: Word shingles and similarity (in percent) of the near-duplicate stage.
 SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the languages learned from the table's labels; those without a letter go."""
-    profiles = language_id.collect_profiles(language_id.learn(docs))
-    found = language_id.predicted(F.col("text"), profiles)["lang"]
-    return docs.where(found != language_id.UNKNOWN)
+    """Documents identified as one of the wanted languages. Rows are in two folds by their doc_id, and each fold is
+    predicted by profiles learned from the other one's labels, so that no row is judged by its own label. What has no
+    letter goes, and so does what shares no n-gram with the nearest profile (a script of no known language). Where
+    nothing could be learned, texts with a letter stay."""
+    fold, label, lang, score = (unused(docs, x) for x in ("fold", "label", "lang_pred", "lang_score"))
+    folded = docs.withColumn(fold, F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 2, F.lit(0)).cast("int"))
+    labelled = folded.withColumn(label, F.when(F.col("lang").isNotNull(), F.concat_ws(":", fold, "lang")))
+    rows = scratch.stored(language_id.learn(labelled, "text", label), "fold-profiles")
+    out = []
+    for k in (0, 1):
+        own = rows.where(F.col("label").startswith(f"{1 - k}:")).withColumn("label", F.substring("label", 3, 1 << 30))
+        profiles = language_id.collect_profiles(own)
+        part = folded.where(F.col(fold) == k)
+        if own.isEmpty():
+            out.append(part.where(F.col("text").rlike(r"\p{L}")))
+            continue
+        found = language_id.identify(part, profiles, "text", lang, score)
+        wanted = F.lit(True) if LANGUAGES is None else F.col(lang).isin(*LANGUAGES)
+        out.append(found.where((F.col(lang) != language_id.UNKNOWN) & (F.col(score) > LEAST_SCORE) & wanted))
+    return out[0].select(*(F.col(f"`{c}`") for c in docs.columns)).unionByName(out[1].select(*(F.col(f"`{c}`") for c in docs.columns)))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,11 +64,13 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, its secrets replaced by a mark and n_chars by the length of the new text where it has changed."""
-    clean = secret_scan.redact(docs.withColumn("_before", F.col("text")))
+    text = unused(docs, "redacted")
+    clean = docs.withColumn(text, secret_scan.redacted(F.col("text")))
+    new = {"text": F.col(text)}
     if "n_chars" in docs.columns:
-        same = F.col("text").eqNullSafe(F.col("_before"))
-        clean = clean.withColumn("n_chars", F.when(same, F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
-    return clean.select(*docs.columns)
+        length = F.char_length(text).cast(docs.schema["n_chars"].dataType)
+        new["n_chars"] = F.when(F.col("text").eqNullSafe(F.col(text)), F.col("n_chars")).otherwise(length)
+    return clean.select(*(new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

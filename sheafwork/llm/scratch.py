@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; where it is unset (as in tests), a temporary folder is set as it."""
+    """The session's spark.checkpoint.dir; where it is unset and all is on one machine (as in tests), a temporary folder
+    is set as it. On a cluster that would be a folder of each machine's own, so it must be set there."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='sheafwork-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

@@ -253,12 +253,17 @@ def _redact(text: str | None, mark: str) -> str | None:
     return "".join([*out, text[at:]])
 
 
-def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """docs with every span (overlapping ones together) replaced by mark. Rows without spans keep their text."""
+def redacted(text: Column, mark: str = "[SECRET]") -> Column:
+    """string: a text with every span (overlapping ones together) replaced by mark. A text without spans stays."""
 
     @F.arrow_udf("string")
     def clean(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in parts(texts):
             yield pa.array([_redact(x.as_py(), mark) for x in batch], pa.string())
 
-    return docs.withColumn(text, clean(F.col(text)))
+    return clean(text)
+
+
+def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
+    """docs with each row's text redacted."""
+    return docs.withColumn(text, redacted(F.col(text), mark))

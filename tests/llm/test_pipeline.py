@@ -40,3 +40,31 @@ def test_odd_rows_and_extra_columns(spark):
     assert out == sorted([(1, text, 9), (None, "Another one of those texts, without any number at all", 53), (5, "[SECRET] stays here", 19)], key=repr)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.where("false"), SF).count() == 0
+
+
+CLASHING = ["fold", "label", "lang_pred", "lang_score", "redacted", "_before", "_id", "_version", "_predicted", "predicted", "id", "version", "term", "row"]
+
+
+def test_clashing_columns_pass_unharmed(spark):
+    text = "The quick brown fox jumps over the lazy dog near the river bank"
+    rows = [(1, text, "en", 63), (2, text + " and token=abcdefghijklmnop too", "en", 9), (3, None, None, None), (4, "Another text about rivers", "en", 25)]
+    names = ", ".join(f"`{c}` string" for c in CLASHING)
+    docs = spark.createDataFrame([(*r, *(f"{c} {r[0]}" for c in CLASHING)) for r in rows], f"doc_id long, text string, lang string, n_chars long, {names}")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+        assert docs.columns == ["doc_id", "text", "lang", "n_chars", *CLASHING], name
+    out = {r.doc_id: r for r in docs.collect()}
+    assert set(out) == {1, 2, 4} and "[SECRET] too" in out[2].text and out[2].n_chars == len(out[2].text)
+    assert all(out[i][c] == f"{c} {i}" for i in out for c in CLASHING)
+    assert {r.doc_id for r in corpus_pipeline.encode(spark, docs, SF).collect()} == {1, 2, 4}
+
+
+def test_first_stage_rejects_other_scripts_and_learns_from_the_other_fold(spark, monkeypatch):
+    rows = [(i, f"The river and the sea number {i} are the same", "en") for i in range(40)]
+    rows += [(100 + i, "Der Fluss und die See sind das eine und nicht das andere", "de") for i in range(40)]
+    rows += [(200, "Всё это написано другими буквами", "en"), (201, "Всё это, но без метки", None), (202, "The sea, without a label", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = {r.doc_id for r in corpus_pipeline.keep_identified(spark, docs, SF).collect()}
+    assert kept == {r[0] for r in rows} - {200, 201}
+    monkeypatch.setattr(corpus_pipeline, "LANGUAGES", ("en",))
+    assert {r.doc_id for r in corpus_pipeline.keep_identified(spark, docs, SF).collect()} == {*range(40), 202}
