@@ -8,8 +8,8 @@ that it leaves. The table holds that piece for every prefix, and the ids are rec
 Compatibility needs no encoding: the merges that build a piece always happen in one order, so two pieces are walked
 through theirs side by side, and they are incompatible if a merge across the boundary comes first.
 
-Texts are encoded whole. A null text counts as empty; an empty text has only the begin and end ids (if asked for).
-Characters outside the vocabulary become byte pieces. Repeated rows each get their result; other columns pass through.
+Texts are encoded whole, whatever their length; an empty table gives an empty one. There is one encoding, so no ties. A
+null text counts as empty; an empty text has only the begin and end ids (if asked for). Characters outside the vocabulary become byte pieces. Repeated rows each get their result; other columns pass through.
 """
 
 from __future__ import annotations
@@ -227,5 +227,18 @@ def decode_ids(packed: Column, model_file: str) -> Column:
     return run(packed)
 
 
+def round_trip(text: Column, model_file: str, begin: bool = True, end: bool = True) -> Column:
+    """struct<ids, decoded>: a text's ids as by encode_ids and their text as by decode_ids, in one pass."""
+
+    @F.arrow_udf("ids binary, decoded string")
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        one = codec(model_file)
+        for batch in parts(texts):
+            ids = [one.encode(x.as_py(), begin, end) for x in batch]
+            yield pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(map(one.decode, ids), pa.string())], ["ids", "decoded"])
+
+    return run(text)
+
+
 def n_ids(packed: Column) -> Column:
     return (F.octet_length(packed) / 4).cast("long")

@@ -58,13 +58,12 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = docs.select("doc_id", piece_codec.encode_ids(F.col("text"), model).alias("ids"))
-    texts = ids.withColumn("decoded", piece_codec.decode_ids(F.col("ids"), model))
+    texts = docs.select("doc_id", piece_codec.round_trip(F.col("text"), model).alias("x"))
     return texts.select(
         "doc_id",
-        piece_codec.n_ids(F.col("ids")).alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
+        piece_codec.n_ids(F.col("x.ids")).alias("n_tokens"),
+        F.sha2("x.ids", 256).alias("ids_sha256"),
+        F.sha2("x.decoded", 256).alias("decoded_sha256"),
     )
 
 
