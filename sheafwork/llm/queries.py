@@ -88,8 +88,10 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    archive = warc.write(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
-    return warc.resolved(warc.read(archive)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    archive = warc.write(pages)
+    captures = warc.lookup(archive, pages, "url", "page_id")
+    return warc.resolved(warc.records_at(archive, captures)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 ORACLE["op5_warc"] = """

@@ -63,6 +63,28 @@ def test_lookup_reads_only_blocks_that_may_hold_a_key(spark, pages, tmp_path, mo
         assert sorted(r.page_id for r in warc.lookup(archive, urls).collect()) == [1, 1, 2, 3]
 
 
+def test_many_keys_over_many_index_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "BLOCK_LINES", 3)
+    monkeypatch.setattr(warc, "INDEX_BYTES", 1)  # an index file a block
+    rows = [(i % 40 if i % 9 else None, f"http://h{i % 7}.example/{i % 5}", f"p{i % 3}") for i in range(150)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for most in (500_000, 0):
+        monkeypatch.setattr(warc, "BROADCAST_ROWS", most)
+        monkeypatch.setattr(warc, "HOT_PAGES", 45)
+        archive = warc.write(pages, str(tmp_path / f"w{most}"))
+        assert archive.directory.select("file").distinct().count() == archive.directory.count() > 40
+        pairs = sorted((r[0] is not None, r[0] or 0, r[1]) for r in rows)
+        found = warc.lookup(archive, pages, "url", "page_id")
+        records = warc.records_at(archive, found).collect()
+        assert sorted((r.page_id is not None, r.page_id or 0, r.url) for r in records) == pairs
+        first = {p: min(r[0] for r in rows if r[2] == p and r[0] is not None) for p in ("p0", "p1", "p2")}
+        assert {r.refers_to for r in records if r.record_type == "revisit"} == set(first.values())
+        assert all(r.payload_bytes == 2 for r in records)
+        assert sorted((r[1] for r in rows if r[1] in ("http://h3.example/1", "http://h0.example/0"))) == sorted(
+            r.url for r in warc.records_at(archive, warc.lookup(archive, spark.createDataFrame([("http://h3.example/1",), ("http://h0.example/0",)], "url string"))).collect()
+        )
+
+
 def test_small_payloads_are_not_revisited(spark, pages, tmp_path):
     records = warc.read(warc.write(pages, str(tmp_path / "w"), min_payload=20)).collect()
     assert {r.record_type for r in records} == {"response"}
