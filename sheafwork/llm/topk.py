@@ -9,7 +9,8 @@ first shard is propagated to all others, so that there most nodes need not be op
 Every block of queries meets every shard of its dimension: this is the stated query set against all rows, in blocks.
 Results are exact. Scores that leave the range of a long are cut to it before they are ranked.
 
-Rows whose id or vector is null, or whose vector holds a null, take no part. Of rows that repeat an id, the one with the
+Trees move once; blocks of queries stream past the tree that a task holds. Vectors of any length are compared whole; a
+shard's bytes grow with it. Rows whose id or vector is null, or whose vector holds a null, take no part. Of rows that repeat an id, the one with the
 greatest vector counts (for candidates and queries alike). A query's candidates are the rows of its dimension with other
 ids; if there are fewer than k, all are returned. Ties go to the smaller id. Empty tables give no rows. Other columns
 aren't read.
@@ -30,10 +31,11 @@ from pyspark.sql import functions as F
 from sheafwork.llm import scratch
 
 #: Rows in a shard, queries in a block, rows in a leaf.
-SHARD_ROWS = 4096
+SHARD_ROWS = 8192
 BLOCK_QUERIES = 512
 LEAF_ROWS = 256
-_EXACT = 1 << 53
+#: Whole numbers that a double, and a float, holds exactly.
+_EXACT, _EXACT_32 = 1 << 53, 1 << 24
 _LONG = (-(1 << 63), (1 << 63) - 1)
 
 
@@ -94,45 +96,61 @@ def _products(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return queries.astype(kind) @ rows.astype(kind).T
 
 
-def search(tree: dict[str, np.ndarray], query_ids: np.ndarray, queries: np.ndarray, least: list, k: int) -> Iterator[tuple[int, list, list]]:
-    """For each query its best ids and scores in a tree, of those with a score of least (None: any) or more."""
+def search(
+    tree: dict[str, np.ndarray], query_ids: np.ndarray, queries: np.ndarray, least: list, k: int, opened: list[int] | None = None
+) -> Iterator[tuple[int, list, list]]:
+    """For each query its best ids and scores in a tree, of those with a score of least (None: any) or more. opened
+    gets the number of leaves that each query opens."""
     if not len(tree["ids"]):
         return
     ids, nodes = tree["ids"], tree["nodes"]
     vectors = tree["vectors"]
     upper = _products(np.maximum(queries, 0), tree["high"]) + _products(np.minimum(queries, 0), tree["low"])
-    exact = upper.dtype != object and _products(queries[:1], vectors[:1]).dtype != object
     biggest = (int(np.abs(vectors.astype(np.float64)).max()) if vectors.size else 0) * (int(np.abs(queries.astype(np.float64)).max()) if queries.size else 0)
-    exact = exact and biggest * max(1, vectors.shape[1]) < _EXACT
-    rows = vectors.astype(np.float64 if exact else object)
-    wanted = queries.astype(rows.dtype)
+    biggest *= max(1, vectors.shape[1])
+    exact = upper.dtype != object and biggest < _EXACT
+    kind = np.float32 if biggest < _EXACT_32 else np.float64 if exact else object
+    if kind not in tree:
+        tree[kind] = vectors.astype(kind)  # once a tree, for all blocks of queries
+    rows, wanted, places = tree[kind], queries.astype(kind), nodes.T.tolist()
+
+    def merged(found_ids: list, found: list) -> tuple[np.ndarray, np.ndarray]:
+        all_ids, scores = np.concatenate(found_ids), np.concatenate(found)
+        order = np.lexsort((all_ids, -scores))[:k] if exact else np.array(sorted(range(len(scores)), key=lambda i: (-scores[i], all_ids[i]))[:k], int)
+        return all_ids[order], scores[order]
+
     for at, own in enumerate(query_ids):
-        bound = upper[at]
-        floor = least[at]
-        best_ids, best = np.empty(0, np.int64), np.empty(0, rows.dtype)
+        bound, query = upper[at].tolist(), wanted[at]
+        floor, n_leaves, waiting = least[at], 0, 0
+        found_ids, found = [np.empty(0, np.int64)], [np.empty(0, rows.dtype)]
         heap = [(-bound[0], 0)]
         while heap:
             over, node = heapq.heappop(heap)
             if floor is not None and -over < floor:
                 break
-            a, b, child = nodes[:, node]
+            a, b, child = places[node]
             if child >= 0:
-                heapq.heappush(heap, (-bound[child], int(child)))
-                heapq.heappush(heap, (-bound[child + 1], int(child) + 1))
+                heapq.heappush(heap, (-bound[child], child))
+                heapq.heappush(heap, (-bound[child + 1], child + 1))
                 continue
-            scores = rows[a:b] @ wanted[at]
+            n_leaves += 1
+            scores = rows[a:b] @ query
             if not exact:
                 scores = np.array([min(max(int(x), _LONG[0]), _LONG[1]) for x in scores], object)
-            good = ids[a:b] != own
-            if floor is not None:
-                good &= scores >= floor
-            if not good.any():
+            good = np.flatnonzero(scores >= floor) if floor is not None else np.arange(b - a)
+            good = good[ids[a:b][good] != own] if len(good) else good
+            if not len(good):
                 continue
-            best_ids, best = np.concatenate((best_ids, ids[a:b][good])), np.concatenate((best, scores[good]))
-            if len(best) >= k:
-                order = np.lexsort((best_ids, -best))[:k] if exact else np.array(sorted(range(len(best)), key=lambda i: (-best[i], best_ids[i]))[:k])
-                best_ids, best = best_ids[order], best[order]
-                floor = best[-1] if floor is None else max(floor, best[-1])
+            found_ids.append(ids[a:b][good]), found.append(scores[good])
+            waiting += len(good)
+            if waiting >= k:  # ranked k at a time; until then, the floor is only lower than it could be
+                best_ids, best = merged(found_ids, found)
+                found_ids, found, waiting = [best_ids], [best], 0
+                if len(best) == k:
+                    floor = best[-1] if floor is None else max(floor, best[-1])
+        if opened is not None:
+            opened.append(n_leaves)
+        best_ids, best = merged(found_ids, found)
         yield at, best_ids.tolist(), [int(x) for x in best]
 
 
@@ -158,14 +176,21 @@ def _blocks(rows: DataFrame, name: str, most: int, pack) -> DataFrame:  # noqa:
     return scratch.stored(dealt.groupBy("size", name).applyInArrow(run, f"size int, {name} long, data binary"), name)
 
 
-def _met(pairs: DataFrame, k: int, floors: bool) -> DataFrame:
-    """Search each pair's shard (tree) for its block (queries), from the floors so far if there are any. With floors
-    not yet known, the result is each block's (size, block, least); else (query_id, vec_id, score)."""
+def _met(shards: DataFrame, blocks: DataFrame, k: int, floors: bool) -> DataFrame:
+    """Search shards (size, shard, data) for the blocks sent to them (size, shard, block, data, least), from the floors
+    so far if there are any. Each tree moves once a lane and is unpacked once, the blocks of its lane stream past it;
+    there are lanes only as far as shards are fewer than tasks. With floors not yet known, the result is each block's
+    (size, block, least); else (query_id, vec_id, score)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree = None
         for batch in batches:
-            for row in batch.to_pylist():
-                queries, tree = _unpacked(row["queries"]), _unpacked(row["tree"])
+            for part in (batch.slice(at, 1) for at in range(batch.num_rows)):
+                row = part.to_pylist()[0]
+                if row["block"] < 0:  # sorted before the blocks of its shard
+                    tree = _unpacked(row["data"])
+                    continue
+                queries = _unpacked(row["data"])
                 least = row["least"] if floors else [None] * len(queries["ids"])
                 out, bounds = ([], [], []), [None] * len(queries["ids"])
                 for at, ids, scores in search(tree, queries["ids"], queries["vectors"].astype(np.int64), least, k):
@@ -182,7 +207,17 @@ def _met(pairs: DataFrame, k: int, floors: bool) -> DataFrame:
                     )
 
     schema = "query_id long, vec_id long, score long" if floors else "size int, block long, least array<long>"
-    return pairs.mapInArrow(run, schema)
+    spark = shards.sparkSession
+    n_shards, tasks = max(1, shards.count()), 2 * spark.sparkContext.defaultParallelism
+    lanes = -(-tasks // n_shards)
+    none = F.lit(None).cast("array<long>").alias("least")
+    trees = shards.select("size", "shard", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"), F.lit(-1).cast("long").alias("block"), "data", none)
+    sent = blocks.select("size", "shard", F.pmod("block", F.lit(lanes)).cast("int").alias("lane"), "block", "data", "least" if floors else none)
+    # Shards and lanes are numbered: hashes of so few would leave some tasks without.
+    place = F.pmod(F.col("shard") * lanes + F.col("lane") + F.col("size"), F.lit(max(tasks, n_shards * lanes))).cast("int")
+    rows = trees.unionByName(sent).withColumn("place", place)
+    dealt = rows.repartitionById(max(tasks, n_shards * lanes), F.col("place"))
+    return dealt.sortWithinPartitions("size", "shard", "lane", "block").drop("place").mapInArrow(run, schema)
 
 
 def top_k(candidates: DataFrame, queries: DataFrame, k: int, vec_id: str = "vec_id", vector: str = "vector") -> DataFrame:
@@ -190,16 +225,14 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int, vec_id: str = "vec_
     Both tables have an id and an array of whole numbers."""
     rows = scratch.stored(usable(candidates, vec_id, vector), "vectors")
     asked = scratch.stored(usable(queries, vec_id, vector), "queries")
-    shards = _blocks(rows, "shard", SHARD_ROWS, lambda ids, v: _packed(**build_tree(ids, v))).withColumnRenamed("data", "tree")
-    blocks = _blocks(asked, "block", BLOCK_QUERIES, lambda ids, v: _packed(ids=ids, vectors=_narrow(v))).withColumnRenamed("data", "queries")
+    shards = _blocks(rows, "shard", SHARD_ROWS, lambda ids, v: _packed(**build_tree(ids, v)))
+    blocks = _blocks(asked, "block", BLOCK_QUERIES, lambda ids, v: _packed(ids=ids, vectors=_narrow(v)))
     # Which shards there are of each dimension: as many numbers as shards, by dimension.
     known = shards.groupBy("size").agg(F.sort_array(F.collect_list("shard")).alias("shards"))
     placed = blocks.join(known, "size")
-    home = placed.select("size", "block", "queries", F.element_at("shards", (F.pmod("block", F.size("shards")) + 1).cast("int")).alias("shard"))
-    least = scratch.stored(_met(home.join(shards, ["size", "shard"]), k, False), "floors")
-    spread = placed.join(least, ["size", "block"]).select("size", "block", "queries", "least", F.explode("shards").alias("shard"))
-    width = int(spread.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pairs = spread.join(shards, ["size", "shard"]).repartition(width, "block", "shard")
+    home = placed.select("size", "block", "data", F.element_at("shards", (F.pmod("block", F.size("shards")) + 1).cast("int")).alias("shard"))
+    least = scratch.stored(_met(shards, home, k, False), "floors")
+    spread = placed.join(least, ["size", "block"]).select("size", "block", "data", "least", F.explode("shards").alias("shard"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = _met(pairs, k, True).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    ranked = _met(shards, spread, k, True).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

@@ -57,6 +57,28 @@ def test_tree_opens_few_leaves_for_grouped_rows():
         assert (rows.min(axis=0) == tree["low"][k]).all() and (rows.max(axis=0) == tree["high"][k]).all()
 
 
+@pytest.mark.parametrize("spread, most", [(1, 0.1), (8, 0.3)])
+def test_bounds_spare_most_leaves(spread, most):
+    r = np.random.default_rng(1)
+    vectors = np.repeat(r.integers(-50, 50, (64, 8)), 64, axis=0) + r.integers(-spread, spread + 1, (4096, 8))
+    tree = topk.build_tree(np.arange(4096), vectors, 64)
+    leaves = (tree["nodes"][2] < 0).sum()
+    queries, opened = vectors[::20], []
+    first = {at: s for at, _, s in topk.search(tree, np.arange(0, 4096, 20), queries, [None] * len(queries), 10, opened)}
+    assert np.mean(opened) < most * leaves
+    again = []  # from the k-th scores of before, none but those that hold the best are opened
+    for at, _, s in topk.search(tree, np.arange(0, 4096, 20), queries, [first[k][-1] for k in range(len(queries))], 10, again):
+        assert s == first[at]
+    assert np.mean(again) <= np.mean(opened)
+
+
+def test_trees_are_unpacked_once_a_lane(spark, tmp_path, monkeypatch):
+    rows = spark.range(400).selectExpr("id AS vec_id", "array(id % 7, id % 11, id % 13) AS vector")
+    # The plan of the search sends blocks to shards: no row holds both a tree and a block.
+    plan = topk.top_k(rows, rows.where("vec_id % 20 = 0"), 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "tree" not in plan and plan.count("RepartitionBy") >= 1
+
+
 def test_odd_rows(spark):
     rows = [(1, [1, 2], "a"), (1, [1, 3], "a"), (2, [0, 1], "b"), (2, [0, 1], "b"), (3, None, "c"), (None, [9, 9], "d"), (4, [1, None], "e"), (5, [1], "f"), (6, [], "g"), (7, [2], None)]
     frame = spark.createDataFrame(rows, "vec_id long, vector array<long>, score string")
