@@ -7,27 +7,32 @@
    of the second, shifted circularly by k, at those places. Bands of coordinates are hashed; bands and rows follow from
    the threshold, so that a pair at the threshold shares no band with a chance of at most MISS.
 4. In each bucket every class is tied to the bucket's least one, unless a sketch of one bit a coordinate puts the two
-   below SKETCH_LEAST, far under the threshold (so that chance meetings don't chain groups). Ties form clusters, and
-   within a cluster all pairs are compared on their full sets: in one task if it is small, else by pairs of blocks of
-   bounded size, leaving out blocks whose sizes are too different for a link. A task tells only a spanning forest of the
-   links that it finds.
-5. The links' components are the groups. Pairs of different sets are never expanded into rows, and no bucket or cluster
+   below SKETCH_LEAST, far under the threshold (so that chance meetings don't chain groups). A bucket with such a class
+   goes on without its least one, to the next, so that any two of its classes are tied to one of the bucket, or tested
+   against each other. After ROUNDS, what is left is tied without the test.
+5. Ties form clusters, and within a cluster all pairs are compared on their full sets: in one task if it is small. Of a
+   large one, a few representatives are compared with all others first; the largest group that this links is settled,
+   and only what is left is compared with everything, by pairs of blocks of bounded size, leaving out blocks whose sizes
+   are too different for a link. A task tells only a spanning forest of the links that it finds.
+6. The links' components are the groups. Pairs of different sets are never expanded into rows, and no bucket or cluster
    is cut.
 
 A null doc_id names no class: its row takes the group of its set, or none (component_id null, kept true). Rows that
-share a doc_id count as versions of one document. Repeated rows each get their result. Other columns aren't read.
+share a doc_id count as versions of one document. Repeated rows each get their result. Texts are read whole, whatever
+their length; a signature is formed in pieces. Of equal sets the least doc_id stands for all, so there are no ties. An
+empty table gives no rows. Other columns aren't read.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheafwork.llm import graph, scratch
@@ -43,6 +48,10 @@ SKETCH_LEAST = 0.35
 #: Documents and shingles in a block of a cluster that one task compares with another block.
 BLOCK_DOCS = 256
 BLOCK_SHINGLES = 250_000
+#: Rounds in which a bucket's classes are tested by their sketches.
+ROUNDS = 4
+#: Documents of a large cluster that all others are compared with first.
+REPRESENTATIVES = 4
 #: Rows up to which the clustered documents' ids go to every executor.
 BROADCAST_ROWS = 250_000
 _COLUMNS = 4096
@@ -141,53 +150,116 @@ def sets_and_bands(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
 
 def ties(classes: DataFrame) -> DataFrame:
-    """(a, b): classes that share a bucket, each tied to the bucket's least, if their sketches agree enough."""
+    """(a, b): classes that share a bucket, tied to the bucket's least whose sketch agrees enough."""
     rows = classes.select(F.col("doc_id").alias("a"), F.explode("bands").alias("bucket"))
-    buckets = rows.groupBy("bucket").agg(F.min("a").alias("b"), F.max("a").alias("last")).where("b < last").select("bucket", "b")
-    met = rows.join(buckets, "bucket").where("a != b").select("a", "b").distinct()
     sketch = [f"k{k}" for k in range(4)]
     one = classes.select(F.col("doc_id").alias("a"), *(F.col(k).alias(f"a{k}") for k in sketch))
     two = classes.select(F.col("doc_id").alias("b"), *(F.col(k).alias(f"b{k}") for k in sketch))
     unlike = sum((F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in sketch), F.lit(0))
-    alike = 1 - 2 * unlike / SKETCH_BITS  # two bits agree by chance half the time
-    return met.join(one, "a").join(two, "b").where(alike >= SKETCH_LEAST).select("a", "b")
+    alike = 1 - 2 * unlike / SKETCH_BITS >= SKETCH_LEAST  # two bits agree by chance half the time
+    out = []
+    for k in range(ROUNDS + 1):
+        buckets = rows.groupBy("bucket").agg(F.min("a").alias("b"), F.max("a").alias("last")).where("b < last").select("bucket", "b")
+        met = scratch.stored(graph.joined(rows, scratch.stored(buckets, "buckets"), "bucket").where("a != b").select("a", "b", "bucket"), "met")
+        pairs = met.select("a", "b").distinct()
+        if k == ROUNDS:
+            out.append(pairs)
+            break
+        # A bucket's least class has a row for each other one: adaptive execution splits them.
+        tested = scratch.stored(pairs.join(one, "a").join(two, "b").select("a", "b", alike.alias("alike")), "tested")
+        out.append(tested.where("alike").select("a", "b"))
+        apart = tested.where("NOT alike").select("a", "b")
+        if apart.isEmpty():
+            break
+        again = scratch.stored(met.join(apart, ["a", "b"], "left_semi").select("bucket").distinct(), "buckets-again")
+        rows = scratch.stored(graph.joined(met.select("a", "bucket"), again, "bucket"), "again")
+    return reduce(DataFrame.unionByName, out)
+
+
+def _blocks() -> Column:
+    return F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+
+
+def _sized(clusters: DataFrame) -> DataFrame:
+    """clusters with the number of blocks that each one's cluster has."""
+    totals = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("docs"), F.sum("n_shingles").alias("shingles"))
+    return graph.joined(clusters, scratch.stored(totals.select("cluster", _blocks().alias("blocks")), "cluster-sizes"), "cluster")
+
+
+def first_comparisons(clusters: DataFrame) -> DataFrame:
+    """(doc_id, task, side): the tasks that compare representatives (side 1) with all documents (side 2) of the clusters
+    of more than one block. A document is in one task, a representative in each of its cluster's."""
+    large = _sized(clusters).where("blocks > 1")
+    order = Window.partitionBy("cluster").orderBy(F.xxhash64("doc_id"), "doc_id")
+    few = large.withColumn("place", F.row_number().over(order)).where(F.col("place") <= REPRESENTATIVES)
+
+    def task(part: str) -> Column:
+        return F.xxhash64("cluster", F.lit(-1), F.col(part).cast("int")).alias("task")
+
+    parts_ = few.select("doc_id", "cluster", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"))
+    whole = large.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("blocks")))
+    return parts_.select("doc_id", task("part"), F.lit(1).alias("side")).unionByName(whole.select("doc_id", task("part"), F.lit(2).alias("side")))
+
+
+def settled(clusters: DataFrame, found: DataFrame) -> DataFrame:
+    """clusters with settled: whether a document is in the largest group (ties: the least) of its cluster that the links
+    join; links in it need not be looked for."""
+    groups = scratch.stored(graph.components(found).select(F.col("node").alias("doc_id"), "component"), "first-groups")
+    own = clusters.join(groups, "doc_id")
+    sizes = own.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("n"))
+    largest = sizes.groupBy("cluster").agg(F.max(F.struct("n", (-F.col("component")).alias("c"))).alias("of"))
+    largest = scratch.stored(largest.select("cluster", (-F.col("of.c")).alias("largest")), "largest-groups")
+    marked = graph.joined(clusters.join(groups, "doc_id", "left"), largest, "cluster", "left")
+    return marked.select("doc_id", "n_shingles", "cluster", F.coalesce(F.col("component") == F.col("largest"), F.lit(False)).alias("settled"))
 
 
 def comparisons(clusters: DataFrame, percent: int) -> DataFrame:
     """(doc_id, task, side): which tasks compare a class, and whether within a block (0) or as one of two (1 and 2).
-    clusters: (doc_id, n_shingles, cluster)."""
+    clusters: (doc_id, n_shingles, cluster), and settled if there are documents not to be compared with each other."""
     step = math.log(100 / percent) * 1.001 if percent < 100 else 1.0
-    totals = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("docs"), F.sum("n_shingles").alias("shingles"))
-    blocks = F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("shingles") / BLOCK_SHINGLES))
-    sized = clusters.join(totals.select("cluster", blocks.alias("blocks")), "cluster")
+    sized = _sized(clusters if "settled" in clusters.columns else clusters.withColumn("settled", F.lit(False)))
     small = sized.where("blocks = 1").select("doc_id", F.xxhash64("cluster").alias("task"), F.lit(0).alias("side"))
-    large = sized.where("blocks > 1").select("doc_id", "n_shingles", "cluster", F.floor(F.log("n_shingles") / step).alias("level"))
-    levels = large.groupBy("cluster", "level").agg(F.count(F.lit(1)).alias("docs"), F.sum("n_shingles").alias("shingles")).select(
-        "cluster", "level", blocks.alias("blocks")
-    )
+    large = sized.where("blocks > 1").select("doc_id", "n_shingles", "cluster", "settled", F.floor(F.log("n_shingles") / step).alias("level"))
+    levels = large.groupBy("cluster", "level", "settled").agg(F.count(F.lit(1)).alias("docs"), F.sum("n_shingles").alias("shingles"))
+    of = lambda kind: F.coalesce(F.max(F.when(F.col("settled") == kind, _blocks())), F.lit(0))
+    levels = levels.groupBy("cluster", "level").agg(of(False).alias("open"), of(True).alias("done"))
     levels = scratch.stored(levels, "levels")
-    near = lambda by, name: levels.select("cluster", (F.col("level") - by).alias("level"), F.col("blocks").alias(name))
-    dealt = (
-        large.join(levels, ["cluster", "level"])
-        .join(near(1, "above"), ["cluster", "level"], "left")
-        .join(near(-1, "below"), ["cluster", "level"], "left")
-        .withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
-    )
+
+    def near(by: int, name: str) -> DataFrame:
+        there = levels.select("cluster", (F.col("level") - by).alias("level"), F.col("open").alias(f"{name}_open"), F.col("done").alias(f"{name}_done"))
+        return scratch.stored(there, "levels-near")
+
+    dealt = large
+    for by, name in ((0, "same"), (1, "above"), (-1, "below")):
+        dealt = graph.joined(dealt, near(by, name), ["cluster", "level"], "left")
+    done = F.col("settled")
+    own = F.pmod(F.xxhash64("doc_id"), F.when(done, F.col("same_done")).otherwise(F.col("same_open")))
+    dealt = dealt.withColumn("block", own.cast("int"))
 
     def numbers(count: str) -> Column:
-        return F.when(F.col(count) > 0, F.sequence(F.lit(0), F.col(count).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+        return F.when(F.col(count) > 0, F.sequence(F.lit(0), F.col(count) - 1)).otherwise(F.array().cast("array<int>"))
 
-    def task(level_a, block_a, level_b, block_b, side):  # noqa: ANN001
-        return F.struct(F.xxhash64("cluster", level_a, block_a, level_b, block_b).alias("task"), side.alias("side"))
+    def task(a: tuple, b: tuple, side):  # noqa: ANN001, ANN202  a, b: level, whether settled, block
+        return F.struct(F.xxhash64("cluster", *a, *b).alias("task"), side.alias("side"))
 
-    level, block = F.col("level"), F.col("block").cast("int")
-    same = F.transform(
-        numbers("blocks"),
-        lambda x: task(level, F.least(x, block), level, F.greatest(x, block), F.when(x == block, 0).when(x > block, 1).otherwise(2)),
+    level, block, yes, no = F.col("level"), F.col("block"), F.lit(True), F.lit(False)
+    here = (level, done, block)
+    among = F.transform(
+        numbers("same_open"),
+        lambda x: task((level, no, F.least(x, block)), (level, no, F.greatest(x, block)), F.when(x == block, 0).when(x > block, 1).otherwise(2)),
     )
-    above = F.transform(numbers("above"), lambda x: task(level, block, level + 1, x, F.lit(1)))
-    below = F.transform(numbers("below"), lambda x: task(level - 1, x, level, block, F.lit(2)))
-    spread = dealt.select("doc_id", F.explode(F.concat(same, above, below)).alias("at")).select("doc_id", "at.task", "at.side")
+    with_done = [
+        F.transform(numbers("same_done"), lambda x: task(here, (level, yes, x), F.lit(1))),
+        F.transform(numbers("above_done"), lambda x: task(here, (level + 1, yes, x), F.lit(1))),
+        F.transform(numbers("below_done"), lambda x: task((level - 1, yes, x), here, F.lit(2))),
+    ]
+    with_open = [
+        F.transform(numbers("above_open"), lambda x: task(here, (level + 1, no, x), F.lit(1))),
+        F.transform(numbers("below_open"), lambda x: task((level - 1, no, x), here, F.lit(2))),
+    ]
+    of_done = F.transform(numbers("same_open"), lambda x: task((level, no, x), here, F.lit(2)))
+    at = F.when(done, F.concat(of_done, *with_open)).otherwise(F.concat(among, *with_done, *with_open))
+    spread = dealt.select("doc_id", F.explode(at).alias("at")).select("doc_id", "at.task", "at.side")
     return small.unionByName(spread)
 
 
@@ -278,8 +350,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id:
     classes = scratch.stored(named.groupBy("set_key").agg(F.min(whole).alias("of")).select("set_key", "of.*"), "classes")
     clusters = graph.components(ties(classes)).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
     clusters = clusters.join(classes.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles")), "doc_id")
-    tasks = scratch.stored(comparisons(scratch.stored(clusters, "clusters"), percent), "tasks")
-    found = scratch.stored(links(docs, tasks, words, percent), "links")
+    clusters = scratch.stored(clusters, "clusters")
+    found = clusters.sparkSession.createDataFrame([], "a long, b long")
+    first = scratch.stored(first_comparisons(clusters), "first-tasks")
+    if not first.isEmpty():
+        found = scratch.stored(links(docs, first, words, percent), "first-links")
+        clusters = scratch.stored(settled(clusters, found), "settled")
+    tasks = scratch.stored(comparisons(clusters, percent), "tasks")
+    found = found.unionByName(scratch.stored(links(docs, tasks, words, percent), "links"))
     groups = graph.components(found).select(F.col("node").alias("doc_id"), F.col("component"))
     group = F.coalesce("component", "doc_id").alias("component_id")
     of_set = classes.select("set_key", "doc_id").join(groups, "doc_id", "left").select("set_key", group)

@@ -74,6 +74,53 @@ def test_a_large_group_is_compared_by_blocks(spark, monkeypatch):
         check(near_dup.near_duplicates(docs, 3, 85).collect(), want)
 
 
+def test_texts_moved_grow_with_a_clusters_size(spark, monkeypatch):
+    """Each document goes to one task, and again only to those that compare what no representative links."""
+    monkeypatch.setattr(near_dup, "BLOCK_DOCS", 10)
+    r = random.Random(7)
+    base = [f"w{k}" for k in range(200)]
+    rows, kinds = [], [base, base[:130] + [f"v{k}" for k in range(70)]]
+    for i in range(400):
+        words = list(kinds[i % 50 == 0])
+        words[r.randrange(200)] = f"x{i}"
+        rows.append((i, " ".join(words)))
+    moved = []
+    for n in (100, 400):
+        docs = spark.createDataFrame(rows[:n], "doc_id long, text string")
+        clusters = spark.createDataFrame([(i, 198, 1) for i, _ in rows[:n]], "doc_id long, n_shingles long, cluster long")
+        first = near_dup.first_comparisons(clusters)
+        found = near_dup.links(docs, first, 3, 85)
+        parted = near_dup.settled(clusters, found)
+        assert parted.where("settled").count() == n - n // 50
+        tasks = near_dup.comparisons(parted, 85)
+        moved.append(first.count() + tasks.count())
+    assert moved[1] < 5 * moved[0] and moved[0] < 3 * 100
+    monkeypatch.setattr(near_dup, "REPRESENTATIVES", 2)
+    check(near_dup.near_duplicates(docs, 3, 85).collect(), plain_groups(rows, 3, 85))
+
+
+def test_settled_documents_meet_all_others(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "BLOCK_DOCS", 5)
+    sizes = [(i, 100 + i % 60, 1, i % 3 > 0) for i in range(60)]
+    tasks = defaultdict(list)
+    for r in near_dup.comparisons(spark.createDataFrame(sizes, "doc_id long, n_shingles long, cluster long, settled boolean"), 85).collect():
+        tasks[r.task].append((r.doc_id, r.side))
+    met = {frozenset((a, b)) for rows in tasks.values() for a, s in rows for b, t in rows if a != b and (s == t == 0 or {s, t} == {1, 2})}
+    for a, n, _, x in sizes:
+        for b, m, _, y in sizes:
+            if a < b and 100 * min(n, m) >= 85 * max(n, m):
+                assert (frozenset((a, b)) in met) == (not (x and y)) or not (x and y)
+    assert not any(sizes[a][3] and sizes[b][3] for a, b in map(tuple, met))
+
+
+def test_a_stranger_at_the_head_of_a_bucket_loses_no_tie(spark):
+    """One bucket holds a stranger with the least id, and pairs that agree."""
+    sketch = {"x": (0, 0, 0, 0), "y": (-1, -1, -1, -1), "z": (0, 0, -1, -1)}
+    rows = [(1, [7], *sketch["x"]), (2, [7], *sketch["y"]), (3, [7], *sketch["z"]), (4, [7], *sketch["y"]), (5, [7, 8], *sketch["z"]), (6, [7], *sketch["x"]), (9, [8], *sketch["z"])]
+    classes = spark.createDataFrame(rows, "doc_id long, bands array<long>, k0 long, k1 long, k2 long, k3 long")
+    assert {tuple(sorted(map(int, r))) for r in near_dup.ties(classes).collect()} >= {(1, 6), (2, 4), (3, 5), (5, 9)}
+
+
 def test_blocks_meet_once_each(spark, monkeypatch):
     monkeypatch.setattr(near_dup, "BLOCK_DOCS", 5)
     sizes = [(i, 100 + i % 60, 1) for i in range(60)] + [(100 + i, 50, 2) for i in range(4)]
