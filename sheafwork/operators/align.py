@@ -8,14 +8,19 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from itertools import groupby
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sheafwork.functions import names as n
 from sheafwork.functions.cleaning import normalize_all
-from sheafwork.operators.headers import CELL, KEYS, is_blank
+from sheafwork.operators.headers import CELL, KEYS, is_blank, recovered
+
+
+#: Fixed value: how sure a column at most is that lost its field to another.
+LOST_CONFIDENCE = 0.4
 
 
 @dataclass
@@ -35,8 +40,9 @@ class Mapping:
         return [c for c, t in self.targets.items() if t == n.UNKNOWN or t != n.IGNORE and self.confidence.get(c, 1.0) < least]
 
 
-#: Decides a header's mapping: (columns, fields) to it. The rules below are the default.
-Matcher = Callable[[list[str], list[str]], Mapping]
+#: Decides a header's mapping: (columns, fields) to it. The rules below are the default. One that takes a third argument
+#: also gets masked samples: {"columns": {name: values}, "fields": {name: values}}.
+Matcher = Callable[..., Mapping]
 
 
 def pick_fields(headers: list[list[str]], template: list[str] | None = None) -> list[str]:
@@ -48,6 +54,20 @@ def pick_fields(headers: list[list[str]], template: list[str] | None = None) ->
     return max(filled, key=lambda h: (len(h), -sum(map(len, h)) / max(len(h), 1)), default=[])
 
 
+def template_columns(rows: DataFrame) -> list[str]:
+    """The names of a template: those of the first sheet of its grid (see operators.headers)."""
+    sheets, _ = recovered(rows)
+    first = sheets.orderBy("file", "sheet").select("names").first()
+    return [x.strip() for x in first.names if x.strip()] if first else []
+
+
+def field_samples(samples: DataFrame, fields: DataFrame) -> DataFrame:
+    """(field, samples): of each field, those of the first sheet (by file, sheet and place) that has a column of just
+    that name. samples: as by headers.column_samples; fields (field): at most some hundred."""
+    named = samples.join(F.broadcast(fields), F.col("name") == F.col("field"))
+    return named.groupBy("field").agg(F.min_by("samples", F.struct(*KEYS, "place")).alias("samples"))
+
+
 def match_by_rules(columns: list[str], fields: list[str]) -> Mapping:
     """Equal names, then the only field that contains the name or is contained in it, then the only free group field for
     a group name, then the most alike one. A field is taken by one column, except that alike names don't take it."""
@@ -73,20 +93,33 @@ def match_by_rules(columns: list[str], fields: list[str]) -> Mapping:
     return Mapping(out, {c: 0.4 for c in columns}, {c: "matched by rule" for c in columns})
 
 
+def ranked_claims(claims: DataFrame) -> DataFrame:
+    """claims (header, pos, source_col, target, confidence) with place: among the columns of a header that claim one
+    field, the surest is first, of equally sure ones the leftmost. IGNORE and UNKNOWN are no claims and have none."""
+    order = Window.partitionBy("header", "target").orderBy(F.desc(F.coalesce("confidence", F.lit(0.0))), "pos")
+    return claims.withColumn("place", F.when(~F.col("target").isin(n.IGNORE, n.UNKNOWN), F.row_number().over(order)))
+
+
+def without_conflicts(claims: DataFrame) -> DataFrame:
+    """claims with one column a field: what isn't first among a field's claims is unknown, and not sure."""
+    lost = F.coalesce(F.col("place") > 1, F.lit(False))
+    out = ranked_claims(claims)
+    return out.select(
+        "header", "pos", "source_col", F.when(lost, n.UNKNOWN).otherwise(F.col("target")).alias("target"),
+        F.when(lost, F.least("confidence", F.lit(LOST_CONFIDENCE))).otherwise(F.col("confidence")).alias("confidence"),
+    )
+
+
 def resolve_conflicts(mapping: Mapping) -> Mapping:
-    """Of columns that claim one field, the surest keeps it (the first on ties); the others become unknown."""
-    best: dict[str, str] = {}
-    for column, target in mapping.targets.items():
-        sure = mapping.confidence.get(column, 0.0)
-        if target not in (n.IGNORE, n.UNKNOWN) and (target not in best or sure > mapping.confidence.get(best[target], 0.0)):
-            best[target] = column
-    out = Mapping(dict(mapping.targets), dict(mapping.confidence), dict(mapping.reasons), mapping.source)
-    for column, target in mapping.targets.items():
-        if target in best and best[target] != column:
-            out.targets[column] = n.UNKNOWN
-            out.confidence[column] = min(mapping.confidence.get(column, 0.5), 0.4)
-            out.reasons[column] = f"{best[target]} and this column both claim {target}"
-    return out
+    """The same for one header's mapping, with the reason told."""
+    claims = sorted((t, -mapping.confidence.get(c, 0.0), k, c) for k, (c, t) in enumerate(mapping.targets.items()) if not t.startswith("__"))
+    lost = {c: rivals[0][3] for _, group in groupby(claims, key=lambda x: x[0]) for rivals in [list(group)] for *_, c in rivals[1:]}
+    return replace(
+        mapping,
+        targets=mapping.targets | {c: n.UNKNOWN for c in lost},
+        confidence=mapping.confidence | {c: min(mapping.confidence.get(c, LOST_CONFIDENCE), LOST_CONFIDENCE) for c in lost},
+        reasons=mapping.reasons | {c: f"{mapping.targets[c]} is taken from {winner}, which is surer" for c, winner in lost.items()},
+    )
 
 
 def confirmed(mapping: Mapping, choices: dict[str, str]) -> Mapping:
@@ -114,6 +147,7 @@ def projected(spark: SparkSession, rows: DataFrame, sheets: list[tuple[str, str,
     where = spark.createDataFrame(table, "file string, sheet string, file_order int, places array<int>, fill_at int, fill string")
     given = F.when(F.col("fill").isNotNull(), F.struct(F.lit("s").alias("kind"), F.col("fill").alias("text"))).cast(CELL)
     values = F.transform("places", lambda p, k: F.when(k == F.col("fill_at"), given).when(p >= 0, F.get("cells", p)))
+    # A row a sheet, made on the driver.
     out = rows.join(F.broadcast(where), KEYS).select(*KEYS, "row_no", "file_order", values.alias("values"))
     out = out.where(F.exists("values", lambda c: ~is_blank(c)))
     plain = out.withColumn("plain", normalize_all(F.transform("values", lambda v: v["text"])))

@@ -15,11 +15,13 @@ GRID = f"file string, sheet string, row_no int, cells array<{CELL}>"
 
 # Words that headers have, words that mark totals, group names that say nothing, and where a unit is named.
 HEADER_HINTS = (
-    "单位 部门 学院 名称 序号 编号 姓名 学号 工号 数量 人数 金额 合计 小计 总计 日期 时间 备注 电话 手机 地址 专业 年级 班级 性别 比例 "
-    "招生 毕业 就业 教师 学生 经费 预算 面积 类型 状态 说明 内容 项目 指标 得分 结果"
-).split()
+    "单位", "部门", "学院", "名称", "序号", "编号", "姓名", "学号", "工号", "数量", "人数", "金额", "合计", "小计", "总计", "日期", "时间", "备注", "电话", "手机", "地址", "专业", "年级", "班级",
+    "性别", "比例", "招生", "毕业", "就业", "教师", "学生", "经费", "预算", "面积", "类型", "状态", "说明", "内容", "项目", "指标", "得分", "结果",
+)
 TOTAL_MARKERS = ("合计", "总计", "小计", "共计", "累计", "总和", "汇总")
-GENERIC_GROUPS = "基本信息 基本情况 基础信息 教学情况 其他 其它 备注 说明 补充 详细 相关 情况 信息 具体".split()
+GENERIC_GROUPS = (
+    "基本信息", "基本情况", "基础信息", "教学情况", "其他", "其它", "备注", "说明", "补充", "详细", "相关", "情况", "信息", "具体",
+)
 UNIT_PATTERN = r"(?:填报单位|报送单位|单位名称|二级单位|所在学院|院系|部门|单位)\s*[：:]\s*(\S{2,30})"
 TITLE_ENDINGS = r"(情况)?(统计)?(汇总)?(填)?(报)?(申)?(表|报表|清单|一览表|统计表)\s*$"
 JOINER = "·"

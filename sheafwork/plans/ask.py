@@ -23,18 +23,46 @@ VIEW = "汇总数据"
 MOST_ROWS, SHOWN_ROWS, SECONDS = 5000, 20, 5.0
 
 #: Plans that only read.
-PLANS = frozenset(
-    "Project Filter Aggregate Sort GlobalLimit LocalLimit Offset Tail Distinct Deduplicate Join SubqueryAlias UnresolvedSubqueryColumnAliases UnresolvedRelation "
-    "UnresolvedWith Union Intersect Except OneRowRelation UnresolvedInlineTable LocalRelation UnresolvedHaving WithWindowDefinition Window LateralJoin Generate "
-    "Pivot UnresolvedPivot Unpivot Expand GroupingSets UnresolvedOrderBy ResolvedInlineTable UnionLoop UnionLoopRef Sample".split()
-)
-#: Spark's own functions that reach beyond the data.
-DENIED = frozenset(
-    "reflect java_method try_reflect input_file_name input_file_block_start input_file_block_length current_user user session_user current_catalog current_database "
-    "current_schema version spark_partition_id monotonically_increasing_id raise_error assert_true sleep read_files".split()
-)
+PLANS = frozenset((
+    "Project", "Filter", "Aggregate", "Sort", "GlobalLimit", "LocalLimit", "Offset", "Tail", "Distinct", "Deduplicate", "Join", "SubqueryAlias",
+    "UnresolvedSubqueryColumnAliases", "UnresolvedRelation", "UnresolvedWith", "Union", "Intersect", "Except", "OneRowRelation",
+    "UnresolvedInlineTable", "LocalRelation", "UnresolvedHaving", "WithWindowDefinition", "Window", "LateralJoin", "Generate", "Pivot",
+    "UnresolvedPivot", "Unpivot", "Expand", "GroupingSets", "UnresolvedOrderBy", "ResolvedInlineTable", "UnionLoop", "UnionLoopRef", "Sample",
+))
+#: Functions that a statement may use: each works on its arguments alone.
+ALLOWED = frozenset((
+    # text
+    "ascii", "bit_length", "btrim", "char", "char_length", "character_length", "chr", "concat", "concat_ws", "contains", "elt", "endswith", "find_in_set", "format_number",
+    "format_string", "hex", "initcap", "instr", "lcase", "left", "len", "length", "levenshtein", "locate", "lower", "lpad", "ltrim", "md5", "octet_length", "overlay", "position",
+    "printf", "quote", "regexp", "regexp_count", "regexp_extract", "regexp_instr", "regexp_like", "regexp_replace", "regexp_substr", "repeat", "replace", "reverse", "right",
+    "rlike", "rpad", "rtrim", "sha1", "sha2", "soundex", "split", "split_part", "startswith", "substr", "substring", "substring_index", "translate", "trim", "ucase", "unhex",
+    "upper", "like", "ilike",
+    # numbers
+    "abs", "acos", "asin", "atan", "atan2", "bround", "cbrt", "ceil", "ceiling", "cos", "cosh", "cot", "degrees", "div", "exp", "floor", "ln", "log", "log10", "log2", "mod",
+    "negative", "pi", "pmod", "pow", "power", "radians", "rand", "randn", "random", "round", "sign", "signum", "sin", "sinh", "sqrt", "tan", "tanh", "try_add", "try_divide",
+    "try_multiply", "try_subtract", "width_bucket",
+    # conditions and kinds
+    "bigint", "boolean", "coalesce", "decimal", "double", "float", "greatest", "if", "ifnull", "int", "isnotnull", "isnull", "least", "nullif", "nvl", "nvl2", "string",
+    "try_to_number", "typeof",
+    # dates
+    "add_months", "current_date", "current_timestamp", "date", "date_add", "date_diff", "date_format", "date_part", "date_sub", "date_trunc", "datediff", "day", "dayofmonth",
+    "dayofweek", "dayofyear", "extract", "hour", "last_day", "make_date", "minute", "month", "months_between", "next_day", "now", "quarter", "second", "timestamp", "to_date",
+    "to_timestamp", "to_unix_timestamp", "trunc", "try_to_date", "try_to_timestamp", "unix_date", "unix_timestamp", "weekday", "weekofyear", "year",
+    # aggregates and windows
+    "any_value", "approx_count_distinct", "array_agg", "avg", "bool_and", "bool_or", "collect_list", "collect_set", "corr", "count", "count_if", "covar_pop", "covar_samp",
+    "every", "first", "first_value", "grouping", "grouping_id", "kurtosis", "last", "last_value", "listagg", "max", "max_by", "mean", "median", "min", "min_by", "mode",
+    "percentile", "percentile_approx", "skewness", "some", "std", "stddev", "stddev_pop", "stddev_samp", "string_agg", "sum", "try_avg", "try_sum", "var_pop", "var_samp",
+    "variance", "cume_dist", "dense_rank", "lag", "lead", "nth_value", "ntile", "percent_rank", "rank", "row_number",
+    # lists and JSON
+    "array", "array_contains", "array_distinct", "array_join", "array_size", "cardinality", "element_at", "explode", "explode_outer", "from_json", "get_json_object",
+    "json_array_length", "json_object_keys", "json_tuple", "named_struct", "posexplode", "range", "sequence", "size", "slice", "sort_array", "struct", "to_json",
+))
 #: Names of another SQL dialect and Spark's for the same.
-RENAMED = {"iif": "if", "group_concat": "string_agg", "unicode": "ascii", "like": "ilike"}
+RENAMED = {"iif": "if", "group_concat": "string_agg", "unicode": "ascii", "like": "ilike", "json_extract": "get_json_object", "unixepoch": "unix_timestamp"}
+#: Seconds after which a late query is given up even if it doesn't end.
+GRACE = 5.0
+#: Date parts of the other dialect's patterns and Spark's.
+_DATE_PARTS = {"%Y": "yyyy", "%m": "MM", "%d": "dd", "%H": "HH", "%M": "mm", "%S": "ss", "%j": "DDD", "%%": "%"}
 _TOKENS = re.compile(r"'(?:[^']|'')*'|\"(?:[^\"]|\"\")*\"|`(?:[^`]|``)*`|--[^\n]*|/\*.*?\*/|[^\W\d]\w*|.", re.S)
 
 
@@ -46,23 +74,78 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def prepared(sql: str, known: set[str]) -> str:
+def _date_pattern(literal: str) -> str:
+    """A literal pattern of the other dialect as Spark's."""
+    parts = re.findall("%.|[^%]+", literal[1:-1])
+    unknown = [x for x in parts if x.startswith("%") and x not in _DATE_PARTS]
+    if unknown or literal[0] != "'":
+        raise Refused(f"the date pattern {literal} has no equal here")
+    return '"' + "".join(_DATE_PARTS.get(x) or re.sub("([A-Za-z]+)", r"'\1'", x) for x in parts) + '"'
+
+
+def _call(name: str, args: list[str]) -> str | None:
+    """A call of the other dialect that differs by more than its name, as Spark's; None for all others."""
+    if name == "total" and len(args) == 1:
+        return f"coalesce(sum({args[0]}), 0D)"
+    if name == "strftime" and len(args) == 2:
+        return f"date_format({args[1]}, {_date_pattern(args[0].strip())})"
+    if name == "julianday" and len(args) == 1:
+        return f"(unix_timestamp(CAST({args[0]} AS TIMESTAMP)) / 86400D + 2440587.5D)"
+    if name == "date" and len(args) == 1 and args[0].strip().lower() == "'now'":
+        return "current_date()"
+    if name in ("max", "min") and len(args) > 1:
+        null = " OR ".join(f"({x}) IS NULL" for x in args)
+        return f"CASE WHEN {null} THEN NULL ELSE {'greatest' if name == 'max' else 'least'}({', '.join(args)}) END"
+    return None
+
+
+def _with_calls(tokens: list[str]) -> str:
+    """The tokens' text, with the calls that _call knows rewritten, those in their arguments too."""
+    out, k = [], 0
+    while k < len(tokens):
+        token, past = tokens[k], k + 1
+        while past < len(tokens) and tokens[past].isspace():
+            past += 1
+        if token.lower() in ("total", "strftime", "julianday", "date", "max", "min") and past < len(tokens) and tokens[past] == "(":
+            depth, at, args = 1, past + 1, [[]]
+            while at < len(tokens) and depth:
+                depth += (tokens[at] == "(") - (tokens[at] == ")")
+                if depth == 1 and tokens[at] == ",":
+                    args.append([])
+                elif depth:
+                    args[-1].append(tokens[at])
+                at += 1
+            call = None if depth else _call(token.lower(), [_with_calls(x) for x in args])
+            if call is not None:
+                out.append(call)
+                k = at
+                continue
+        out.append(token)
+        k += 1
+    return "".join(out)
+
+
+def prepared(sql: str, known: set[str], renamed: dict[str, str] | None = None) -> str:
     """A statement in Spark's dialect: known names quoted, also where single quotes stand around one; double quotes are
-    identifiers."""
-    out = []
+    identifiers; names in renamed get another name."""
+    out, names = [], renamed or {}
     for token in _TOKENS.findall(sql.strip().rstrip(";").strip()):
         if token[0] == "'" and token[1:-1] in known:
-            token = quoted(token[1:-1])
+            token = quoted(names.get(token[1:-1], token[1:-1]))
         elif token[0] == '"':
-            token = quoted(token[1:-1].replace('""', '"'))
+            own = token[1:-1].replace('""', '"')
+            token = quoted(names.get(own, own))
+        elif token[0] == "`":
+            own = token[1:-1].replace("``", "`")
+            token = quoted(names.get(own, own))
         elif token in known or token.isidentifier() and not token.isascii():
-            token = quoted(token)
+            token = quoted(names.get(token, token))
         elif token.isidentifier():
             token = RENAMED.get(token.lower(), token)
         elif token.startswith(("--", "/*")):
             token = " "
         out.append(token)
-    return "".join(out)
+    return _with_calls(out)
 
 
 def looks_like_select(sql: str) -> bool:
@@ -117,7 +200,8 @@ def _check_plan(plan, views: set[str], functions: set[str]) -> None:  # noqa: AN
 
 
 def allowed_functions(spark: SparkSession) -> set[str]:
-    return {r[0].lower() for r in spark.sql("SHOW SYSTEM FUNCTIONS").collect()} - DENIED
+    """Those of ALLOWED that are Spark's own."""
+    return {r[0].lower() for r in spark.sql("SHOW SYSTEM FUNCTIONS").collect()} & ALLOWED
 
 
 def check(spark: SparkSession, sql: str, views: set[str], functions: set[str] | None = None) -> None:
@@ -130,7 +214,8 @@ def check(spark: SparkSession, sql: str, views: set[str], functions: set[str] |
 
 
 def within(spark: SparkSession, seconds: float, work):  # noqa: ANN001, ANN201
-    """work()'s result, or TimeoutError after so many seconds, its jobs cancelled until none runs."""
+    """work()'s result, or TimeoutError after so many seconds, its jobs cancelled until none runs, or GRACE is over (a
+    statement that is still being planned has no job)."""
     tag, out = f"ask-{uuid.uuid4().hex}", {}
 
     def run() -> None:
@@ -140,11 +225,11 @@ def within(spark: SparkSession, seconds: float, work):  # noqa: ANN001, ANN201
         except Exception as problem:  # noqa: BLE001  handed to the caller's thread
             out["problem"] = problem
 
-    thread = InheritableThread(target=run)
+    thread = InheritableThread(target=run, daemon=True)
     thread.start()
     thread.join(seconds)
-    late = thread.is_alive()
-    while thread.is_alive():  # a plan starts several jobs, so one cancel may come before the last
+    late, end = thread.is_alive(), time.monotonic() + GRACE
+    while thread.is_alive() and time.monotonic() < end:  # a plan starts several jobs, so one cancel may come before the last
         spark.sparkContext.cancelJobGroup(tag)
         thread.join(0.2)
     if late:
@@ -196,7 +281,8 @@ class Table:
         self.columns = df.columns
         self._functions = allowed_functions(self._spark)
         self._lock = threading.Lock()
-        df.createOrReplaceTempView(quoted(view))
+        self._own = f"{view}_{uuid.uuid4().hex}"  # each table has a view of its own, so that none answers for another
+        df.createOrReplaceTempView(quoted(self._own))
 
     def schema_text(self) -> str:
         """Name, rows, kinds and a few masked samples of each column, for a prompt."""
@@ -214,8 +300,8 @@ class Table:
     def ask(self, sql: str, limit: int = MOST_ROWS, shown: int = SHOWN_ROWS, seconds: float = SECONDS, ledger: Ledger | None = None) -> Answer:
         answer, began = Answer(sql), time.monotonic()
         try:
-            text = prepared(sql, {self.view, *self.columns})
-            check(self._spark, text, {self.view}, self._functions)
+            text = prepared(sql, {self.view, *self.columns}, {self.view: self._own})
+            check(self._spark, text, {self._own}, self._functions)
 
             def work() -> tuple[DataFrame, list]:
                 df = self._spark.sql(text)
@@ -235,7 +321,8 @@ class Table:
             answer.text = "\n".join([*lines, total])
         except Exception as problem:  # noqa: BLE001  told to whoever asked
             hint = "" if looks_like_select(sql) else " (only SELECT statements are run)"
-            answer.error = f"{type(problem).__name__}: {str(problem).split('JVM stacktrace')[0].strip()[:800]}{hint}"
+            told = str(problem).split("JVM stacktrace")[0].strip().replace(self._own, self.view)
+            answer.error = f"{type(problem).__name__}: {told[:800]}{hint}"
             answer.text = answer.error
         answer.seconds = time.monotonic() - began
         if ledger is not None:

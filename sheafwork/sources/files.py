@@ -74,8 +74,9 @@ def _cell(node: ElementTree.Element, strings: list[str], dates: set[int]) -> Cel
     return "n", str(int(number)) if number.is_integer() and abs(number) < 1e15 else value.text if re.fullmatch(r"-?[0-9]+", value.text) else repr(number)
 
 
-def read_xlsx(data: bytes) -> Iterator[tuple[str, list[list[Cell]]]]:
-    """Each sheet's name and grid, merged cells filled with their first one's value."""
+def read_xlsx(data: bytes) -> Iterator[tuple[str, list[list[Cell]], str]]:
+    """Each sheet's name and grid, merged cells filled with their first one's value, and what of it is beyond the most
+    that is read."""
     with zipfile.ZipFile(io.BytesIO(data)) as book:
         names = set(book.namelist())
         strings = []
@@ -94,22 +95,27 @@ def read_xlsx(data: bytes) -> Iterator[tuple[str, list[list[Cell]]]]:
             if root.tag != f"{_MAIN}worksheet":
                 continue
             found: dict[tuple[int, int], Cell] = {}
-            row = -1
+            row, beyond = -1, [0, 0]  # the last row and column past the most
             for line in root.iter(f"{_MAIN}row"):
                 row, column = int(line.get("r", row + 2)) - 1, -1
                 for node in line.iter(f"{_MAIN}c"):
                     column = _place(node.get("r"))[1] if node.get("r") else column + 1
-                    if row < MOST_ROWS and column < MOST_COLUMNS and (cell := _cell(node, strings, dates)):
+                    if not (cell := _cell(node, strings, dates)):
+                        continue
+                    if row < MOST_ROWS and column < MOST_COLUMNS:
                         found[row, column] = cell
+                    else:
+                        beyond = [max(beyond[0], row + 1), max(beyond[1], column + 1)]
             for merged in root.iter(f"{_MAIN}mergeCell"):
                 (top, left), (bottom, right) = (_place(x) for x in (merged.get("ref") + ":" + merged.get("ref")).split(":")[:2])
                 if cell := found.get((top, left)):
                     found.update({(r, c): cell for r in range(top, min(bottom, MOST_ROWS - 1) + 1) for c in range(left, min(right, MOST_COLUMNS - 1) + 1)})
             height, width = (max((place[k] for place in found), default=-1) + 1 for k in (0, 1))
-            yield sheet.get("name"), [[found.get((r, c)) for c in range(width)] for r in range(height)]
+            cut = [f"{n} {what} are filled, {most} are read" for n, what, most in zip(beyond, ("rows", "columns"), (MOST_ROWS, MOST_COLUMNS)) if n > most]
+            yield sheet.get("name"), [[found.get((r, c)) for c in range(width)] for r in range(height)], "; ".join(cut)
 
 
-def read_csv(data: bytes) -> Iterator[tuple[str, list[list[Cell]]]]:
+def read_csv(data: bytes) -> Iterator[tuple[str, list[list[Cell]], str]]:
     """The one grid of a csv file, in the first encoding that fits."""
     for encoding in ENCODINGS:
         try:
@@ -121,7 +127,19 @@ def read_csv(data: bytes) -> Iterator[tuple[str, list[list[Cell]]]]:
         raise ValueError("unknown text encoding: save the file as xlsx")
     rows = list(csv.reader(io.StringIO(text, newline="")))
     width = max(map(len, rows), default=0)
-    yield "", [[("s", x) if x != "" else None for x in row] + [None] * (width - len(row)) for row in rows]
+    yield "", [[("s", x) if x != "" else None for x in row] + [None] * (width - len(row)) for row in rows], ""
+
+
+def _files(spark: SparkSession, folder: str) -> DataFrame:
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{" + ",".join(x for s in SUFFIXES for x in (s, s.upper())) + "}").load(folder)
+    name = F.url_decode(F.replace(F.element_at(F.split("path", "/"), -1), F.lit("+"), F.lit("%2B")))
+    return files.withColumn("file", name).where(~F.col("file").rlike(r"^(~\$|\.)"))
+
+
+def find_template(spark: SparkSession, folder: str) -> str | None:
+    """The first workbook or csv of a folder by name, hidden and lock files left out."""
+    found = _files(spark, folder).select("path", "file").orderBy("file", "path").first()
+    return found.path if found else None
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,7 +151,9 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             try:
                 if suffix == "xls":
                     raise ValueError("the old xls format is not read: save the file as xlsx")
-                for sheet, grid in read_csv(data) if suffix == "csv" else read_xlsx(data):
+                for sheet, grid, cut in read_csv(data) if suffix == "csv" else read_xlsx(data):
+                    if cut:
+                        rows.append({"file": name, "sheet": sheet, "row_no": None, "cells": None, "error": cut})
                     rows += [
                         {"file": name, "sheet": sheet, "row_no": k + 1, "cells": [c and {"kind": c[0], "text": c[1]} for c in line], "error": None}
                         for k, line in enumerate(grid)
@@ -146,9 +166,7 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_grids(spark: SparkSession, inbox: str) -> DataFrame:
-    """The grids of a folder's files with a known suffix, hidden and lock files left out, and the reason for each file
-    that can't be read."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{" + ",".join(x for s in SUFFIXES for x in (s, s.upper())) + "}").load(inbox)
-    name = F.url_decode(F.replace(F.element_at(F.split("path", "/"), -1), F.lit("+"), F.lit("%2B")))
-    wanted = files.select(name.alias("file"), "content").where(~F.col("file").rlike(r"^(~\$|\.)"))
+    """The grids of a folder's files with a known suffix, hidden and lock files left out; a row with error for each file
+    that can't be read (sheet null), and for each sheet of which rows or columns are beyond the most that is read."""
+    wanted = _files(spark, inbox).select("file", "content")
     return wanted.mapInArrow(_parsed, SCHEMA)
