@@ -25,6 +25,7 @@ SPACES = " 　 ​‌‍\t\r\n"
 _FULL = "".join(chr(0xFF01 + i) for i in range(94))
 _HALF = "".join(chr(0x21 + i) for i in range(94))
 NUMBER = T.DecimalType(38, 10)
+_MARK = "\x01"
 
 
 @F.arrow_udf(T.StringType())
@@ -48,7 +49,8 @@ def half_width(text: Column) -> Column:
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value) with the value computed once, however often it is used."""
+    """use(value) with the value computed once, however often it is used: without it, Spark forms the value anew for each
+    use within a condition, which costs four times as much for the parsers below."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
@@ -60,8 +62,11 @@ def normalize_text(text: Column, compatibility: bool = True) -> Column:
 
 
 def normalize_all(texts: Column) -> Column:
-    """array<string>: normalize_text of each of an array's texts, in one call of Python a row."""
-    return F.transform(_nfkc_all(F.transform(texts, half_width)), lambda x: F.trim(x))
+    """array<string>: normalize_text of each of an array's texts, in one call of Python a row, which gets only texts that
+    another form may change: none of ASCII and common ideographs alone has one."""
+    half = F.transform(texts, half_width)
+    other = _nfkc_all(F.transform(half, lambda x: F.when(x.rlike(r"[^\x00-\x7F\u3400-\u4DB5\u4E00-\u9FA5]"), x)))
+    return F.zip_with(half, other, lambda a, b: F.trim(F.coalesce(b, a)))
 
 
 def _plain(text: Column, normalized: bool, compatibility: bool) -> Column:
@@ -79,12 +84,15 @@ def parse_number(text: Column, normalized: bool = False, compatibility: bool = T
     pattern = r"^([-+]?[0-9]+(?:\.[0-9]+)?)([万亿萬億千kKwW])?元?(%?)$"
     units = F.create_map(*(x for unit, times in {"": 1, **UNITS}.items() for x in (F.lit(unit), F.lit(times).cast("decimal(12,0)"))))
 
-    def parsed(body: Column) -> Column:
-        number = F.regexp_extract(body, pattern, 1).try_cast(NUMBER) * F.try_element_at(units, F.regexp_extract(body, pattern, 2))
-        percent = F.regexp_extract(body, pattern, 3) == "%"
-        return F.when(body.rlike(pattern), F.when(percent, number / F.lit(100).cast("decimal(3,0)")).otherwise(number).try_cast(NUMBER))
+    # One match a value: its parts are written one after the other, led by a mark that no value has.
+    body = F.translate(F.ltrim(_plain(text, normalized, compatibility), F.lit(CURRENCY)), ",，、 \t\r\n\x0b\f" + _MARK, "")
 
-    return let(F.regexp_replace(F.regexp_replace(_plain(text, normalized, compatibility), f"^[{CURRENCY}]+", ""), r"[,\s，、]", ""), parsed)
+    def number(parts: Column) -> Column:
+        plain = F.get(parts, F.lit(1)).try_cast(NUMBER) * F.try_element_at(units, F.get(parts, F.lit(2)))
+        percent = F.get(parts, F.lit(3)) == "%"
+        return F.when(F.size(parts) == 4, F.when(percent, plain / F.lit(100).cast("decimal(3,0)")).otherwise(plain).try_cast(NUMBER))
+
+    return let(F.split(F.regexp_replace(body, pattern, _MARK + "$1" + _MARK + "$2" + _MARK + "$3"), _MARK), number)
 
 
 def from_excel_serial(serial: Column) -> Column:
@@ -94,29 +102,21 @@ def from_excel_serial(serial: Column) -> Column:
     return F.when(F.year(day).between(FIRST_YEAR, LAST_YEAR), day)
 
 
-def _day(year: Column, month: Column, day: Column) -> Column:
-    whole = F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), F.lpad(month, 2, "0"), F.lpad(day, 2, "0"))
-    return F.when(year.try_cast("int").between(FIRST_YEAR, LAST_YEAR), whole.try_cast("date"))
-
-
 def parse_date(text: Column, this_year: int | Column | None = None, normalized: bool = False, compatibility: bool = True) -> Column:
     """date: 2026/9/1, 2026年9月1日, 20260901, 9-1 (in this_year, by default the current one), or a serial of up to six
     digits."""
     year_now = F.year(F.current_date()) if this_year is None else this_year if isinstance(this_year, Column) else F.lit(this_year)
-    full, dense, short = r"^([0-9]{4})[-/.年]([0-9]{1,2})[-/.月]([0-9]{1,2})日?$", r"^([0-9]{4})([0-9]{2})([0-9]{2})$", r"^([0-9]{1,2})[-/.月]([0-9]{1,2})日?$"
+    full, dense, short = "([0-9]{4})[-/.年]([0-9]{1,2})[-/.月]([0-9]{1,2})日?", "([0-9]{4})([0-9]{2})([0-9]{2})", "([0-9]{1,2})[-/.月]([0-9]{1,2})日?"
+    plain = F.translate(_plain(text, normalized, compatibility), _MARK, "")
+    # One match a value, of any form: year, month and day, the year empty where it isn't written.
+    written = F.regexp_replace(plain, f"^(?:{full}|{dense}|{short})$", _MARK + "$1$4-$2$5$7-$3$6$8")
 
-    def parsed(plain: Column) -> Column:
-        def part(pattern: str, k: int) -> Column:
-            return F.regexp_extract(plain, pattern, k)
-
-        return F.coalesce(
-            F.when(plain.rlike(full), _day(part(full, 1), part(full, 2), part(full, 3))),
-            F.when(plain.rlike(dense), _day(part(dense, 1), part(dense, 2), part(dense, 3))),
-            F.when(plain.rlike(short), _day(year_now, part(short, 1), part(short, 2))),
-            F.when(plain.rlike(r"^[0-9]{1,6}$"), from_excel_serial(plain.try_cast("double"))),
-        )
+    def parsed(x: Column) -> Column:
+        found = F.when(x.startswith(_MARK + "-"), F.concat(F.lpad(year_now.cast("string"), 4, "0"), F.substring(x, 2, 12))).when(x.startswith(_MARK), F.substring(x, 2, 12))
+        day = let(found.try_cast("date"), lambda d: F.when(F.year(d).between(FIRST_YEAR, LAST_YEAR), d))
+        return F.coalesce(day, F.when(x.rlike(r"^[0-9]{1,6}$"), from_excel_serial(x.try_cast("double"))))
 
-    return let(_plain(text, normalized, compatibility), parsed)
+    return let(written, parsed)
 
 
 def clean_text(text: Column, markers: tuple[str, ...] = EMPTY_MARKERS, normalized: bool = False, compatibility: bool = True) -> Column:

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-STAR = "★"
-
 
 def mask_id_card(text: Column) -> Column:
     """18 digits (the last may be X) and the older 15: the first four and the last four (three) stay."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 from pyspark.sql import Column
@@ -56,6 +57,11 @@ def is_identity_of(name: str) -> bool:
     return any(hint in name for hint in IDENTITY_HINTS) or re.search(r"(?<![a-z])id(?![a-z])", name.casefold()) is not None
 
 
+def signature_of(names: list[str]) -> str:
+    filled = sorted(x for x in ("".join(name.split()).lower() for name in names) if x)
+    return hashlib.sha256("\x1f".join(filled).encode()).hexdigest()[:32]
+
+
 def signature(names: Column) -> Column:
     """A fingerprint of a header: order, case and white space don't matter."""
     filled = F.filter(F.transform(names, lambda x: F.lower(F.regexp_replace(x, r"[\s　]+", ""))), lambda x: x != "")

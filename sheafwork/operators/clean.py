@@ -71,16 +71,26 @@ def cleaned(
 def audit(records: DataFrame, fields: list[str], kinds: dict[str, str], markers: tuple[str, ...] = c.EMPTY_MARKERS, this_year: int | None = None) -> DataFrame:
     """(src_file, src_sheet, src_row, field, before, after): numbers and dates whose writing has changed. Dates that were
     dates already aren't told."""
-    found = []
-    for k, name in enumerate(fields):
-        if kinds[name] == "text":
-            continue
+    places = [(k, name) for k, name in enumerate(fields) if kinds[name] != "text"]
+    if not places:
+        return records.where("false").select(
+            F.col("file").alias("src_file"), F.col("sheet").alias("src_sheet"), F.col("row_no").alias("src_row"), *(F.lit("").alias(x) for x in ("field", "before", "after"))
+        )
+    # What is parsed becomes columns first, so that no value is parsed twice.
+    parsed = []
+    for k, name in places:
         cell = F.col("values")[k]
         after = F.date_format(_date(cell, this_year), "yyyy-MM-dd") if kinds[name] == "date" else c.pretty_number(_number(cell))
-        before = F.trim(cell["text"])
-        changed = ~_empty(cell, markers) & (cell["kind"] != "d") & (F.when(cell["kind"] == "n", c.pretty_number(_number(cell))).otherwise(before) != after)
-        found.append(F.when(changed, F.struct(F.lit(name).alias("field"), cell["text"].alias("before"), after.alias("after"))))
-    if not found:
-        found = [F.lit(None).cast("struct<field:string,before:string,after:string>")]
-    rows = records.select("file", "sheet", "row_no", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("x"))
+        number = c.pretty_number(_number(cell)) if kinds[name] == "date" else F.lit(None)
+        parsed += [
+            F.when(~_empty(cell, markers) & (cell["kind"] != "d"), after).alias(f"after_{k}"), F.when(cell["kind"] == "n", number).alias(f"number_{k}"),
+            cell["text"].alias(f"text_{k}"), cell["kind"].alias(f"kind_{k}"),
+        ]
+    rows, found = records.select("file", "sheet", "row_no", *parsed), []
+    for k, name in places:
+        after = F.col(f"after_{k}")
+        as_number = F.col(f"number_{k}") if kinds[name] == "date" else after
+        before = F.when(F.col(f"kind_{k}") == "n", as_number).otherwise(F.trim(f"text_{k}"))
+        found.append(F.when(before != after, F.struct(F.lit(name).alias("field"), F.col(f"text_{k}").alias("before"), after.alias("after"))))
+    rows = rows.select("file", "sheet", "row_no", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("x"))
     return rows.select(F.col("file").alias("src_file"), F.col("sheet").alias("src_sheet"), F.col("row_no").alias("src_row"), "x.field", "x.before", "x.after")

@@ -16,6 +16,8 @@ ISSUE = "level string, rule string, problem string, suggestion string, file stri
 LEVELS = ("error", "warning", "info")
 NUMERIC_SHARE = 0.8
 SPARSE_SHARE = 0.5
+#: Files up to which their states go to every executor.
+BROADCAST_FILES = 10_000
 
 
 def _value(field: str) -> Column:
@@ -52,44 +54,77 @@ def key_fields(fields: list[str]) -> list[str]:
     return [f for f in (group, own) if f]
 
 
+def _states(records: DataFrame, fields: list[str]) -> DataFrame:
+    """(src_file, file_rows, all_rows, f): a row a file; f has for each field, in order, file_has, all_has, whether it is
+    mostly numbers (numeric), whether the file lacks it as a whole (whole), and whether each row without it is told
+    (each). One aggregate of the records, by file, from which the whole columns' sums follow."""
+    numbers = [c.parse_number(_value(f), normalized=True).isNotNull() & _has(f) for f in fields]
+    tests = [x for k, f in enumerate(fields) for x in (F.count_if(_has(f)).alias(f"h{k}"), F.count_if(numbers[k]).alias(f"n{k}"))]
+    by_file = records.groupBy("src_file").agg(F.count(F.lit(1)).alias("file_rows"), *tests)
+    names = [x for k in range(len(fields)) for x in (f"h{k}", f"n{k}")]
+    totals = by_file.agg(F.sum("file_rows").alias("all_rows"), *(F.sum(x).alias(f"all_{x}") for x in names))
+    of = []
+    for k in range(len(fields)):
+        has, every, file_rows, rows = F.col(f"h{k}"), F.col(f"all_h{k}"), F.col("file_rows"), F.col("all_rows")
+        told = (every > 0) & (every < rows) & (has < file_rows)
+        whole = (has == 0) & (file_rows > 1)
+        numeric = (every >= 3) & (F.col(f"all_n{k}") >= NUMERIC_SHARE * every)
+        of.append(F.struct(has.alias("file_has"), every.alias("all_has"), numeric.alias("numeric"), (told & whole).alias("whole"), (told & ~whole).alias("each")))
+    return by_file.crossJoin(F.broadcast(totals)).select("src_file", "file_rows", "all_rows", F.array(*of).alias("f"))  # totals: one row
+
+
+def _by_file(records: DataFrame, states: DataFrame) -> DataFrame:
+    """records with their file's state, which goes to every executor if there are few files; else a file's rows may be
+    split, as its state is shuffled by this join alone."""
+    few = records.select("src_file").distinct().limit(BROADCAST_FILES + 1).count() <= BROADCAST_FILES
+    return records.join(F.broadcast(states) if few else states.hint("rebalance"), "src_file")
+
+
+def _file_issues(states: DataFrame, fields: list[str]) -> DataFrame:
+    names = F.array(*map(F.lit, fields))
+    whole = states.select("src_file", "file_rows", F.posexplode("f").alias("k", "s")).where("s.whole").withColumn("field", F.get(names, "k"))
+    return whole.select(
+        *_issue("warning", "missing", F.format_string("%s is empty in all %d rows of this file, others have it", "field", "file_rows"),
+                "Check whether the column was forgotten", (F.col("src_file"), F.lit(""), F.lit(None)), F.col("field"), None, F.col("k"))
+    )
+
+
+def _row_issues(records: DataFrame, fields: list[str], rules: tuple[str, ...], states: DataFrame | None) -> DataFrame:
+    """What rules (missing, type_outlier, sparse_row) find in single rows, in one pass."""
+    kind = "array<struct<level:string,rule:string,problem:string,suggestion:string,file:string,sheet:string,row:int,column:string,value:string,field_order:int>>"
+    found = []
+    for k, f in enumerate(fields):
+        state, value, has = F.get("f", F.lit(k)), _value(f), _has(f)
+        if "missing" in rules:
+            problem = F.format_string(f"{f.replace('%', '%%')} is empty, but %d other rows have it", state["all_has"])
+            found.append(F.when(state["each"] & ~has, F.struct(*_issue("warning", "missing", problem, "Check whether it was forgotten", _here(), f, None, k))))
+        if "type_outlier" in rules:
+            odd = has & c.parse_number(value, normalized=True).isNull() & c.parse_date(value, normalized=True).isNull()
+            problem = F.format_string(f"{f.replace('%', '%%')} is mostly numbers, this one is %s", value)
+            found.append(F.when(state["numeric"] & odd, F.struct(*_issue("warning", "type_outlier", problem, "Check whether it is a slip", _here(), f, value, k))))
+    if "sparse_row" in rules and len(fields) >= 3:
+        filled = sum((_has(f).cast("int") for f in fields), F.lit(0))
+        problem = F.format_string(f"only %d of {len(fields)} fields are filled", filled)
+        sparse = F.struct(*_issue("warning", "sparse_row", problem, "Check whether the row was finished", _here(), "", None, len(fields)))
+        found.append(F.when((filled > 0) & (filled / len(fields) < SPARSE_SHARE), sparse))
+    if not found:
+        return _nothing(records)
+    at = F.filter(F.array(*found).cast(kind), lambda x: x.isNotNull())
+    rows = records if states is None else _by_file(records, states)
+    return rows.select(F.explode(at).alias("i")).select("i.*")
+
+
 def missing(records: DataFrame, fields: list[str]) -> DataFrame:
     """Values that lack where others have them: a row each, or one for a file of several rows that lacks them all."""
     if not fields:
         return _nothing(records)
-    places = F.array(*(F.struct(F.lit(f).alias("field"), F.lit(k).alias("order"), _has(f).alias("has")) for k, f in enumerate(fields)))
-    long = records.select("src_file", "src_sheet", "src_row", F.explode(places).alias("p")).select("src_file", "src_sheet", "src_row", "p.*")
-    by_file = long.groupBy("src_file", "field", "order").agg(F.count_if(F.col("has")).alias("file_has"), F.count(F.lit(1)).alias("file_rows"))
-    totals = by_file.groupBy("field").agg(F.sum("file_has").alias("all_has"), F.sum("file_rows").alias("all_rows"))
-    known = by_file.join(F.broadcast(totals), "field").where("all_has > 0 AND all_has < all_rows AND file_has < file_rows")
-    whole = (F.col("file_has") == 0) & (F.col("file_rows") > 1)
-    none = F.lit(None)
-    files = known.where(whole).select(
-        *_issue("warning", "missing", F.format_string("%s is empty in all %d rows of this file, others have it", "field", "file_rows"),
-                "Check whether the column was forgotten", (F.col("src_file"), F.lit(""), none), F.col("field"), None, F.col("order"))
-    )
-    rows = long.where("NOT has").join(F.broadcast(known.where(~whole).select("src_file", "field", "all_has")), ["src_file", "field"])
-    each = rows.select(
-        *_issue("warning", "missing", F.format_string("%s is empty, but %d other rows have it", "field", "all_has"),
-                "Check whether it was forgotten", _here(), F.col("field"), None, F.col("order"))
-    )
-    return files.unionByName(each)
+    states = _states(records, fields)
+    return _file_issues(states, fields).unionByName(_row_issues(records, fields, ("missing",), states))
 
 
 def type_outliers(records: DataFrame, fields: list[str]) -> DataFrame:
     """Values that are neither number nor date in a field of three or more values, mostly numbers."""
-    if not fields:
-        return _nothing(records)
-    places = F.array(*(F.struct(F.lit(f).alias("field"), F.lit(k).alias("order"), _value(f).alias("value")) for k, f in enumerate(fields)))
-    long = records.select("src_file", "src_sheet", "src_row", F.explode(places).alias("p")).select("src_file", "src_sheet", "src_row", "p.*")
-    filled = long.where(F.trim(F.regexp_replace("value", r"[\s　]+", "")) != "").withColumn("number", c.parse_number(F.col("value"), normalized=True).isNotNull())
-    totals = filled.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("number")).alias("numbers"))
-    numeric = totals.where((F.col("n") >= 3) & (F.col("numbers") >= NUMERIC_SHARE * F.col("n"))).select("field")  # at most a row a field
-    odd = filled.where(~F.col("number")).join(F.broadcast(numeric), "field", "left_semi")
-    found = odd.where(c.parse_date(F.col("value"), normalized=True).isNull())
-    return found.select(
-        *_issue("warning", "type_outlier", F.format_string("%s is mostly numbers, this one is %s", "field", "value"),
-                "Check whether it is a slip", _here(), F.col("field"), F.col("value"), F.col("order"))
-    )
+    return _row_issues(records, fields, ("type_outlier",), _states(records, fields)) if fields else _nothing(records)
 
 
 def duplicates(records: DataFrame, fields: list[str]) -> DataFrame:
@@ -107,7 +142,8 @@ def duplicates(records: DataFrame, fields: list[str]) -> DataFrame:
     shown = F.concat_ws(", ", *(F.concat(F.lit(f"{f}="), F.coalesce(_value(f), F.lit("None"))) for f in keys)) if keys else F.lit("the whole row")
     rows = records.where(some).select("src_file", "src_sheet", "src_row", "src_order", F.array_join(parts, "|").alias("key"), used.alias("used"), shown.alias("shown"))
     first = rows.groupBy("key").agg(F.min(F.struct("src_order", "src_file", "src_row")).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1")
-    later = rows.join(first, "key").where(F.col("src_order") > F.col("first.src_order"))
+    # A rebalanced side is shuffled by the join itself, so that the rows of a key that many have can be split.
+    later = rows.join(first.hint("rebalance"), "key").where(F.col("src_order") > F.col("first.src_order"))
     sure = (F.col("src_file") == F.col("first.src_file")) | (F.lit(len(keys) >= 2) & (F.col("used") >= 2))
     return later.select(
         *_issue(F.when(sure, "error").otherwise("warning"), "duplicate", F.format_string("%s repeats row %d of %s", "shown", "first.src_row", "first.src_file"),
@@ -118,12 +154,7 @@ def duplicates(records: DataFrame, fields: list[str]) -> DataFrame:
 
 def sparse_rows(records: DataFrame, fields: list[str]) -> DataFrame:
     """Rows of three or more fields with some but less than half filled."""
-    if len(fields) < 3:
-        return _nothing(records)
-    filled = sum((_has(f).cast("int") for f in fields), F.lit(0))
-    rows = records.withColumn("_filled", filled).where((F.col("_filled") > 0) & (F.col("_filled") / len(fields) < SPARSE_SHARE))
-    problem = F.format_string(f"only %d of {len(fields)} fields are filled", "_filled")
-    return rows.select(*_issue("warning", "sparse_row", problem, "Check whether the row was finished", _here(), "", None, len(fields)))
+    return _row_issues(records, fields, ("sparse_row",), None) if len(fields) >= 3 else _nothing(records)
 
 
 def low_confidence(records: DataFrame, fields: list[str], unsure: set[str]) -> DataFrame:
@@ -145,11 +176,12 @@ def normalization_notes(audit: DataFrame, fields: list[str]) -> DataFrame:
 
 
 def validate(records: DataFrame, fields: list[str], unsure: set[str] | None = None) -> DataFrame:
-    """The issues of all rules."""
-    out = missing(records, fields)
-    for more in (type_outliers(records, fields), duplicates(records, fields), sparse_rows(records, fields), low_confidence(records, fields, unsure or set())):
-        out = out.unionByName(more)
-    return out
+    """The issues of all rules. Rules about rows, whole columns and files share one aggregate and one pass."""
+    out = duplicates(records, fields).unionByName(low_confidence(records, fields, unsure or set()))
+    if not fields:
+        return out
+    states = _states(records, fields)
+    return out.unionByName(_file_issues(states, fields)).unionByName(_row_issues(records, fields, ("missing", "type_outlier", "sparse_row"), states))
 
 
 def in_order(issues: DataFrame) -> DataFrame:

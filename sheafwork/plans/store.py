@@ -49,7 +49,7 @@ def question_rows(log: DataFrame) -> DataFrame:
 
 def token_cost(usage: DataFrame, prices: DataFrame, fallback: tuple[float, float]) -> DataFrame:
     """usage (model, tokens_in, tokens_out) with its cost by prices (model, price_in, price_out) a million tokens."""
-    joined = usage.join(F.broadcast(prices), "model", "left")
+    joined = usage.join(prices, "model", "left")  # Spark broadcasts a price list by its size
     cost = (F.col("tokens_in") * F.coalesce("price_in", F.lit(fallback[0])) + F.col("tokens_out") * F.coalesce("price_out", F.lit(fallback[1]))) / 1_000_000
     return joined.withColumn("cost_cny", cost).drop("price_in", "price_out")
 
@@ -82,17 +82,29 @@ class Store:
             self._fs.delete(self._path(f"{self._folder}/{name}/{old}"), True)
 
     def put_mapping(self, signature: str, mapping: dict, source: str, confidence: dict, now: str) -> None:
-        row = (signature, json.dumps(mapping, ensure_ascii=False), source, json.dumps(confidence, ensure_ascii=False), now, now, 0)
-        self.replace("mapping_cache", upserted(without_rules(self.table("mapping_cache")), self._spark.createDataFrame([row], MAPPING_CACHE)))
+        self.put_mappings([(signature, mapping, source, confidence)], now)
+
+    def put_mappings(self, rows: list[tuple[str, dict, str, dict]], now: str) -> None:
+        """Keep mappings (signature, mapping, source, confidence); those of rules aren't kept. One rewrite for all."""
+        kept = [(s, json.dumps(m, ensure_ascii=False), source, json.dumps(c, ensure_ascii=False), now, now, 0) for s, m, source, c in rows if source != "rule"]
+        if kept:
+            self.replace("mapping_cache", upserted(without_rules(self.table("mapping_cache")), self._spark.createDataFrame(kept, MAPPING_CACHE)))
 
     def get_mapping(self, signature: str) -> tuple[dict, str, dict] | None:
+        return self.get_mappings({signature}).get(signature)
+
+    def get_mappings(self, signatures: set[str]) -> dict[str, tuple[dict, str, dict]]:
+        """(mapping, source, confidence) of the signatures that are known; each counts as a hit. One read and at most one
+        rewrite for all (a run's headers, at most some hundred)."""
         cache = self.table("mapping_cache")
-        row = cache.where(F.col("signature") == signature).first()
-        if row is None:
-            return None
-        hit = F.col("hit_count") + F.when(F.col("signature") == signature, 1).otherwise(0)
-        self.replace("mapping_cache", cache.withColumn("hit_count", hit))
-        return json.loads(row.mapping), row.source, json.loads(row.confidence or "{}")
+        rows = cache.where(F.col("signature").isin(*signatures)).collect() if signatures else []
+        if rows:
+            known = [r.signature for r in rows]
+            self.replace("mapping_cache", cache.withColumn("hit_count", F.col("hit_count") + F.col("signature").isin(*known).cast("long")))
+        return {r.signature: (json.loads(r.mapping), r.source, json.loads(r.confidence or "{}")) for r in rows}
+
+    def next_run(self) -> int:
+        return (self.table("runs").agg(F.max("id")).first()[0] or 0) + 1
 
     def forget(self, signature: str | None = None) -> None:
         cache = self.table("mapping_cache")
