@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
+import tempfile
+import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -62,7 +65,7 @@ def union_by_name_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("supplier").alias("src_file"),
         F.col("s_suppkey").alias("src_row"),
     )
-    return customer.unionByName(supplier, allowMissingColumns=True)
+    return align.union_by_name([customer, supplier])
 
 
 # Cleaning functions over values written in different ways.
@@ -176,17 +179,15 @@ def masked_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Field names.
 
-HEADERS = (("单位", "姓名", "学生数"), ("姓名", " 单 位", "学生数"), ("No.", "Name", "TOTAL"), ("total", "no.", "name", ""))
-
-
 @query(
-    "SELECT n, left(sha256(s), 32) AS signature FROM (VALUES "
-    + ", ".join(f"({k}, '{chr(31).join(sorted(''.join(x.split()).lower() for x in h if x.strip()))}')" for k, h in enumerate(HEADERS))
-    + ") v(n, s)"
+    """
+    SELECT c_custkey, left(sha256(array_to_string(list_sort([lower(replace(c_name, ' ', '')), lower(c_mktsegment), CAST(c_nationkey AS VARCHAR)]), chr(31))), 32) AS signature
+    FROM customer
+    """
 )
 def header_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(k, list(h)) for k, h in enumerate(HEADERS)], "n int, names array<string>")
-    return rows.select("n", names.signature(F.col("names")).alias("signature"))
+    header = F.array("c_name", F.concat(F.lit(" "), "c_mktsegment"), F.concat(F.col("c_nationkey").cast("string"), F.lit("　")), F.lit(""))
+    return table(spark, sf_dir, "customer").select("c_custkey", names.signature(header).alias("signature"))
 
 
 @query(
@@ -207,15 +208,41 @@ def jaccard_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-    SELECT * FROM (VALUES ('填报单位', '单位'), ('教师姓名', '姓名'), ('职称', '职称'), ('学生人数', '学生数'), ('课时数', '__UNKNOWN__'), ('序号', '__IGNORE__'), ('单位', '__UNKNOWN__')) v(source_col, target)
+    WITH c AS (SELECT p_brand AS header, p_partkey AS pos, p_name AS source_col, CASE WHEN p_size % 7 = 0 THEN '__IGNORE__' ELSE p_type END AS target, p_size / 50.0 AS confidence FROM part),
+    r AS (SELECT *, target <> '__IGNORE__' AND row_number() OVER (PARTITION BY header, target ORDER BY confidence DESC, pos) > 1 AS lost FROM c)
+    SELECT header, pos, CASE WHEN lost THEN '__UNKNOWN__' ELSE target END AS target, CAST(CASE WHEN lost THEN least(confidence, 0.4) ELSE confidence END AS DOUBLE) AS confidence FROM r
     """
 )
 def rule_map_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    claims = table(spark, sf_dir, "part").select(
+        F.col("p_brand").alias("header"), F.col("p_partkey").alias("pos"), F.col("p_name").alias("source_col"),
+        F.when(F.col("p_size") % 7 == 0, names.IGNORE).otherwise(F.col("p_type")).alias("target"), (F.col("p_size") / 50.0).alias("confidence"),
+    )
+    return align.without_conflicts(claims).drop("source_col")
+
+
+@query(
+    """
+    SELECT * FROM (VALUES ('填报单位', '单位'), ('教师姓名', '姓名'), ('职称', '职称'), ('学生人数', '学生数'), ('课时数', '__UNKNOWN__'), ('序号', '__IGNORE__'), ('单位', '__UNKNOWN__')) v(source_col, target)
+    """
+)
+def rule_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ["填报单位", "教师姓名", "职称", "学生人数", "课时数", "序号", "单位"]
     mapping = align.resolve_conflicts(align.match_by_rules(columns, ["单位", "姓名", "职称", "课程数", "学生数"]))
     return spark.createDataFrame(list(mapping.targets.items()), "source_col string, target string")
 
 
+@query(
+    """
+    WITH r AS (SELECT n_regionkey, count(*) AS n, avg(length(n_name)) AS width FROM nation GROUP BY n_regionkey ORDER BY n DESC, width, n_regionkey LIMIT 1)
+    SELECT n_name AS field FROM nation JOIN r USING (n_regionkey)
+    """
+)
+def pick_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.collect_list("n_name").alias("names")).orderBy("n_regionkey").collect()  # headers only
+    return spark.createDataFrame([(f,) for f in align.pick_fields([r.names for r in rows])], "field string")
+
+
 # Grids: a table written out as the rows of a sheet.
 
 
@@ -407,15 +434,38 @@ def issue_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("long"))
 
 
-@query(
-    """
-    SELECT n_nationkey AS src_row, n_name AS name, r_name AS region FROM nation LEFT JOIN region ON n_regionkey = r_regionkey
-    """
-)
+_SAMPLES_SQL = """
+    v AS (SELECT 'a.csv' AS file, '单位' AS name, '学院' || CAST(c_nationkey AS VARCHAR) AS value, c_custkey AS row FROM customer
+          UNION ALL SELECT 'a.csv', '姓名', c_name, c_custkey FROM customer
+          UNION ALL SELECT 'b.csv', '教师姓名', 'Supplier#' || CAST(s_suppkey % 50 AS VARCHAR), s_suppkey FROM supplier),
+    f AS (SELECT file, name, value, min(row) AS row FROM v GROUP BY ALL)
+"""
+
+
+@query(f"WITH {_SAMPLES_SQL} SELECT file, name, count(*) AS n, array_to_string(list(value ORDER BY row)[1:5], ',') AS first_five FROM f GROUP BY file, name")
+def column_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = headers.column_samples(*headers.recovered(_grids(spark, sf_dir))).where(F.col("name").isin("单位", "姓名", "教师姓名"))
+    return found.select("file", "name", F.size("samples").cast("long").alias("n"), F.array_join(F.slice("samples", 1, 5), ",").alias("first_five"))
+
+
+@query(f"WITH {_SAMPLES_SQL} SELECT name AS field, count(*) AS n, array_to_string(list(value ORDER BY row)[1:5], ',') AS first_five FROM f WHERE name IN ('单位', '姓名') GROUP BY name")
 def sample_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
-    joined = nation.join(region, nation.n_regionkey == region.r_regionkey, "left")
-    return joined.select(F.col("n_nationkey").alias("src_row"), F.col("n_name").alias("name"), F.col("r_name").alias("region"))
+    samples = headers.column_samples(*headers.recovered(_grids(spark, sf_dir)))
+    fields = spark.createDataFrame([("单位",), ("姓名",), ("学生数",)], "field string")
+    return align.field_samples(samples, fields).select("field", F.size("samples").cast("long").alias("n"), F.array_join(F.slice("samples", 1, 5), ",").alias("first_five"))
+
+
+@query("SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN split_part(n_name, ' ', 1) ELSE n_name || '学院' END AS hint FROM nation")
+def unit_hint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    even = F.array(F.lit("2026年统计"), F.concat(F.lit("填报单位： "), "n_name", F.lit(" 2026")))
+    odd = F.array(F.concat(F.lit("2026年"), "n_name", F.lit("学院情况统计表")))
+    return table(spark, sf_dir, "nation").select("n_nationkey", headers.unit_hint(F.when(F.col("n_nationkey") % 2 == 0, even).otherwise(odd)).alias("hint"))
+
+
+@query("SELECT 'info' AS level, f AS col, CAST(k AS INTEGER) AS field_order FROM (VALUES ('姓名', 1), ('备注', 3)) v(f, k)")
+def low_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    issues = validate.validate(_customer_records(spark, sf_dir), CUSTOMER_FIELDS, {"姓名", "备注", "other"})
+    return issues.where("rule = 'low_confidence'").select("level", F.col("column").alias("col"), "field_order")
 
 
 # The store.
@@ -462,6 +512,55 @@ def cost_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.total_cost(_runs(spark, sf_dir)).select(F.round("cost_cny", 2).alias("cost_cny"))
 
 
+@query(
+    """
+    SELECT o_orderkey, round((CAST(floor(o_totalprice) AS BIGINT) * CASE o_orderpriority WHEN '1-URGENT' THEN 2.0 WHEN '5-LOW' THEN 0.5 ELSE 1.0 END
+        + o_custkey * CASE o_orderpriority WHEN '1-URGENT' THEN 8.0 WHEN '5-LOW' THEN 1.0 ELSE 2.0 END) / 1000000, 9) AS cost_cny FROM orders
+    """
+)
+def token_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    usage = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderpriority").alias("model"), F.floor("o_totalprice").alias("tokens_in"), F.col("o_custkey").alias("tokens_out"))
+    prices = spark.createDataFrame([("1-URGENT", 2.0, 8.0), ("5-LOW", 0.5, 1.0)], "model string, price_in double, price_out double")
+    return store.token_cost(usage, prices, (1.0, 2.0)).select("o_orderkey", F.round("cost_cny", 9).alias("cost_cny"))
+
+
+def _folder(spark: SparkSession) -> str:
+    """A new folder for a store, in the shared one that the session names; on one machine, a temporary one will do."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{shared or 'file://' + tempfile.mkdtemp(prefix='sheafwork-')}/store-{uuid.uuid4().hex}"
+
+
+@query(
+    """
+    SELECT * FROM (VALUES (1, 'a.csv', 'llm', CAST(0 AS BIGINT)), (1, 'b.csv', 'llm', CAST(0 AS BIGINT)), (2, 'a.csv', 'cache', CAST(1 AS BIGINT)), (2, 'b.csv', 'cache', CAST(1 AS BIGINT))) v(run, file, source, hits)
+    """
+)
+def mapping_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs of one engine with a store: the second takes its mappings from it."""
+    kept = store.Store(spark, _folder(spark))
+    engine = Engine(spark, Settings(this_year=2026), lambda columns, fields: replace(align.match_by_rules(columns, fields), source="llm"), kept)
+    out = []
+    for run in (1, 2):
+        result = engine.from_grids(_grids(spark, sf_dir), ["单位", "姓名", "学生数"])
+        hits = kept.table("mapping_cache").agg(F.min("hit_count")).first()[0]
+        out += [(run, file, m.source, hits) for (file, *_), m in zip(result.sheets, result.mappings)]
+        result.close()
+    return spark.createDataFrame(out, "run int, file string, source string, hits long")
+
+
+@query(
+    """
+    SELECT 'a.csv' AS file, 'read' AS status, CAST(1 AS BIGINT) AS n_sheets, count(*) AS n_rows FROM customer
+    UNION ALL SELECT 'b.csv', 'read', 1, count(*) FROM supplier UNION ALL SELECT 'c.xls', 'failed', 0, 0
+    """
+)
+def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    result = Engine(spark, Settings(this_year=2026)).from_grids(_grids(spark, sf_dir), ["单位", "姓名", "学生数"], failures={"c.xls": "not read"})
+    return result.outcomes().select("file", "status", "n_sheets", "n_rows")
+
+
 # Guarded SQL: the same statement here and there.
 
 SQL = {
@@ -513,21 +612,46 @@ for _name, _sql in SQL.items():
     query(_sql.replace("string_agg(n_name, ',') WITHIN GROUP (ORDER BY n_name)", "string_agg(n_name, ',' ORDER BY n_name)"))(_statement(_name, _sql))
 
 
-@query("SELECT count(*) AS n, sum(CASE WHEN c_custkey <= 5 THEN 1 ELSE 0 END) AS first_five FROM (SELECT c_custkey FROM customer ORDER BY c_custkey LIMIT 50)")
+# Answers hold at most so many rows as the question's limit.
+
+
+def _asked(df: DataFrame, sql: str, schema: str, **how: object) -> DataFrame:
+    """A question's rows, with whether there were more."""
+    answer = ask.Table(df).ask(sql, seconds=120, **how)
+    if answer.error:
+        raise ValueError(answer.error)
+    return df.sparkSession.createDataFrame([(*r, answer.truncated) for r in answer.rows], f"{schema}, truncated boolean")
+
+
+@query("SELECT c_custkey AS id, true AS truncated FROM customer ORDER BY c_custkey LIMIT 50")
 def limit_wrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("编号")).createOrReplaceTempView(ask.quoted("客户"))
-    text = ask.prepared("SELECT '编号' FROM 客户 ORDER BY \"编号\";", {"客户", "编号"})
-    ask.check(spark, text, {"客户"})
-    rows = spark.sql(text).limit(50)
-    return rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("编号") <= 5, 1).otherwise(0)).alias("first_five"))
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("编号"))
+    return _asked(customers, "SELECT '编号' FROM 汇总数据 ORDER BY \"编号\";", "id long", limit=50)
+
+
+@query(
+    """
+    SELECT o_orderstatus AS status, count(*) AS n, round(sum(o_totalprice), 2) AS price, strftime(max(o_orderdate), '%Y/%m') AS month,
+           CAST(max(greatest(o_orderkey, o_custkey)) AS BIGINT) AS most, CASE WHEN count(*) > 10 THEN 'many' ELSE 'few' END AS size, false AS truncated
+    FROM orders GROUP BY o_orderstatus
+    """
+)
+def asked_dialect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sql = """SELECT 状态, count(*), round(total("价格"), 2), strftime('%Y/%m', max(日期)), max(max(编号, 客户)), iif(count(*) > 10, 'many', 'few') FROM 汇总数据 GROUP BY 状态"""
+    orders = table(spark, sf_dir, "orders").select(
+        F.col("o_orderstatus").alias("状态"), F.col("o_totalprice").alias("价格"), F.col("o_orderdate").alias("日期"), F.col("o_orderkey").alias("编号"), F.col("o_custkey").alias("客户")
+    )
+    return _asked(orders, sql, "status string, n long, price double, month string, most long, size string")
 
 
 @query(
     r"""
-    SELECT conv_id, CAST(turn AS VARCHAR) AS turn, regexp_replace(role, '^$', '') AS role FROM conversations
+    SELECT CAST(conv_id AS VARCHAR) AS conv_id, CAST(turn AS VARCHAR) AS turn, substr(role, 1, 1) || repeat('*', length(role) - 1) AS name,
+           regexp_replace(regexp_replace(text, '(^|[^0-9])(1[3-9][0-9])[0-9]{4}([0-9]{4})($|[^0-9])', '\1\2****\3\4', 'g'),
+           '([A-Za-z0-9._%+-])[A-Za-z0-9._%+-]*(@[A-Za-z0-9.-]+\.[A-Za-z]{2,})', '\1***\2', 'g') AS text
+    FROM conversations
     """
 )
 def dual_output_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    full = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
-    masked = masking.mask_rows(full)
-    return masked.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role")
+    full = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("role").alias("姓名"), "text")
+    return masking.mask_rows(full, {"mask_phone", "mask_email"}, mask_names=True).withColumnRenamed("姓名", "name")
