@@ -165,8 +165,9 @@ def ties(classes: DataFrame) -> DataFrame:
         if k == ROUNDS:
             out.append(pairs)
             break
-        # A bucket's least class has a row for each other one: adaptive execution splits them.
-        tested = scratch.stored(pairs.join(one, "a").join(two, "b").select("a", "b", alike.alias("alike")), "tested")
+        # A bucket's least class has a pair with each other one.
+        heads = scratch.stored(two.join(met.select("b").distinct(), "b"), "heads")
+        tested = scratch.stored(graph.joined(pairs.join(one, "a"), heads, "b").select("a", "b", alike.alias("alike")), "tested")
         out.append(tested.where("alike").select("a", "b"))
         apart = tested.where("NOT alike").select("a", "b")
         if apart.isEmpty():
