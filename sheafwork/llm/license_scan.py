@@ -20,6 +20,8 @@ from collections import Counter, defaultdict
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sheafwork.llm.decontam import by_key
+
 THRESHOLD = 0.8
 
 #: Short notices and licence texts by their usual identifiers.
@@ -159,7 +161,7 @@ def scan(docs: DataFrame, known: DataFrame | None = None, threshold: float = THR
         allowed = allowed | ((n >= least * size) & (n <= most * size))
     fit = units(docs, doc_id, text).where((F.size("w") > 1) & allowed)
     own = fit.select("doc_id", "row", "kind", "place", n.alias("unit_size"), F.explode_outer(bigrams(F.col("w"))).alias("bigram"))
-    met = own.join(F.broadcast(known), "bigram").where((F.col("unit_size") >= least * F.col("size")) & (F.col("unit_size") <= most * F.col("size")))
+    met = by_key(own, known, "bigram").where((F.col("unit_size") >= least * F.col("size")) & (F.col("unit_size") <= most * F.col("size")))
     place = ["doc_id", "row", "kind", "place", "unit_size", "template", "licence", "size"]
     counted = met.groupBy(*place, "bigram", "n").agg(F.count(F.lit(1)).alias("times"))
     both = counted.groupBy(*place).agg(F.sum(F.least("times", "n")).alias("shared"))
@@ -210,7 +212,7 @@ def scan_windows(docs: DataFrame, known: DataFrame | None = None, threshold: flo
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("row"))
     own = rows.select("doc_id", "row", F.posexplode_outer(grams).alias("pos", "bigram"))
     of = ["doc_id", "row", "template", "licence", "size"]
-    met = own.join(F.broadcast(known), "bigram").repartition("doc_id", "row")
+    met = by_key(own, known, "bigram").repartition("doc_id", "row")
 
     def hits(places: Column) -> Column:
         """(pos, before): before is the n-th place before pos, null if there is none."""
