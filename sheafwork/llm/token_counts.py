@@ -3,9 +3,11 @@
 Documents are encoded whole and counted by length. Sums over the histogram's tail then answer, for every context limit,
 how many documents and tokens there are, how many tokens stay when each document is cut at the limit, and which length
 a share of the documents does not exceed. The histogram has a row for each length that occurs; its sums are taken in
-two levels (within ranges of lengths, then over the ranges), so that no task sees more than a range.
+two levels (within ranges of lengths, then over the ranges), so that no task sees more than a range. The ranges' own sums
+meet in one task: they are at most as many as the longest document has tokens, divided by RANGE.
 
-A null text counts as empty and has length 0. Repeated rows count each. An empty table has an empty histogram. Other
+A null text counts as empty and has length 0. Texts are encoded whole. No result depends on an order, so there are no
+ties. Repeated rows count each. An empty table has an empty histogram. Other
 columns aren't read.
 """
 

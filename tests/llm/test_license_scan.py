@@ -104,3 +104,17 @@ def test_windows_against_brute_force(spark):
     assert [[x[1] for x in sorted(got[k])] for k in range(5)] == [["MIT"], ["Apache-2.0"], ["GPL-3.0-or-later"], ["BSD-3-Clause"], ["MIT", "MIT"]]
     assert l.scan_windows(docs.where("false")).count() == 0
     assert not re.search("Python|Arrow|Pandas", out._jdf.queryExecution().toString())
+
+
+def test_like_licences_are_told_apart_and_clashing_columns(spark):
+    known = l.WINDOW_TEMPLATES[16:]
+    rows = [(k, "Intro to it.\n\n" + t.replace(". ", ".\n") + "\n\nEnd of it.", "x", 1) for k, (_, t) in enumerate(known)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, licence string, row int")
+    got = {r.doc_id: (r.licence, r.place) for r in l.scan_windows(docs).collect()}
+    assert got == {k: (name, 3) for k, (name, _) in enumerate(known)}
+
+
+def test_long_text(spark):
+    filler = "quite ordinary text about software that goes on " * 20_000
+    docs = spark.createDataFrame([(1, filler + dict(l.WINDOW_TEMPLATES)["Zlib"] + " " + filler)], "doc_id long, text string")
+    assert [(r.licence, r.place, r.dice) for r in l.scan_windows(docs).collect()] == [("Zlib", 160_000, 1.0)]
