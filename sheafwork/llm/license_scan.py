@@ -11,20 +11,28 @@ their length; an empty table gives no rows; of templates with equal coefficients
 read and may have any name.
 
 scan_windows finds notices wherever they stand, also over several lines or paragraphs and inside a sentence: it takes
-every run of words of a document for a unit.
+every run of words of a document for a unit. Its work on a document that holds a template grows with the square of that
+template's length, so it is for notices.
+
+Full licence texts come from a folder of text files (templates_in), which scan compares with whole texts, paragraphs and
+lines. Templates are a table of bounded size, measured before it goes to every executor; only their sizes, and for
+windows their bigrams up to MARKED_BIGRAMS, come to the driver.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter, defaultdict
+from collections import defaultdict
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sheafwork.llm import scratch
 from sheafwork.llm.decontam import by_key
 
 THRESHOLD = 0.8
+#: Rows of templates' bigrams up to which windows' documents are first tested for words that no match can do without.
+MARKED_BIGRAMS = 1_000_000
 
 #: Short notices and licence texts by their usual identifiers.
 TEMPLATES = (
@@ -175,14 +183,43 @@ def bigrams(w: Column) -> Column:
     return F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), lambda a, b: F.concat_ws(" ", a, b))
 
 
-def templates(spark: SparkSession, texts: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
-    """(template, licence, size, bigram, n): each template's bigrams and how often it has each."""
-    rows = F.array(*(F.struct(F.lit(k).alias("template"), F.lit(name).alias("licence"), F.lit(text).alias("text")) for k, (name, text) in enumerate(texts)))
-    each = spark.range(1).select(F.explode(rows).alias("t")).select("t.*").withColumn("w", words(F.col("text"))).where("size(w) > 1")
+def of_texts(texts: DataFrame) -> DataFrame:
+    """(template, licence, size, bigram, n): of texts' (template, licence, text), the bigrams and how often each has them."""
+    each = texts.select("template", "licence", words(F.col("text")).alias("w")).where("size(w) > 1")
     found = each.select("template", "licence", (F.size("w") - 1).alias("size"), F.explode_outer(bigrams(F.col("w"))).alias("bigram"))
     return found.groupBy("template", "licence", "size", "bigram").agg(F.count(F.lit(1)).alias("n"))
 
 
+def templates(spark: SparkSession, texts: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
+    """The bigrams, as of_texts, of (licence, text), numbered from 0."""
+    rows = F.array(*(F.struct(F.lit(k).alias("template"), F.lit(name).alias("licence"), F.lit(text).alias("text")) for k, (name, text) in enumerate(texts)))
+    return of_texts(spark.range(1).select(F.explode(rows).alias("t")).select("t.*"))
+
+
+def templates_in(spark: SparkSession, folder: str, first: int = len(WINDOW_TEMPLATES)) -> DataFrame:
+    """The bigrams, as of_texts, of a folder's text files: a licence is named as its file without .txt or .md. They are
+    numbered from first in the order of their names, so that they can be united with templates(). A file of fewer than
+    two words is no template."""
+    files = spark.read.text(folder, wholetext=True).select("_metadata.file_path", "_metadata.file_name", F.col("value").alias("text"))
+    files = scratch.stored(files, "licence-files")
+    order = Window.orderBy("file_name", "file_path")  # of names alone
+    named = files.select("file_path", "file_name").withColumn("template", (F.row_number().over(order) + (first - 1)))
+    licence = F.regexp_replace("file_name", r"(?i)\.(txt|md)$", "").alias("licence")
+    return scratch.stored(of_texts(named.join(files.select("file_path", "text"), "file_path").select("template", licence, "text")), "licence-bigrams")
+
+
+def size_ranges(sizes: list[int], threshold: float) -> list[tuple[float, float]]:
+    """Ranges, apart from each other, of the numbers of bigrams with which a unit can match a template of one of the sizes."""
+    least, most = threshold / (2 - threshold), (2 - threshold) / threshold
+    out: list[tuple[float, float]] = []
+    for low, high in sorted((least * size, most * size) for size in sizes):
+        if out and low <= out[-1][1]:
+            out[-1] = (out[-1][0], max(high, out[-1][1]))
+        else:
+            out.append((low, high))
+    return out
+
+
 def units(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, row, kind, place, w): the units of each document and their words; kind is text, paragraph or line. row
     tells documents' rows apart."""
@@ -216,8 +253,8 @@ def scan(docs: DataFrame, known: DataFrame | None = None, threshold: float = THR
     sizes = [r[0] for r in known.select("size").distinct().collect()]
     n = F.size("w") - 1
     allowed = F.lit(False)
-    for size in sizes:
-        allowed = allowed | ((n >= least * size) & (n <= most * size))
+    for low, high in size_ranges(sizes, threshold):
+        allowed = allowed | n.between(low, high)
     fit = units(docs, doc_id, text).where((F.size("w") > 1) & allowed)
     own = fit.select("doc_id", "row", "kind", "place", n.alias("unit_size"), F.explode_outer(bigrams(F.col("w"))).alias("bigram"))
     met = by_key(own, known, "bigram").where((F.col("unit_size") >= least * F.col("size")) & (F.col("unit_size") <= most * F.col("size")))
@@ -244,13 +281,15 @@ def markers(known: list[tuple[int, int, str, int]], threshold: float) -> list[st
         of[template, size][bigram] = n
     for (_, size), grams in of.items():
         spare = size - math.ceil(threshold / (2 - threshold) * size - 1e-9)
-        left = Counter(grams)
-        for word in sorted({w for b in grams for w in b.split(" ")}, key=lambda w: (w in _COMMON, -len(w), w)):
-            if size - sum(left.values()) > spare:
+        left, having, met = dict(grams), defaultdict(list), 0
+        for b in grams:
+            for word in {*b.split(" ")}:
+                having[word].append(b)
+        for word in sorted(having, key=lambda w: (w in _COMMON, -len(w), w)):
+            if met > spare:
                 break
             found.add(word)
-            for b in [b for b in left if word in b.split(" ")]:
-                del left[b]
+            met += sum(left.pop(b, 0) for b in having[word])
     return sorted(found)
 
 
@@ -263,11 +302,14 @@ def scan_windows(docs: DataFrame, known: DataFrame | None = None, threshold: flo
     formed at each one after it as far as sizes allow. A repeated bigram counts as often as the template has it, that is
     unless the n-th before it is in the window too."""
     known = templates(docs.sparkSession, WINDOW_TEMPLATES) if known is None else known
-    marks = markers([tuple(r) for r in known.select("template", "size", "bigram", "n").collect()], threshold)
-    marked = F.array(*map(F.lit, marks)) if marks else F.array().cast("array<string>")
+    marked = None
+    if known.count() <= MARKED_BIGRAMS:
+        marks = markers([tuple(r) for r in known.select("template", "size", "bigram", "n").collect()], threshold)
+        marked = F.array(*map(F.lit, marks)) if marks else F.array().cast("array<string>")
+    may_match = lambda w: F.lit(True) if marked is None else F.arrays_overlap(w, marked)
     least, most = threshold / (2 - threshold), (2 - threshold) / threshold
     # As in units, words are formed once; documents without a marker have no bigrams here.
-    grams = F.flatten(F.transform(F.filter(F.array(words(F.col("text"))), lambda w: (F.size(w) > 1) & F.arrays_overlap(w, marked)), bigrams))
+    grams = F.flatten(F.transform(F.filter(F.array(words(F.col("text"))), lambda w: (F.size(w) > 1) & may_match(w)), bigrams))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("row"))
     own = rows.select("doc_id", "row", F.posexplode_outer(grams).alias("pos", "bigram"))
     of = ["doc_id", "row", "template", "licence", "size"]

@@ -118,3 +118,37 @@ def test_long_text(spark):
     filler = "quite ordinary text about software that goes on " * 20_000
     docs = spark.createDataFrame([(1, filler + dict(l.WINDOW_TEMPLATES)["Zlib"] + " " + filler)], "doc_id long, text string")
     assert [(r.licence, r.place, r.dice) for r in l.scan_windows(docs).collect()] == [("Zlib", 160_000, 1.0)]
+
+
+def test_templates_of_a_folder(spark, tmp_path):
+    long = [" ".join(f"{w}{k % (7 + m)} of the licence" for k in range(900 + m)) for m, w in enumerate(("term", "clause"))]
+    for name, text in (("Long-1.0.txt", long[0]), ("Long-2.0", long[1]), ("Copy-of-1.0.md", long[0]), ("Empty.txt", ""), ("One.txt", "word")):
+        (tmp_path / name).write_text(text)
+    folder = l.templates_in(spark, str(tmp_path))
+    known = l.templates(spark).unionByName(folder)
+    changed = long[0].replace("term3", "condition")
+    docs = spark.createDataFrame([(1, changed), (2, "Title\n\n" + long[1]), (3, MIT), (4, long[0][:500]), (5, None)], "doc_id long, text string")
+    got = {(r.doc_id, r.kind): (r.licence, round(r.dice, 9)) for r in l.scan(docs, known).collect()}
+    own, other = pairs(words(changed)), pairs(words(long[0]))
+    dice = round(2 * sum((own & other).values()) / (own.total() + other.total()), 9)
+    assert 0.8 <= dice < 1
+    whole = round(2 * (len(words(long[1])) - 1) / (2 * len(words(long[1])) - 1), 9)
+    assert got == {(1, "text"): ("Copy-of-1.0", dice), (2, "text"): ("Long-2.0", whole), (2, "paragraph"): ("Long-2.0", 1.0), (2, "line"): ("Long-2.0", 1.0), (3, "text"): ("MIT", 1.0)}
+    assert l.scan(docs, folder.where("false")).count() == 0
+
+
+def test_size_ranges_allow_the_same_units():
+    sizes = [5, 7, 40, 42, 4000]
+    for threshold in (0.5, 0.8, 0.95):
+        least, most = threshold / (2 - threshold), (2 - threshold) / threshold
+        ranges = l.size_ranges(sizes, threshold)
+        assert all(a[1] < b[0] for a, b in zip(ranges, ranges[1:])) and len(ranges) <= len(sizes)
+        for n in range(1, 10_000):
+            assert any(a <= n <= b for a, b in ranges) == any(least * s <= n <= most * s for s in sizes)
+
+
+def test_windows_without_markers(spark, monkeypatch):
+    docs = spark.createDataFrame(list(enumerate(NOTICES)), "doc_id long, text string")
+    all_of = sorted(map(tuple, l.scan_windows(docs).collect()))
+    monkeypatch.setattr(l, "MARKED_BIGRAMS", 0)
+    assert sorted(map(tuple, l.scan_windows(docs).collect())) == all_of
