@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sheafwork.llm import decontam, html_extract, language_id, license_scan, near_dup, piece_codec, secret_scan, token_counts, topk, warc
+from sheafwork.llm import decontam, filter_audit, html_extract, language_id, license_scan, near_dup, piece_codec, secret_scan, token_counts, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -236,6 +236,59 @@ def _licence_sql() -> str:
 
 ORACLE["op6_license_scan"] = _licence_sql()
 
+@_query
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce(F.col("text"), F.lit(""))
+    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    n_words = F.size(words)
+    tests = {
+        "A": n_words < 100,
+        "B": 100 * F.size(F.array_distinct(words)) < 80 * n_words,
+        "C": 100 * F.regexp_count(text, F.lit("[A-Z]")) > 10 * F.char_length(text),
+        "D": text.rlike(r"[#$%&*|]"),
+    }
+    marks = {"good": F.col("quality") == 1, "toxic": F.col("toxic") == 1}
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), tests, "E", _table(spark, sf_dir, "labels"), marks)
+
+
+ORACLE["op12_filter_audit"] = r"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+           min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first_id
+    FROM documents
+), l AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id),
+f AS (
+    SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+           [len(w) < 100, 100 * len(list_distinct(w)) < 80 * len(w),
+            100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text),
+            regexp_matches(text, '[#$%&*|]'), coalesce(first_id < doc_id, false)] AS fails
+    FROM w LEFT JOIN l USING (doc_id)
+), c AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f GROUP BY part, fails),
+o AS (
+    SELECT '' AS filter_order UNION ALL
+    SELECT filter_order || x FROM o, unnest(['A', 'B', 'C', 'D', 'E']) t(x) WHERE NOT contains(filter_order, x)
+), s AS (
+    SELECT filter_order, step, instr('ABCDE', filter_order[step]) AS k, list_transform(range(1, step), lambda i: instr('ABCDE', filter_order[i])) AS earlier
+    FROM o, unnest(range(1, 6)) t(step) WHERE length(filter_order) = 5
+), g AS (
+    SELECT part, filter_order, step, k, n, good, toxic, fails[k] AS fails_it,
+           len(list_filter(earlier, lambda i: fails[i])) > 0 AS gone, len(list_filter(fails, lambda x: x)) AS n_fails
+    FROM c, s
+), r AS (
+    SELECT part, filter_order, CAST(step AS INTEGER) AS step, k,
+           CAST(coalesce(sum(n) FILTER (NOT gone AND NOT fails_it), 0) AS BIGINT) AS kept,
+           CAST(coalesce(sum(n) FILTER (NOT gone AND fails_it), 0) AS BIGINT) AS removed,
+           CAST(coalesce(sum(n) FILTER (gone AND fails_it), 0) AS BIGINT) AS redundant,
+           CAST(coalesce(sum(n) FILTER (fails_it AND n_fails = 1), 0) AS BIGINT) AS unique_fails,
+           CAST(coalesce(sum(good) FILTER (NOT gone AND fails_it), 0) AS BIGINT) AS good_lost,
+           CAST(coalesce(sum(toxic) FILTER (NOT gone AND fails_it), 0) AS BIGINT) AS toxic_lost
+    FROM g GROUP BY part, filter_order, step, k
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, k) AS BIGINT) AS shapley
+FROM r
+"""
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
