@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 import public_tokenizers
@@ -9,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sheafwork.llm import decontam, filter_audit, html_extract, language_id, license_scan, near_dup, piece_codec, secret_scan, token_counts, topk, warc
+from sheafwork.llm import decontam, filter_audit, html_extract, language_id, license_scan, near_dup, piece_codec, secret_scan, spelling, token_counts, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -289,6 +290,53 @@ SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lo
 FROM r
 """
 
+def _misspelt(doc_id: object, run: str) -> str:
+    """The contract's planted misspelling: one run in 199 loses a letter. A null doc_id counts as empty."""
+    code = zlib.crc32(f"{'' if doc_id is None else doc_id}:{run}".encode())
+    at = code % len(run)
+    return run if code % 199 else run[:at] + run[at + 1 :]
+
+
+@_query
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return spelling.variants(spelling.word_counts(docs, "[A-Za-z\u00C0-\u00FF]+", _misspelt, least_length=6, least_count=5), times=5)
+
+
+ORACLE["op13_spelling_variants"] = r"""
+WITH RECURSIVE crc AS (
+    SELECT list(list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b) ORDER BY b) AS t FROM range(256) r(b)
+), runs AS (
+    SELECT doc_id, run, count(*) AS times FROM (
+        SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run
+        FROM documents
+    ) GROUP BY doc_id, run
+), hexed AS (SELECT run, times, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS x FROM runs),
+coded AS (
+    SELECT run, times, xor(list_reduce(list_transform(range(1, length(x), 2), lambda i: CAST('0x' || x[i:i + 1] AS BIGINT)),
+        lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1]), 4294967295), 4294967295) AS h
+    FROM hexed, crc
+), spelt AS (
+    SELECT CASE WHEN h % 199 = 0 THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, times FROM coded
+), v AS (SELECT word, CAST(sum(times) AS BIGINT) AS n FROM spelt WHERE length(word) >= 6 GROUP BY word HAVING sum(times) >= 5),
+cuts AS (SELECT DISTINCT word, i, word[:i - 1] || word[i + 1:] AS cut, length(word) AS size FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM v)),
+pairs AS (
+    SELECT a.word AS word, b.word AS near FROM cuts a JOIN cuts b ON a.cut = b.cut AND a.i = b.i AND a.word <> b.word
+    UNION SELECT a.cut, a.word FROM cuts a JOIN v ON v.word = a.cut
+    UNION SELECT a.word, a.cut FROM cuts a JOIN v ON v.word = a.cut
+), near AS (
+    SELECT p.word, count(*) AS n_near, first(b.word ORDER BY b.n DESC, encode(b.word)) AS near, max(b.n) AS near_n
+    FROM pairs p JOIN v b ON b.word = p.near GROUP BY p.word
+), f AS (
+    SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 5 * v.n THEN near END AS form, CASE WHEN near_n >= 5 * v.n THEN near_n END AS form_n
+    FROM v LEFT JOIN near USING (word)
+), chain AS (
+    SELECT word, word AS root, form AS ahead FROM f
+    UNION ALL SELECT c.word, f.word, f.form FROM chain c JOIN f ON f.word = c.ahead
+)
+SELECT f.word, f.form, c.root, f.n, f.n_near, f.form_n FROM f JOIN chain c ON c.word = f.word AND c.ahead IS NULL
+"""
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
