@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sheafwork.llm import decontam, filter_audit, html_extract, language_id, license_scan, near_dup, piece_codec, secret_scan, spelling, token_counts, topk, warc
+from sheafwork.llm import decontam, filter_audit, html_extract, language_id, license_scan, near_dup, personal_data, piece_codec, secret_scan, spelling, token_counts, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -237,6 +237,23 @@ def _licence_sql() -> str:
 
 ORACLE["op6_license_scan"] = _licence_sql()
 
+@_query
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data.scan(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "personal_spans")
+    spans = F.col("personal_spans")
+    base = F.filter(spans, lambda s: s["base"])
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id",
+        *(count(kind) for kind in personal_data.BASE_KINDS),
+        F.sha2(_joined(base), 256).alias("base_sha256"),
+        _joined(spans).alias("spans"),
+    )
+
+
 @_query
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
