@@ -1,172 +1,179 @@
-"""Reading sheets from files: xlsx, xlsm and csv in any store that Spark reads.
+"""Reading sheets from files: xlsx, xlsm, xls and csv in any store that Spark reads.
 
-Files are read whole, one a row, and parsed by the executors into the rows of raw grids (see operators.headers); a file
-that can't be read gives a row with the reason instead. Nothing is read on the driver.
+Every file becomes the rows of raw grids (see operators.headers); a file that can't be read gives a row with the reason
+instead, and so does a sheet that breaks off, behind the rows that it has. No content passes through the driver.
+
+Workbooks are read by a data source of its own, a partition a sheet, whose rows stream past in batches: a sheet's size
+is bounded by nothing but its format. It opens files by their path. Where only Spark's file systems reach them, the
+executors get a workbook's bytes from Spark instead, a file a row. Csv files are split (see csv_split).
 """
 
 from __future__ import annotations
 
-import csv
 import io
-import re
-import zipfile
-from collections.abc import Iterator
-from datetime import datetime, timedelta
-from xml.etree import ElementTree
+import os
+from collections.abc import Callable, Iterator
+from pathlib import Path
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from sheafwork.operators.headers import GRID
-
-# What is read, and the most rows and columns of a workbook's sheet.
-SUFFIXES = ("xlsx", "xlsm", "xls", "csv")
-MOST_ROWS, MOST_COLUMNS = 20_000, 200
-ENCODINGS = ("utf-8-sig", "utf-8", "gb18030")
-_MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
-_REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
-_DATE_FORMATS = {*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)}
-SCHEMA = f"{GRID}, error string"
-
-Cell = tuple[str, str] | None
-
-
-def _place(ref: str) -> tuple[int, int]:
-    """(row, column) of a reference as B3, from 0."""
-    letters, digits = re.fullmatch(r"([A-Z]+)([0-9]+)", ref.replace("$", "")).groups()
-    column = 0
-    for letter in letters:
-        column = column * 26 + ord(letter) - 64
-    return int(digits) - 1, column - 1
-
-
-def _styles_with_dates(book: zipfile.ZipFile) -> set[int]:
-    if "xl/styles.xml" not in book.namelist():
-        return set()
-    root = ElementTree.fromstring(book.read("xl/styles.xml"))
-    own = {int(f.get("numFmtId")): f.get("formatCode", "") for f in root.iter(f"{_MAIN}numFmt")}
-    formats = root.find(f"{_MAIN}cellXfs")
-    out = set()
-    for k, style in enumerate(formats if formats is not None else ()):
-        code = int(style.get("numFmtId", 0))
-        letters = re.sub(r'"[^"]*"|\[[^\]]*\]|\\.', "", own.get(code, ""))
-        if code in _DATE_FORMATS or re.search("[ymdhs年月日]", letters, re.I) and not re.search("[#0]", letters.replace("ss.0", "")):
-            out.add(k)
-    return out
+from sheafwork.sources import xls, xlsx
+from sheafwork.sources.cells import SCHEMA, Row, batches, failure
+from sheafwork.sources.csv_split import read_csv
 
+# What is read.
+WORKBOOKS = {"xlsx": xlsx, "xlsm": xlsx, "xls": xls}
+SUFFIXES = (*WORKBOOKS, "csv")
+#: Bytes of a workbook that can be handed to an executor as one value.
+MOST_BYTES = 2**31 - 2**20
+_HIDDEN = ("~$", ".", "_")
 
-def _cell(node: ElementTree.Element, strings: list[str], dates: set[int]) -> Cell:
-    kind, value = node.get("t", "n"), node.find(f"{_MAIN}v")
-    if kind == "inlineStr":
-        return "s", "".join(t.text or "" for t in node.iter(f"{_MAIN}t"))
-    if value is None or value.text is None:
-        return None
-    if kind == "s":
-        return "s", strings[int(value.text)]
-    if kind == "b":
-        return "b", "True" if value.text == "1" else "False"
-    if kind in ("str", "e", "d"):
-        return ("d", value.text[:10]) if kind == "d" else ("s", value.text)
-    number = float(value.text)
-    if int(node.get("s", 0)) in dates:
-        return "d", (datetime(1899, 12, 30) + timedelta(days=number)).date().isoformat()
-    return "n", str(int(number)) if number.is_integer() and abs(number) < 1e15 else value.text if re.fullmatch(r"-?[0-9]+", value.text) else repr(number)
-
-
-def read_xlsx(data: bytes) -> Iterator[tuple[str, list[list[Cell]], str]]:
-    """Each sheet's name and grid, merged cells filled with their first one's value, and what of it is beyond the most
-    that is read."""
-    with zipfile.ZipFile(io.BytesIO(data)) as book:
-        names = set(book.namelist())
-        strings = []
-        if "xl/sharedStrings.xml" in names:
-            for item in ElementTree.fromstring(book.read("xl/sharedStrings.xml")).iter(f"{_MAIN}si"):
-                runs = [t for child in item if child.tag != f"{_MAIN}rPh" for t in child.iter(f"{_MAIN}t")]
-                strings.append("".join(t.text or "" for t in runs))
-        dates = _styles_with_dates(book)
-        links = {x.get("Id"): x.get("Target") for x in ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels"))}
-        for sheet in ElementTree.fromstring(book.read("xl/workbook.xml")).iter(f"{_MAIN}sheet"):
-            target = links[sheet.get(f"{_REL}id")].lstrip("/")
-            path = target if target.startswith("xl/") else f"xl/{target}"
-            if path not in names:
-                continue
-            root = ElementTree.fromstring(book.read(path))
-            if root.tag != f"{_MAIN}worksheet":
+
+def _glob(*suffixes: str) -> str:
+    """A pattern for names with one of the suffixes in either case."""
+    return "*.{" + ",".join("".join(f"[{c}{c.upper()}]" for c in s) for s in suffixes) + "}"
+
+
+def _is_wanted(name: str, suffixes: tuple[str, ...]) -> bool:
+    return name.rpartition(".")[2].lower() in suffixes and not name.startswith(_HIDDEN)
+
+
+def _sheets(name: str, data: BinaryIO) -> list[tuple[str, object]]:
+    found = WORKBOOKS[name.rpartition(".")[2].lower()].sheets(data)
+    if not found:
+        raise ValueError("the file has no sheets")
+    return found
+
+
+def _rows(name: str, data: BinaryIO, key: object) -> Iterator[Row]:
+    return WORKBOOKS[name.rpartition(".")[2].lower()].rows(data, key)
+
+
+def _sheet(name: str, opened: Callable[[], BinaryIO], sheets: list[tuple[str, object]], k: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a file's k-th sheet; the first one also tells if all are empty."""
+    sheet, key = sheets[k]
+    filled = False
+
+    def watched(rows: Iterator[Row]) -> Iterator[Row]:
+        nonlocal filled
+        for number, cells in rows:
+            filled = filled or any(cells)
+            yield number, cells
+
+    try:
+        with opened() as data:
+            yield from batches(name, sheet, watched(_rows(name, data, key)))
+        if not filled and k == 0 and not any(any(cells) for _, other in sheets[1:] for _, cells in _rows(name, opened(), other)):
+            yield failure(name, "the file is empty")
+    except Exception as problem:  # noqa: BLE001  whatever is broken in a file is told, and the others are read
+        yield failure(name, problem, sheet)
+
+
+class SheetPartition(InputPartition):
+    """A sheet of a file, or the reason why the file can't be read."""
+
+    def __init__(self, path: str, name: str, sheets: list[tuple[str, object]] = (), k: int = 0, problem: str | None = None) -> None:
+        self.path, self.name, self.sheets, self.k, self.problem = path, name, list(sheets), k, problem
+
+
+class WorkbookReader(DataSourceReader):
+    def __init__(self, path: str) -> None:
+        self._path = Path(path.removeprefix("file:")) if path.startswith("file:") else Path(path)
+
+    def _files(self) -> list[Path]:
+        if self._path.is_file():
+            return [self._path]
+        with os.scandir(self._path) as entries:
+            return sorted(Path(x.path) for x in entries if x.is_file() and _is_wanted(x.name, tuple(WORKBOOKS)))
+
+    def partitions(self) -> list[SheetPartition]:
+        """A partition a sheet: of each file only its list of sheets is read."""
+        out = []
+        for path in self._files():
+            try:
+                with path.open("rb") as data:
+                    sheets = _sheets(path.name, data)
+                out += [SheetPartition(str(path), path.name, sheets, k) for k in range(len(sheets))]
+            except Exception as problem:  # noqa: BLE001
+                out.append(SheetPartition(str(path), path.name, problem=str(problem) or type(problem).__name__))
+        return out or [SheetPartition("", "")]
+
+    def read(self, partition: SheetPartition) -> Iterator[pa.RecordBatch]:
+        if partition.problem is not None:
+            yield failure(partition.name, partition.problem)
+        elif partition.sheets:
+            yield from _sheet(partition.name, lambda: open(partition.path, "rb"), partition.sheets, partition.k)
+
+
+class WorkbookSource(DataSource):
+    """spark.read.format("workbooks").load(folder or file): the rows of all sheets, as SCHEMA has them."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "workbooks"
+
+    def schema(self) -> str:
+        return SCHEMA
+
+    def reader(self, schema: object) -> WorkbookReader:
+        return WorkbookReader(self.options["path"])
+
+
+def _of_content(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same from files' bytes."""
+    for batch in parts:
+        for name, data in zip(*batch.columns):
+            name, data = name.as_py(), data.as_buffer()
+            try:
+                sheets = _sheets(name, io.BytesIO(data))
+            except Exception as problem:  # noqa: BLE001
+                yield failure(name, problem)
                 continue
-            found: dict[tuple[int, int], Cell] = {}
-            row, beyond = -1, [0, 0]  # the last row and column past the most
-            for line in root.iter(f"{_MAIN}row"):
-                row, column = int(line.get("r", row + 2)) - 1, -1
-                for node in line.iter(f"{_MAIN}c"):
-                    column = _place(node.get("r"))[1] if node.get("r") else column + 1
-                    if not (cell := _cell(node, strings, dates)):
-                        continue
-                    if row < MOST_ROWS and column < MOST_COLUMNS:
-                        found[row, column] = cell
-                    else:
-                        beyond = [max(beyond[0], row + 1), max(beyond[1], column + 1)]
-            for merged in root.iter(f"{_MAIN}mergeCell"):
-                (top, left), (bottom, right) = (_place(x) for x in (merged.get("ref") + ":" + merged.get("ref")).split(":")[:2])
-                if cell := found.get((top, left)):
-                    found.update({(r, c): cell for r in range(top, min(bottom, MOST_ROWS - 1) + 1) for c in range(left, min(right, MOST_COLUMNS - 1) + 1)})
-            height, width = (max((place[k] for place in found), default=-1) + 1 for k in (0, 1))
-            cut = [f"{n} {what} are filled, {most} are read" for n, what, most in zip(beyond, ("rows", "columns"), (MOST_ROWS, MOST_COLUMNS)) if n > most]
-            yield sheet.get("name"), [[found.get((r, c)) for c in range(width)] for r in range(height)], "; ".join(cut)
-
-
-def read_csv(data: bytes) -> Iterator[tuple[str, list[list[Cell]], str]]:
-    """The one grid of a csv file, in the first encoding that fits."""
-    for encoding in ENCODINGS:
-        try:
-            text = data.decode(encoding)
-            break
-        except UnicodeDecodeError:
-            continue
-    else:
-        raise ValueError("unknown text encoding: save the file as xlsx")
-    rows = list(csv.reader(io.StringIO(text, newline="")))
-    width = max(map(len, rows), default=0)
-    yield "", [[("s", x) if x != "" else None for x in row] + [None] * (width - len(row)) for row in rows], ""
-
-
-def _files(spark: SparkSession, folder: str) -> DataFrame:
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{" + ",".join(x for s in SUFFIXES for x in (s, s.upper())) + "}").load(folder)
+            for k in range(len(sheets)):
+                yield from _sheet(name, lambda data=data: io.BytesIO(data), sheets, k)
+
+
+def _files(spark: SparkSession, folder: str, *suffixes: str) -> DataFrame:
+    files = spark.read.format("binaryFile").option("pathGlobFilter", _glob(*suffixes)).load(folder)
     name = F.url_decode(F.replace(F.element_at(F.split("path", "/"), -1), F.lit("+"), F.lit("%2B")))
     return files.withColumn("file", name).where(~F.col("file").rlike(r"^(~\$|\.)"))
 
 
 def find_template(spark: SparkSession, folder: str) -> str | None:
     """The first workbook or csv of a folder by name, hidden and lock files left out."""
-    found = _files(spark, folder).select("path", "file").orderBy("file", "path").first()
+    found = _files(spark, folder, *SUFFIXES).select("path", "file").orderBy("file", "path").first()
     return found.path if found else None
 
 
-def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    cell = pa.struct([("kind", pa.string()), ("text", pa.string())])
-    schema = pa.schema([("file", pa.string()), ("sheet", pa.string()), ("row_no", pa.int32()), ("cells", pa.list_(cell)), ("error", pa.string())])
-    for batch in batches:
-        for name, data in zip(*(c.to_pylist() for c in batch.columns)):
-            rows, suffix = [], name.rpartition(".")[2].lower()
-            try:
-                if suffix == "xls":
-                    raise ValueError("the old xls format is not read: save the file as xlsx")
-                for sheet, grid, cut in read_csv(data) if suffix == "csv" else read_xlsx(data):
-                    if cut:
-                        rows.append({"file": name, "sheet": sheet, "row_no": None, "cells": None, "error": cut})
-                    rows += [
-                        {"file": name, "sheet": sheet, "row_no": k + 1, "cells": [c and {"kind": c[0], "text": c[1]} for c in line], "error": None}
-                        for k, line in enumerate(grid)
-                    ]
-                if not rows:
-                    raise ValueError("the file is empty")
-            except Exception as problem:  # noqa: BLE001  any broken file is told, and the others are read
-                rows = [{"file": name, "sheet": None, "row_no": None, "cells": None, "error": str(problem) or type(problem).__name__}]
-            yield pa.RecordBatch.from_pylist(rows, schema)
+def _opened_by_path(spark: SparkSession, folder: str) -> str | None:
+    """folder as a plain path, if it is in a file system that every process opens by path."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    whole = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(path).toUri()
+    return whole.getPath() if whole.getScheme() == "file" else None
+
+
+def read_workbooks(spark: SparkSession, folder: str) -> DataFrame:
+    """The rows of all sheets of a folder's workbooks, or of one."""
+    if (local := _opened_by_path(spark, folder)) is not None:
+        spark.dataSource.register(WorkbookSource)
+        return spark.read.format("workbooks").load(local)
+    files = _files(spark, folder, *WORKBOOKS)
+    big = files.where(F.col("length") > MOST_BYTES).select("file", F.lit(None).cast("string").alias("sheet"), F.lit(None).cast("int").alias("row_no"), F.lit("the file is beyond 2 GB").alias("error"))
+    small = files.where(F.col("length") <= MOST_BYTES).select("file", "content").mapInArrow(_of_content, SCHEMA)
+    return small.unionByName(big, allowMissingColumns=True)
 
 
 def read_grids(spark: SparkSession, inbox: str) -> DataFrame:
-    """The grids of a folder's files with a known suffix, hidden and lock files left out; a row with error for each file
-    that can't be read (sheet null), and for each sheet of which rows or columns are beyond the most that is read."""
-    wanted = _files(spark, inbox).select("file", "content")
-    return wanted.mapInArrow(_parsed, SCHEMA)
+    """The grids of a folder's files with a known suffix, or of one file, hidden and lock files left out; a row with
+    error for each file that can't be read (sheet null) and each sheet that breaks off."""
+    listed = {row["csv"]: row["n"] for row in _files(spark, inbox, *SUFFIXES).groupBy(F.lower("file").endswith(".csv").alias("csv")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    out = spark.createDataFrame([], SCHEMA)
+    if False in listed:
+        out = out.unionByName(read_workbooks(spark, inbox))
+    if True in listed:
+        out = out.unionByName(read_csv(spark, inbox, glob=_glob("csv")).where(~F.col("file").rlike(r"^(~\$|\.)")))
+    return out

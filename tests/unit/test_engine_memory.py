@@ -58,13 +58,6 @@ def test_rules_are_not_stored(spark, tmp_path):
     assert store.count("mapping_cache") == 0 and store.get_mapping("s") is None and store.next_run() == 1
 
 
-def test_rows_beyond_the_most_are_told(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(files, "MOST_ROWS", 3)
-    workbook(tmp_path / "x.xlsx", {"Sheet1": ([["单位", "姓名", "数量"], *[[f"甲{k}学院", f"人{k}", k] for k in range(6)]], [])})
-    (name, grid, cut) = next(files.read_xlsx((tmp_path / "x.xlsx").read_bytes()))
-    assert len(grid) == 3 and cut == "7 rows are filled, 3 are read"
-
-
 def test_template_and_outputs(spark, tmp_path):
     workbook(tmp_path / "b.xlsx", {"Sheet1": ([["z", "y", "x"], ["a", "b", "c"]], [])})
     workbook(tmp_path / "a.xlsx", {"Sheet1": ([["单位", "姓名", "学生数"], ["甲学院", "张三", 5]], [])})
