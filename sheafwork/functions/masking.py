@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sheafwork.functions.names import quoted
+
 
 def mask_id_card(text: Column) -> Column:
     """18 digits (the last may be X) and the older 15: the first four and the last four (three) stay."""
@@ -55,7 +57,7 @@ def mask_rows(df: DataFrame, enabled: set[str] | None = None, mask_names: bool =
     """Every value as text and masked, NULL as an empty text; names too if asked for."""
     out = []
     for field in df.columns:
-        value = F.coalesce(df[f"`{field}`"].cast("string"), F.lit(""))
+        value = F.coalesce(df[quoted(field)].cast("string"), F.lit(""))
         value = mask_name(value) if mask_names and is_name_field(field) else mask_text(value, enabled)
         out.append(value.alias(field))
     return df.select(*out)

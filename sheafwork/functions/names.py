@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,6 +19,33 @@ IGNORE, UNKNOWN = "__IGNORE__", "__UNKNOWN__"
 _STEPS = ((r"[\s　]+", ""), (r"[（(].*?[)）]", ""), (r"[·\-_/、,，.。:：]", ""))
 
 
+def quoted(name: str) -> str:
+    """A column's name as an expression has it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def unused(name: str, taken: Iterable[str]) -> str:
+    """name, with as many underscores behind it as it takes that it is none of the taken ones in either case."""
+    lower = {x.lower() for x in taken}
+    while name.lower() in lower:
+        name += "_"
+    return name
+
+
+def numbered(names: list[str], reserved: Iterable[str] = ()) -> list[str]:
+    """names with a number behind each that Spark couldn't tell from an earlier or reserved one: a, A, a become a, A_2,
+    a_3. Empty names stay."""
+    taken, out = {x.lower() for x in reserved}, []
+    later = {x.lower() for x in names}  # a number must not make a name that comes anyway
+    for name in names:
+        new, k = name, 2
+        while name and (new.lower() in taken or k > 2 and new.lower() in later):
+            new, k = f"{name}_{k}", k + 1
+        taken.add(new.lower())
+        out.append(new)
+    return out
+
+
 def normal_name(name: Column) -> Column:
     for pattern, to in _STEPS:
         name = F.regexp_replace(name, pattern, to)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from sheafwork.functions import names as n
 from sheafwork.functions.cleaning import normalize_all
+from sheafwork.operators.clean import PROVENANCE
 from sheafwork.operators.headers import CELL, KEYS, is_blank, recovered
 
 
@@ -46,11 +47,12 @@ Matcher = Callable[..., Mapping]
 
 
 def pick_fields(headers: list[list[str]], template: list[str] | None = None) -> list[str]:
-    """The template's names, else those of the header with most names (then the shortest on average, then the first)."""
+    """The template's names, else those of the header with most names (then the shortest on average, then the first).
+    Names that Spark can't tell apart, or from the provenance, are numbered (names.numbered)."""
     wanted = list(dict.fromkeys(x.strip() for x in template or [] if x.strip()))
     if wanted:
-        return wanted
-    filled = [[x for x in header if x.strip()] for header in headers]
+        return n.numbered(wanted, PROVENANCE)
+    filled = [[x for x in n.numbered(header, PROVENANCE) if x.strip()] for header in headers]
     return max(filled, key=lambda h: (len(h), -sum(map(len, h)) / max(len(h), 1)), default=[])
 
 

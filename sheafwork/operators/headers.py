@@ -7,9 +7,13 @@ on at once, split by file and sheet; only a sheet's first rows are ever brought
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sheafwork.operators.first_distinct import first_distinct
+
 CELL = "struct<kind:string,text:string>"
 GRID = f"file string, sheet string, row_no int, cells array<{CELL}>"
 
@@ -183,7 +187,8 @@ def recovered(grid: DataFrame, scan_rows: int = SCAN_ROWS) -> tuple[DataFrame, D
 
 
 def column_samples(sheets: DataFrame, rows: DataFrame) -> DataFrame:
-    """(file, sheet, place, name, samples): each column's distinct filled values, in the order they first occur."""
+    """(file, sheet, place, name, samples): each column's distinct filled values, in the order they first occur. All of a
+    column's values meet in one row: first_samples has some of each, however long a column is."""
     cells = rows.select(*KEYS, "row_no", F.posexplode("cells").alias("place", "cell")).where(~is_blank(F.col("cell")))
     first = cells.groupBy(*KEYS, "place", _text(F.col("cell")).alias("value")).agg(F.min("row_no").alias("row_no"))
     found = first.groupBy(*KEYS, "place").agg(F.array_sort(F.collect_list(F.struct("row_no", "value"))).alias("v"))
@@ -191,3 +196,14 @@ def column_samples(sheets: DataFrame, rows: DataFrame) -> DataFrame:
     return named.join(found, [*KEYS, "place"], "left").select(
         *KEYS, "place", "name", F.coalesce(F.transform("v", lambda x: x["value"]), F.array().cast("array<string>")).alias("samples")
     )
+
+
+def first_samples(sheets: DataFrame, rows: DataFrame, most: int, change: Callable[[Column], Column] | None = None) -> DataFrame:
+    """column_samples with at most so many samples a column. change (a mask) is applied before values are compared; what
+    it leaves blank is none."""
+    text = _text(F.col("cell"))
+    cells = rows.select(*KEYS, "row_no", F.posexplode("cells").alias("place", "cell")).where(~is_blank(F.col("cell")))
+    values = cells.select(*KEYS, "place", "row_no", (change(text) if change else text).alias("value")).where(F.trim("value") != "")
+    found = first_distinct(values, [*KEYS, "place"], "row_no", "value", most)
+    named = sheets.select(*KEYS, F.posexplode("names").alias("place", "name"))
+    return named.join(found, [*KEYS, "place"], "left").select(*KEYS, "place", "name", F.coalesce("values", F.array().cast("array<string>")).alias("samples"))

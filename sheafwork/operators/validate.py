@@ -21,7 +21,7 @@ BROADCAST_FILES = 10_000
 
 
 def _value(field: str) -> Column:
-    return F.col(f"`{field}`").cast("string")
+    return F.col(n.quoted(field)).cast("string")
 
 
 def _has(field: str) -> Column:
@@ -73,11 +73,12 @@ def _states(records: DataFrame, fields: list[str]) -> DataFrame:
     return by_file.crossJoin(F.broadcast(totals)).select("src_file", "file_rows", "all_rows", F.array(*of).alias("f"))  # totals: one row
 
 
-def _by_file(records: DataFrame, states: DataFrame) -> DataFrame:
-    """records with their file's state, which goes to every executor if there are few files; else a file's rows may be
+def _by_file(records: DataFrame, states: DataFrame, name: str) -> DataFrame:
+    """records with their file's state in a column of a name that is none of theirs. The state goes to every executor if there are few files; else a file's rows may be
     split, as its state is shuffled by this join alone."""
     few = records.select("src_file").distinct().limit(BROADCAST_FILES + 1).count() <= BROADCAST_FILES
-    return records.join(F.broadcast(states) if few else states.hint("rebalance"), "src_file")
+    packed = states.select("src_file", F.struct("all_rows", "f").alias(name))
+    return records.join(F.broadcast(packed) if few else packed.hint("rebalance"), "src_file")
 
 
 def _file_issues(states: DataFrame, fields: list[str]) -> DataFrame:
@@ -92,9 +93,9 @@ def _file_issues(states: DataFrame, fields: list[str]) -> DataFrame:
 def _row_issues(records: DataFrame, fields: list[str], rules: tuple[str, ...], states: DataFrame | None) -> DataFrame:
     """What rules (missing, type_outlier, sparse_row) find in single rows, in one pass."""
     kind = "array<struct<level:string,rule:string,problem:string,suggestion:string,file:string,sheet:string,row:int,column:string,value:string,field_order:int>>"
-    found = []
+    found, name = [], n.unused("state", records.columns)
     for k, f in enumerate(fields):
-        state, value, has = F.get("f", F.lit(k)), _value(f), _has(f)
+        state, value, has = F.get(F.col(name)["f"], F.lit(k)), _value(f), _has(f)
         if "missing" in rules:
             problem = F.format_string(f"{f.replace('%', '%%')} is empty, but %d other rows have it", state["all_has"])
             found.append(F.when(state["each"] & ~has, F.struct(*_issue("warning", "missing", problem, "Check whether it was forgotten", _here(), f, None, k))))
@@ -110,7 +111,7 @@ def _row_issues(records: DataFrame, fields: list[str], rules: tuple[str, ...], s
     if not found:
         return _nothing(records)
     at = F.filter(F.array(*found).cast(kind), lambda x: x.isNotNull())
-    rows = records if states is None else _by_file(records, states)
+    rows = records if states is None else _by_file(records, states, name)
     return rows.select(F.explode(at).alias("i")).select("i.*")
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheafwork.functions.masking import is_name_field, mask_name, mask_rows, mask_text
+from sheafwork.functions.names import quoted
 
 VIEW = "汇总数据"
 MOST_ROWS, SHOWN_ROWS, SECONDS = 5000, 20, 5.0
@@ -70,10 +71,6 @@ class Refused(ValueError):
     """The statement may not run; the text says why."""
 
 
-def quoted(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
-
-
 def _date_pattern(literal: str) -> str:
     """A literal pattern of the other dialect as Spark's."""
     parts = re.findall("%.|[^%]+", literal[1:-1])

@@ -99,16 +99,17 @@ class Result:
     def table(self, settings: Settings | None = None) -> Table:
         """The records as a view to ask: dates as ISO text, whole numbers that fit as long."""
         settings = settings or Settings()
-        columns = []
+        columns, whole = [], [name for name in self.fields if self.kinds[name] == "integer"]
+        most = self.records.agg(*(F.max(F.abs(F.col(n.quoted(name)))).alias(f"m{k}") for k, name in enumerate(whole))).first() if whole else ()
+        fits = {name: top is None or top < 2**63 for name, top in zip(whole, most)}
         for name in self.fields:
-            column = F.col(f"`{name}`")
+            column = F.col(n.quoted(name))
             if self.kinds[name] == "integer":
-                fits = self.records.agg(F.max(F.abs(column))).first()[0]
-                column = column.cast("long") if fits is None or fits < 2**63 else column.cast("string")
+                column = column.cast("long") if fits[name] else column.cast("string")
             elif self.kinds[name] == "date":
                 column = F.date_format(column, "yyyy-MM-dd")
             columns.append(column.alias(name))
-        view = self.records.select(*columns, F.col("src_file").alias("来源文件"), F.col("src_row").cast("long").alias("来源行"))
+        view = self.records.select(*columns, F.col("src_file").alias(n.unused("来源文件", self.fields)), F.col("src_row").cast("long").alias(n.unused("来源行", self.fields)))
         return Table(view, masks=settings.masks, mask_names=settings.mask_name_in_answer)
 
 
@@ -141,16 +142,15 @@ class Engine:
         finally:
             grids.unpersist()
 
-    def _samples(self, found: DataFrame, rows: DataFrame, fields: list[str]) -> dict[tuple[str, str], dict[str, dict[str, list[str]]]]:
+    def _samples(self, found: DataFrame, rows: DataFrame, sheets: list[tuple[str, str, list[str], str]], fields: list[str]) -> dict[tuple[str, str], dict[str, dict[str, list[str]]]]:
         """Of each sheet, masked samples of its columns and of the fields, for a matcher that takes them."""
-        samples = headers.column_samples(found, rows)
-        few = F.slice("samples", 1, 10 * max(self.settings.samples_per_column, 1))
-        samples = samples.withColumn("samples", masking.masked_samples(few, self.settings.samples_per_column, self.settings.masks))
+        samples = headers.first_samples(found, rows, self.settings.samples_per_column, lambda x: masking.mask_text(x, self.settings.masks))
         by_field = align.field_samples(samples, self.spark.createDataFrame([(f,) for f in fields], "field string"))
         own = {r.field: r.samples for r in by_field.collect()}
         out: dict[tuple[str, str], dict] = {}
+        names = {(file, sheet): header for file, sheet, header, _ in sheets}
         for r in samples.collect():  # some values a column
-            out.setdefault((r.file, r.sheet), {"columns": {}, "fields": own})["columns"][r.name] = r.samples
+            out.setdefault((r.file, r.sheet), {"columns": {}, "fields": own})["columns"][names[r.file, r.sheet][r.place]] = r.samples
         return out
 
     def _mappings(self, found: DataFrame, rows: DataFrame, sheets: list[tuple[str, str, list[str], str]], fields: list[str], known: dict) -> list[align.Mapping]:
@@ -159,7 +159,7 @@ class Engine:
         signatures = [n.signature_of(names) for _, _, names, _ in sheets]
         kept = self.store.get_mappings(set(signatures)) if self.store else {}
         wants = len(signature(self.matcher).parameters) > 2
-        samples = self._samples(found, rows, fields) if wants else {}
+        samples = self._samples(found, rows, sheets, fields) if wants else {}
         out, new = [], {}
         for (file, sheet, names, _), sign in zip(sheets, signatures):
             mapping = known.get(tuple(names))
@@ -183,7 +183,7 @@ class Engine:
         began, run = self._clock(), self.store.next_run() if self.store else 0
         found, rows = headers.recovered(grids, self.settings.header_scan_rows)
         meta = found.select("file", "sheet", "names", "hint", "dropped").orderBy("file", "sheet").collect()  # headers only
-        sheets = [(r.file, r.sheet, r.names, r.hint) for r in meta]
+        sheets = [(r.file, r.sheet, n.numbered(r.names, clean.PROVENANCE), r.hint) for r in meta]
         fields = align.pick_fields([s[2] for s in sheets], template)
         files = len({s[0] for s in sheets})
         if self.store:

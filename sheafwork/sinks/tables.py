@@ -10,6 +10,7 @@ from xml.sax.saxutils import escape
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sheafwork.functions.names import quoted, unused
 from sheafwork.operators.validate import in_order
 
 #: Rows of a sheet.
@@ -19,7 +20,7 @@ _NS = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
 
 def summary_table(records: DataFrame, fields: list[str]) -> DataFrame:
     """The fields and where each row is from, in reading order."""
-    return records.orderBy("src_order").select(*(F.col(f"`{f}`") for f in fields), F.col("src_file").alias("来源文件"), F.col("src_row").alias("来源行"))
+    return records.orderBy("src_order").select(*(F.col(quoted(f)) for f in fields), F.col("src_file").alias(unused("来源文件", fields)), F.col("src_row").alias(unused("来源行", fields)))
 
 
 def issue_table(issues: DataFrame, note: str = "") -> DataFrame:

@@ -1,7 +1,7 @@
 import duckdb
 import pytest
 
-from sheafwork.plans import catalog
+from sheafwork.plans import catalog, catalog_files
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -19,13 +19,16 @@ def plain(value):
     return round(float(value), 6) if isinstance(value, float) or type(value).__name__ == "Decimal" else value
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+QUERIES, ORACLE = {**catalog.QUERIES, **catalog_files.QUERIES}, {**catalog.ORACLE, **catalog_files.ORACLE}
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_its_sql(spark, duck, name):
-    got = catalog.QUERIES[name](spark, SF)
-    if name not in catalog.ORACLE:
+    got = QUERIES[name](spark, SF)
+    if name not in ORACLE:
         assert got.count() > 0
         return
-    found = duck.execute(catalog.ORACLE[name])
+    found = duck.execute(ORACLE[name])
     columns = [c[0] for c in found.description]
     assert sorted(columns) == sorted(got.columns)
     want = sorted((tuple(plain(x) for x in r) for r in found.fetchall()), key=repr)
