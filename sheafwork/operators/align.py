@@ -6,7 +6,6 @@ then projected by a small table of places, joined by file and sheet, in one plan
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from itertools import groupby
@@ -16,6 +15,7 @@ from pyspark.sql import functions as F
 
 from sheafwork.functions import names as n
 from sheafwork.functions.cleaning import normalize_all
+from sheafwork.operators import match
 from sheafwork.operators.clean import PROVENANCE
 from sheafwork.operators.headers import CELL, KEYS, is_blank, recovered
 
@@ -73,26 +73,21 @@ def field_samples(samples: DataFrame, fields: DataFrame) -> DataFrame:
 def match_by_rules(columns: list[str], fields: list[str]) -> Mapping:
     """Equal names, then the only field that contains the name or is contained in it, then the only free group field for
     a group name, then the most alike one. A field is taken by one column, except that alike names don't take it."""
-    normal = {n.normal_name_of(f): f for f in fields}
-    taken: set[str] = set()
-    out: dict[str, str] = {}
-    for column in columns:
-        key = n.normal_name_of(column)
-        free = [(name, f) for name, f in normal.items() if f not in taken]
-        inside = [f for name, f in free if key and (key in name or name in key)]
-        groups = [f for name, f in free if n.is_group_of(name)] if n.is_group_of(key) else []
-        if re.match(n.IGNORABLE, key, re.I):
-            out[column] = n.IGNORE
-        elif normal.get(key) is not None and normal[key] not in taken:
-            out[column] = normal[key]
-            taken.add(out[column])
-        elif len(inside) == 1 or len(groups) == 1:
-            out[column] = inside[0] if len(inside) == 1 else groups[0]
-            taken.add(out[column])
-        else:
-            alike = max(((n.likeness_of(key, name), -k, f) for k, (name, f) in enumerate(free)), default=(0.0, 0, n.UNKNOWN))
-            out[column] = alike[2] if alike[0] >= n.LEAST_LIKENESS else n.UNKNOWN
-    return Mapping(out, {c: 0.4 for c in columns}, {c: "matched by rule" for c in columns})
+    known = match.known_fields(fields)
+    targets = match.assigned([(c, match.is_ignorable(c), match.candidates_of(c, known)) for c in columns])
+    return Mapping(dict(zip(columns, targets)), {c: match.RULE_CONFIDENCE for c in columns}, {c: "matched by rule" for c in columns})
+
+
+def match_all_by_rules(spark: SparkSession, headers: list[tuple[str, ...]], fields: list[str]) -> dict[tuple[str, ...], Mapping]:
+    """match_by_rules of many headers in one plan (match.match_headers)."""
+    table = spark.createDataFrame([(h, k, c) for h, header in enumerate(headers) for k, c in enumerate(header)], "header int, pos int, source_col string")
+    found: dict[int, dict[int, str]] = {}
+    for row in match.match_headers(table, fields).collect():  # names only
+        found.setdefault(row["header"], {})[row["pos"]] = row["target"]
+    return {
+        header: Mapping({c: found[h][k] for k, c in enumerate(header)}, {c: match.RULE_CONFIDENCE for c in header}, {c: "matched by rule" for c in header})
+        for h, header in enumerate(headers)
+    }
 
 
 def ranked_claims(claims: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sheafwork.functions import cleaning, masking, names
-from sheafwork.operators import align, clean, headers, validate
+from sheafwork.operators import align, clean, headers, match, validate
 from sheafwork.plans import ask, store
 from sheafwork.plans.consolidate import Engine, Settings
 
@@ -223,13 +223,28 @@ def rule_map_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-    SELECT * FROM (VALUES ('填报单位', '单位'), ('教师姓名', '姓名'), ('职称', '职称'), ('学生人数', '学生数'), ('课时数', '__UNKNOWN__'), ('序号', '__IGNORE__'), ('单位', '__UNKNOWN__')) v(source_col, target)
+    WITH c AS (
+        SELECT c_custkey AS header, CASE c_custkey % 5 WHEN 0 THEN n_name WHEN 1 THEN n_name || ' (s)' WHEN 2 THEN reverse(n_name) || 'z' WHEN 3 THEN substr(n_name, 2) ELSE c_mktsegment END AS source_col
+        FROM customer JOIN nation ON n_nationkey = c_nationkey
+    ), n AS (SELECT header, source_col, lower(regexp_replace(regexp_replace(source_col, '\\s+', '', 'g'), '[(].*?[)]|[-_/.:,]', '', 'g')) AS key FROM c),
+    f AS (SELECT n_name AS field, n_nationkey AS place, lower(regexp_replace(regexp_replace(n_name, '\\s+', '', 'g'), '[-_/.:,]', '', 'g')) AS other FROM nation),
+    s AS (SELECT *, list_distinct(string_split(key, '')) AS a, list_distinct(string_split(other, '')) AS b FROM n, f),
+    l AS (SELECT *, CASE WHEN length(key) > 1 AND length(other) > 1 THEN len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))) ELSE 0 END AS likeness,
+                 contains(other, key) OR contains(key, other) AS within FROM s),
+    g AS (SELECT header, source_col, min(field) FILTER (key = other) AS equal, count(*) FILTER (within) AS n_within, min(field) FILTER (within) AS inside,
+                 first(field ORDER BY likeness DESC, place) AS best, max(likeness) AS most FROM l GROUP BY header, source_col)
+    SELECT header, source_col, CASE WHEN equal IS NOT NULL THEN equal WHEN n_within = 1 THEN inside WHEN most >= 0.6 THEN best ELSE '__UNKNOWN__' END AS target FROM g
     """
 )
 def rule_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    columns = ["填报单位", "教师姓名", "职称", "学生人数", "课时数", "序号", "单位"]
-    mapping = align.resolve_conflicts(align.match_by_rules(columns, ["单位", "姓名", "职称", "课程数", "学生数"]))
-    return spark.createDataFrame(list(mapping.targets.items()), "source_col string, target string")
+    """Headers of one column each, against the nations as fields, in one plan."""
+    nation = table(spark, sf_dir, "nation")
+    name, k = F.col("n_name"), F.col("c_custkey") % 5
+    written = F.when(k == 0, name).when(k == 1, F.concat(name, F.lit(" (s)"))).when(k == 2, F.concat(F.reverse(name), F.lit("z"))).when(k == 3, F.substring(name, 2, 99)).otherwise(F.col("c_mktsegment"))
+    columns = table(spark, sf_dir, "customer").join(F.broadcast(nation), F.col("n_nationkey") == F.col("c_nationkey"))  # nations are few
+    columns = columns.select(F.col("c_custkey").alias("header"), F.lit(0).alias("pos"), written.alias("source_col"))
+    fields = [r["n_name"] for r in nation.orderBy("n_nationkey").select("n_name").collect()]
+    return match.match_headers(columns, fields).select("header", "source_col", "target")
 
 
 @query(
@@ -576,16 +591,16 @@ SQL = {
     "sql_right_join": "SELECT n_name, count(s_suppkey) AS n FROM supplier RIGHT JOIN nation ON s_nationkey = n_nationkey GROUP BY n_name",
     "sql_full_join": "SELECT coalesce(a.k, b.k) AS k, a.n AS n_customers, b.n AS n_suppliers FROM (SELECT c_nationkey AS k, count(*) AS n FROM customer GROUP BY 1) a FULL JOIN (SELECT s_nationkey AS k, count(*) AS n FROM supplier GROUP BY 1) b ON a.k = b.k",
     "sql_semi_join": "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000)",
-    "sql_anti_join": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
+    "sql_anti_join": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)",
     "sql_in_subquery": "SELECT count(*) AS n FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size > 40)",
     "sql_scalar_subquery": "SELECT count(*) AS n FROM orders WHERE o_totalprice > (SELECT avg(o_totalprice) FROM orders)",
     "sql_cross_join": "SELECT r_name, n_name FROM region CROSS JOIN nation",
     "sql_theta_join": "SELECT a.n_name AS low, b.n_name AS high FROM nation a JOIN nation b ON a.n_regionkey < b.n_regionkey AND a.n_nationkey > b.n_nationkey",
     "sql_cte": "WITH t AS (SELECT o_custkey, sum(o_totalprice) AS total FROM orders GROUP BY o_custkey) SELECT count(*) AS n, round(max(total), 2) AS most FROM t",
-    "sql_recursive": "WITH RECURSIVE r(n, f) AS (SELECT 1, CAST(1 AS BIGINT) UNION ALL SELECT n + 1, f * (n + 1) FROM r WHERE n < 15) SELECT n, f FROM r",
+    "sql_recursive": "WITH RECURSIVE r(k, depth) AS (SELECT n_nationkey, 0 FROM nation WHERE n_nationkey < 5 UNION ALL SELECT n_nationkey, depth + 1 FROM r JOIN nation ON n_nationkey = k + 5) SELECT k, depth FROM r",
     "sql_union": "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier",
     "sql_intersect": "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier",
-    "sql_except": "SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier",
+    "sql_except": "SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 8000",
     "sql_window_rank": "SELECT s_suppkey, s_nationkey, rank() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) AS k FROM supplier",
     "sql_window_frame": "SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 2) AS moving FROM orders",
     "sql_window_lag": "SELECT o_orderkey, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS before FROM orders",

@@ -20,6 +20,10 @@ from sheafwork.plans.store import Store
 from sheafwork.sources.files import find_template, read_grids
 
 
+#: Different headers from which on the rules match all of them in one plan.
+PLANNED_HEADERS = 500
+
+
 def _now() -> str:
     return datetime.now().strftime("%Y-%m-%d %H:%M:%S")
 
@@ -161,6 +165,8 @@ class Engine:
         wants = len(signature(self.matcher).parameters) > 2
         samples = self._samples(found, rows, sheets, fields) if wants else {}
         out, new = [], {}
+        headers = list({tuple(names): None for _, _, names, _ in sheets})
+        by_rule = align.match_all_by_rules(self.spark, headers, fields) if self.matcher is align.match_by_rules and len(headers) > PLANNED_HEADERS else {}
         for (file, sheet, names, _), sign in zip(sheets, signatures):
             mapping = known.get(tuple(names))
             if mapping is None and sign in kept and set(kept[sign][0]) == set(names):
@@ -168,7 +174,7 @@ class Engine:
                 mapping = align.Mapping(targets, confidence, {}, "user" if source == "user" else "cache")
             if mapping is None or not all(t in fields or t in (n.IGNORE, n.UNKNOWN) for t in mapping.targets.values()):
                 more = (samples.get((file, sheet), {"columns": {}, "fields": {}}),) if wants else ()
-                mapping = align.resolve_conflicts(self.matcher(names, fields, *more))
+                mapping = align.resolve_conflicts(by_rule.get(tuple(names)) or self.matcher(names, fields, *more))
             if mapping.source != "cache" and not (mapping.source == "user" and sign in kept and kept[sign][:2] == (mapping.targets, "user")):
                 new[sign] = (sign, mapping.targets, mapping.source, mapping.confidence)
             out.append(mapping)
