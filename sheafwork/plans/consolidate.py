@@ -186,7 +186,8 @@ class Engine:
         self, grids: DataFrame, template: list[str] | None = None, known: dict[tuple[str, ...], align.Mapping] | None = None, failures: dict[str, str] | None = None
     ) -> Result:
         """The same from raw grids of any source. known has mappings by header, used if all their fields still exist."""
-        began, run = self._clock(), self.store.next_run() if self.store else 0
+        began = self._clock()
+        run = self.store.start_run(began) if self.store else 0
         found, rows = headers.recovered(grids, self.settings.header_scan_rows)
         meta = found.select("file", "sheet", "names", "hint", "dropped").orderBy("file", "sheet").collect()  # headers only
         sheets = [(r.file, r.sheet, n.numbered(r.names, clean.PROVENANCE), r.hint) for r in meta]
