@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from sheafwork.functions.masking import is_name_field, mask_name, mask_rows, mask_text
 from sheafwork.functions.names import quoted
+from sheafwork.plans.dialect import typed
 
 VIEW = "汇总数据"
 MOST_ROWS, SHOWN_ROWS, SECONDS = 5000, 20, 5.0
@@ -64,6 +65,7 @@ RENAMED = {"iif": "if", "group_concat": "string_agg", "unicode": "ascii", "like"
 GRACE = 5.0
 #: Date parts of the other dialect's patterns and Spark's.
 _DATE_PARTS = {"%Y": "yyyy", "%m": "MM", "%d": "dd", "%H": "HH", "%M": "mm", "%S": "ss", "%j": "DDD", "%%": "%"}
+_DATE_FORMS = {"date": "yyyy-MM-dd", "datetime": "yyyy-MM-dd HH:mm:ss", "time": "HH:mm:ss"}
 _TOKENS = re.compile(r"'(?:[^']|'')*'|\"(?:[^\"]|\"\")*\"|`(?:[^`]|``)*`|--[^\n]*|/\*.*?\*/|[^\W\d]\w*|.", re.S)
 
 
@@ -80,12 +82,70 @@ def _date_pattern(literal: str) -> str:
     return '"' + "".join(_DATE_PARTS.get(x) or re.sub("([A-Za-z]+)", r"'\1'", x) for x in parts) + '"'
 
 
+def _moved(base: str, modifiers: list[str]) -> str:
+    """A date, moved by the other dialect's modifiers in their order. A month's days beyond its last go on in the next."""
+    at = "current_timestamp()" if base.strip().lower() == "'now'" else f"TRY_CAST({base} AS TIMESTAMP_NTZ)"
+    for modifier in modifiers:
+        said = modifier.strip().lower()
+        if m := re.fullmatch(r"'\s*([+-]?[0-9]+)\s+(day|hour|minute|second|month|year)s?\s*'", said):
+            moved = f"timestampadd({m[2].upper()}, {int(m[1])}, {at})"
+            at = f"timestampadd(DAY, day({at}) - day({moved}), {moved})" if m[2] in ("month", "year") else moved
+        elif m := re.fullmatch(r"'\s*start of (day|month|year)\s*'", said):
+            at = f"date_trunc('{m[1].upper()}', {at})"
+        elif m := re.fullmatch(r"'\s*weekday\s+([0-6])\s*'", said):
+            at = f"timestampadd(DAY, (8 + {m[1]} - dayofweek({at})) % 7, {at})"
+        else:
+            raise Refused(f"the date modifier {modifier.strip()} has no equal here")
+    return at
+
+
+def _glob(literal: str) -> str:
+    """A GLOB pattern as a regular expression for the whole text, as a literal."""
+    if literal[:1] != "'":
+        raise Refused("GLOB takes a literal pattern")
+    pattern, out, at = literal[1:-1].replace("''", "'"), [], 0
+    while at < len(pattern):
+        c = pattern[at]
+        if c == "[" and (end := pattern.find("]", at + 2 + pattern.startswith("[^", at))) > 0:
+            negated = pattern[at + 1] == "^"
+            members = pattern[at + 1 + negated : end]
+            out.append(f"[{'^' if negated else ''}{re.sub(r'([][\\&^])', r'\\\1', members)}]")
+            at = end
+        else:
+            out.append({"*": ".*", "?": "."}.get(c) or (c if c.isalnum() or c in " _-'" else "\\" + c))
+        at += 1
+    return "'" + ("(?s)^" + "".join(out) + "\\z").replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _with_globs(tokens: list[str]) -> list[str]:
+    out, k = [], 0
+    while k < len(tokens):
+        if tokens[k].lower() == "glob":
+            past = k + 1
+            while past < len(tokens) and tokens[past].isspace():
+                past += 1
+            out += ["RLIKE", " ", _glob(tokens[past] if past < len(tokens) else "")]
+            k = past
+        else:
+            out.append(tokens[k])
+        k += 1
+    return out
+
+
 def _call(name: str, args: list[str]) -> str | None:
     """A call of the other dialect that differs by more than its name, as Spark's; None for all others."""
     if name == "total" and len(args) == 1:
         return f"coalesce(sum({args[0]}), 0D)"
     if name == "strftime" and len(args) == 2:
         return f"date_format({args[1]}, {_date_pattern(args[0].strip())})"
+    if name == "strftime" and len(args) > 2:
+        return f"date_format({_moved(args[1], args[2:])}, {_date_pattern(args[0].strip())})"
+    if name in _DATE_FORMS and (len(args) > 1 or name != "date"):
+        return f"date_format({_moved(args[0], args[1:])}, '{_DATE_FORMS[name]}')"
+    if name == "typeof" and len(args) == 1:
+        kind = f"typeof({args[0]})"
+        whole = f"{kind} IN ('tinyint', 'smallint', 'int', 'bigint', 'boolean') OR {kind} LIKE 'decimal%,0)'"
+        return f"CASE WHEN ({args[0]}) IS NULL THEN 'null' WHEN {whole} THEN 'integer' WHEN {kind} IN ('float', 'double') OR {kind} LIKE 'decimal%' THEN 'real' ELSE 'text' END"
     if name == "julianday" and len(args) == 1:
         return f"(unix_timestamp(CAST({args[0]} AS TIMESTAMP)) / 86400D + 2440587.5D)"
     if name == "date" and len(args) == 1 and args[0].strip().lower() == "'now'":
@@ -103,7 +163,7 @@ def _with_calls(tokens: list[str]) -> str:
         token, past = tokens[k], k + 1
         while past < len(tokens) and tokens[past].isspace():
             past += 1
-        if token.lower() in ("total", "strftime", "julianday", "date", "max", "min") and past < len(tokens) and tokens[past] == "(":
+        if token.lower() in ("total", "strftime", "julianday", "date", "datetime", "time", "typeof", "max", "min") and past < len(tokens) and tokens[past] == "(":
             depth, at, args = 1, past + 1, [[]]
             while at < len(tokens) and depth:
                 depth += (tokens[at] == "(") - (tokens[at] == ")")
@@ -142,7 +202,7 @@ def prepared(sql: str, known: set[str], renamed: dict[str, str] | None = None) -
         elif token.startswith(("--", "/*")):
             token = " "
         out.append(token)
-    return _with_calls(out)
+    return _with_calls(_with_globs(out))
 
 
 def looks_like_select(sql: str) -> bool:
@@ -299,6 +359,9 @@ class Table:
         try:
             text = prepared(sql, {self.view, *self.columns}, {self.view: self._own})
             check(self._spark, text, {self._own}, self._functions)
+            if (by_types := typed(self._spark, text)) != text:
+                check(self._spark, by_types, {self._own}, self._functions)
+                text = by_types
 
             def work() -> tuple[DataFrame, list]:
                 df = self._spark.sql(text)

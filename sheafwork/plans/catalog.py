@@ -659,6 +659,29 @@ def asked_dialect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _asked(orders, sql, "status string, n long, price double, month string, most long, size string")
 
 
+@query(
+    """
+    WITH v AS (
+        SELECT l_returnflag AS flag, l_orderkey AS n, l_linenumber - 1 AS m, l_extendedprice AS d, CAST(l_shipdate AS DATE) AS day,
+               CASE l_linenumber % 3 WHEN 0 THEN 'x' || l_partkey ELSE CAST(l_partkey % 50 AS VARCHAR) END AS t FROM lineitem
+    )
+    SELECT flag, CAST(sum(n // nullif(m, 0)) AS BIGINT) AS whole, CAST(sum(n % nullif(m, 0)) AS BIGINT) AS rest, round(sum(CASE WHEN m <> 0 THEN d / m END), 2) AS parts,
+           CAST(sum(n) // count(*) AS BIGINT) AS mean, count(*) FILTER (t = '7') AS as_text, count(*) FILTER (m = TRY_CAST(t AS BIGINT)) AS as_number,
+           count(*) FILTER (t GLOB '[x4]*5') AS globbed, CAST(CAST(max(date_trunc('month', day) + INTERVAL 1 MONTH + to_days(CAST(day(day) - 1 AS INTEGER))) AS DATE) AS VARCHAR) AS moved, 'integer' AS kind, false AS truncated
+    FROM v GROUP BY flag
+    """
+)
+def asked_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the other dialect decides by types: whole division, division by zero, text against numbers, patterns, dates."""
+    sql = """SELECT flag, sum(n / m), sum(n % m), round(sum(d / m), 2), sum(n) / count(*), count(CASE WHEN t = 7 THEN 1 END), count(CASE WHEN m = t THEN 1 END),
+                    count(CASE WHEN t GLOB '[x4]*5' THEN 1 END), max(date(day, '+1 day', '-1 day', '+1 month')), min(typeof(n / m)) FROM 汇总数据 GROUP BY flag"""
+    lines = table(spark, sf_dir, "lineitem").select(
+        F.col("l_returnflag").alias("flag"), F.col("l_orderkey").alias("n"), (F.col("l_linenumber") - 1).alias("m"), F.col("l_extendedprice").alias("d"),
+        F.when(F.col("l_linenumber") % 3 == 0, F.concat(F.lit("x"), "l_partkey")).otherwise((F.col("l_partkey") % 50).cast("string")).alias("t"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("day"),
+    )
+    return _asked(lines, sql, "flag string, whole long, rest long, parts double, mean long, as_text long, as_number long, globbed long, moved string, kind string")
+
+
 @query(
     r"""
     SELECT CAST(conv_id AS VARCHAR) AS conv_id, CAST(turn AS VARCHAR) AS turn, substr(role, 1, 1) || repeat('*', length(role) - 1) AS name,
