@@ -132,7 +132,11 @@ class Engine:
 
     def consolidate(self, inbox: str, template: list[str] | None = None, known: dict[tuple[str, ...], align.Mapping] | None = None) -> Result:
         """Every readable sheet of a folder as one table."""
-        grids = read_grids(self.spark, inbox).persist()
+        return self.from_kept(read_grids(self.spark, inbox), template, known)
+
+    def from_kept(self, grids: DataFrame, template: list[str] | None = None, known: dict[tuple[str, ...], align.Mapping] | None = None) -> Result:
+        """The same from grids with errors, as read_grids has them."""
+        grids = grids.persist()
         try:  # the header metadata and the kinds are computed within
             told = grids.where("error IS NOT NULL").select("file", "sheet", "error").collect()  # a row a file or sheet
             if grids.where("error IS NULL").select("file").distinct().count() > self.settings.max_files_per_run:

@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 MAPPING_CACHE = "signature string, mapping string, source string, confidence string, created_at string, updated_at string, hit_count bigint"
 RUNS = "id bigint, started_at string, finished_at string, n_files bigint, n_records bigint, n_issues bigint, cost_cny double"
 QUERY_USAGE = "id bigint, asked_at string, question string, cost_cny double, n_turns bigint"
-SCHEMAS = {"mapping_cache": MAPPING_CACHE, "runs": RUNS, "query_usage": QUERY_USAGE}
+INBOX = "path string, file string, modified string, length bigint, digest string, batch string"
+SCHEMAS = {"mapping_cache": MAPPING_CACHE, "runs": RUNS, "query_usage": QUERY_USAGE, "inbox": INBOX}
 QUESTION_CHARS = 200
 
 
@@ -87,6 +88,12 @@ def folded_runs(changes: DataFrame) -> DataFrame:
     return changes.withColumn("_place", F.row_number().over(last)).where("_place = 1").select(*_names(RUNS))
 
 
+def folded_inbox(changes: DataFrame) -> DataFrame:
+    """The last row of each path that isn't forgotten."""
+    last = Window.partitionBy("path").orderBy(F.desc("version"), F.desc("seq"))
+    return changes.withColumn("_place", F.row_number().over(last)).where("_place = 1 AND op = 'put'").select(*_names(INBOX))
+
+
 def _names(schema: str) -> list[str]:
     return [x.split()[0] for x in schema.split(", ")]
 
@@ -94,6 +101,7 @@ def _names(schema: str) -> list[str]:
 FOLDS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "mapping_cache": folded_mappings,
     "runs": folded_runs,
+    "inbox": folded_inbox,
     "query_usage": lambda changes: changes.select(*_names(QUERY_USAGE)),
 }
 
@@ -196,6 +204,11 @@ class Store:
     def table(self, name: str) -> DataFrame:
         return FOLDS[name](self._changes(name)[0])
 
+    def state(self, name: str) -> tuple[DataFrame, int]:
+        """The table and the number of the last commit that it has seen."""
+        changes, last, _ = self._changes(name)
+        return FOLDS[name](changes), last
+
     def commit(self, name: str, changes: list[dict], after: int | None = None) -> int:
         """Append changes (op and columns) under the next free number, which is returned. after says that they depend on
         what was read up to that number: any commit behind it is a Conflict."""

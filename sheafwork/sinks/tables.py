@@ -1,21 +1,18 @@
-"""Writing results: Parquet and CSV by Spark at any size, and workbooks of what fits into a sheet."""
+"""Writing results: Parquet, CSV and workbooks, by Spark at any size."""
 
 from __future__ import annotations
 
-import zipfile
-from datetime import date, datetime
-from decimal import Decimal
-from xml.sax.saxutils import escape
+import tempfile
+import uuid
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheafwork.functions.names import quoted, unused
 from sheafwork.operators.validate import in_order
-
-#: Rows of a sheet.
-SHEET_ROWS = 1_048_576
-_NS = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+from sheafwork.sinks import workbook
+from sheafwork.sinks.workbook import width_of  # noqa: F401  one of the outputs' functions
 
 
 def summary_table(records: DataFrame, fields: list[str]) -> DataFrame:
@@ -60,73 +57,11 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
-def _reference(row: int, column: int) -> str:
-    letters = ""
-    column += 1
-    while column:
-        column, rest = divmod(column - 1, 26)
-        letters = chr(65 + rest) + letters
-    return f"{letters}{row}"
-
-
-def _cell(value: object, row: int, column: int, style: int = 0) -> str:
-    at, look = _reference(row, column), f' s="{style}"' if style else ""
-    if value is None:
-        return f'<c r="{at}"{look}/>' if style else ""
-    if isinstance(value, bool):
-        return f'<c r="{at}"{look} t="b"><v>{int(value)}</v></c>'
-    if isinstance(value, (int, float, Decimal)) and abs(value) < 10**15:
-        return f'<c r="{at}"{look}><v>{value}</v></c>'
-    if isinstance(value, (date, datetime)):
-        value = value.isoformat()
-    text = "".join(c for c in str(value) if c >= " " or c in "\t\n")[:32767]
-    return f'<c r="{at}"{look} t="inlineStr"><is><t xml:space="preserve">{escape(text)}</t></is></c>'
-
-
-def width_of(value: object) -> int:
-    """Columns that a value takes; full-width characters take two."""
-    return sum(2 if ord(c) > 0x2E7F else 1 for c in str(value))
-
-
 def write_workbook(df: DataFrame, path: str, highlighted: set[str] | None = None, name: str = "Sheet1") -> int:
-    """One sheet in a local file, header frozen and filtered, highlighted columns in yellow. Rows come to the driver one
-    partition at a time; more than a sheet holds is an error. The number of rows."""
-    widths = [width_of(c) for c in df.columns]
-    head = "".join(_cell(c, 1, k, 1 + (c in (highlighted or set()))) for k, c in enumerate(df.columns))
-    rows = 1
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as book:
-        types = "application/vnd.openxmlformats-officedocument.spreadsheetml"
-        book.writestr(
-            "[Content_Types].xml",
-            '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/>'
-            f'<Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="{types}.sheet.main+xml"/>'
-            f'<Override PartName="/xl/worksheets/sheet1.xml" ContentType="{types}.worksheet+xml"/><Override PartName="/xl/styles.xml" ContentType="{types}.styles+xml"/></Types>',
-        )
-        rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
-        package = "http://schemas.openxmlformats.org/package/2006/relationships"
-        book.writestr("_rels/.rels", f'<Relationships xmlns="{package}"><Relationship Id="rId1" Type="{rel}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
-        book.writestr("xl/workbook.xml", f'<workbook {_NS} xmlns:r="{rel}"><sheets><sheet name="{escape(name)}" sheetId="1" r:id="rId1"/></sheets></workbook>')
-        book.writestr(
-            "xl/_rels/workbook.xml.rels",
-            f'<Relationships xmlns="{package}"><Relationship Id="rId1" Type="{rel}/worksheet" Target="worksheets/sheet1.xml"/><Relationship Id="rId2" Type="{rel}/styles" Target="styles.xml"/></Relationships>',
-        )
-        fill = '<fill><patternFill patternType="solid"><fgColor rgb="FFFFFF00"/></patternFill></fill>'
-        book.writestr(
-            "xl/styles.xml",
-            f'<styleSheet {_NS}><fonts count="2"><font/><font><b/></font></fonts><fills count="3"><fill><patternFill patternType="none"/></fill><fill><patternFill patternType="gray125"/></fill>{fill}</fills>'
-            '<borders count="1"><border/></borders><cellStyleXfs count="1"><xf/></cellStyleXfs><cellXfs count="3"><xf/><xf fontId="1" applyFont="1"/><xf fontId="1" fillId="2" applyFont="1" applyFill="1"/></cellXfs></styleSheet>',
-        )
-        with book.open("xl/worksheets/sheet1.xml", "w") as sheet:
-            sample = df.limit(200).collect()
-            for row in sample:
-                widths = [max(w, width_of("" if v is None else v)) for w, v in zip(widths, row)]
-            columns = "".join(f'<col min="{k + 1}" max="{k + 1}" width="{min(max(w + 2, 8), 60)}" customWidth="1"/>' for k, w in enumerate(widths))
-            pane = '<sheetViews><sheetView workbookViewId="0"><pane ySplit="1" topLeftCell="A2" activePane="bottomLeft" state="frozen"/></sheetView></sheetViews>'
-            sheet.write(f'<worksheet {_NS}>{pane}<cols>{columns}</cols><sheetData><row r="1">{head}</row>'.encode())
-            for row in df.toLocalIterator():
-                rows += 1
-                if rows > SHEET_ROWS:
-                    raise ValueError("more rows than a sheet holds: write Parquet or CSV instead")
-                sheet.write(f'<row r="{rows}">{"".join(_cell(v, rows, k) for k, v in enumerate(row))}</row>'.encode())
-            sheet.write(f'</sheetData><autoFilter ref="A1:{_reference(rows, max(len(df.columns) - 1, 0))}"/></worksheet>'.encode())
-    return rows - 1
+    """A workbook of df's rows, however many (workbook.write). The number of rows."""
+    spark = df.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    scratch = f"{shared or 'file://' + tempfile.mkdtemp(prefix='sheafwork-')}/workbook-{uuid.uuid4().hex}"
+    return workbook.write(df, path, scratch, highlighted, name)

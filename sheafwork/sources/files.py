@@ -11,6 +11,7 @@ executors get a workbook's bytes from Spark instead, a file a row. Csv files are
 from __future__ import annotations
 
 import io
+import json
 import os
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -81,14 +82,18 @@ class SheetPartition(InputPartition):
 
 
 class WorkbookReader(DataSourceReader):
-    def __init__(self, path: str) -> None:
-        self._path = Path(path.removeprefix("file:")) if path.startswith("file:") else Path(path)
+    def __init__(self, paths: list[str]) -> None:
+        self._paths = [Path(p.removeprefix("file://").removeprefix("file:")) for p in paths]
 
     def _files(self) -> list[Path]:
-        if self._path.is_file():
-            return [self._path]
-        with os.scandir(self._path) as entries:
-            return sorted(Path(x.path) for x in entries if x.is_file() and _is_wanted(x.name, tuple(WORKBOOKS)))
+        out = []
+        for path in self._paths:
+            if path.is_file():
+                out.append(path)
+                continue
+            with os.scandir(path) as entries:
+                out += [Path(x.path) for x in entries if x.is_file()]
+        return sorted(p for p in out if _is_wanted(p.name, tuple(WORKBOOKS)))
 
     def partitions(self) -> list[SheetPartition]:
         """A partition a sheet: of each file only its list of sheets is read."""
@@ -110,7 +115,8 @@ class WorkbookReader(DataSourceReader):
 
 
 class WorkbookSource(DataSource):
-    """spark.read.format("workbooks").load(folder or file): the rows of all sheets, as SCHEMA has them."""
+    """spark.read.format("workbooks").load(folder or file): the rows of all sheets, as SCHEMA has them. The option paths
+    gives several, as a JSON list."""
 
     @classmethod
     def name(cls) -> str:
@@ -120,7 +126,7 @@ class WorkbookSource(DataSource):
         return SCHEMA
 
     def reader(self, schema: object) -> WorkbookReader:
-        return WorkbookReader(self.options["path"])
+        return WorkbookReader(json.loads(self.options["paths"]) if "paths" in self.options else [self.options["path"]])
 
 
 def _of_content(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,12 +143,21 @@ def _of_content(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield from _sheet(name, lambda data=data: io.BytesIO(data), sheets, k)
 
 
-def _files(spark: SparkSession, folder: str, *suffixes: str) -> DataFrame:
+Folder = str | list[str]
+
+
+def _files(spark: SparkSession, folder: Folder, *suffixes: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("pathGlobFilter", _glob(*suffixes)).load(folder)
     name = F.url_decode(F.replace(F.element_at(F.split("path", "/"), -1), F.lit("+"), F.lit("%2B")))
     return files.withColumn("file", name).where(~F.col("file").rlike(r"^(~\$|\.)"))
 
 
+def list_files(spark: SparkSession, folder: Folder, content: bool = False) -> DataFrame:
+    """(path, file, modificationTime, length) of the files with a known suffix, hidden and lock files left out, and their
+    content if it is asked for."""
+    return _files(spark, folder, *SUFFIXES).select("path", "file", "modificationTime", "length", *(["content"] if content else []))
+
+
 def find_template(spark: SparkSession, folder: str) -> str | None:
     """The first workbook or csv of a folder by name, hidden and lock files left out."""
     found = _files(spark, folder, *SUFFIXES).select("path", "file").orderBy("file", "path").first()
@@ -156,19 +171,20 @@ def _opened_by_path(spark: SparkSession, folder: str) -> str | None:
     return whole.getPath() if whole.getScheme() == "file" else None
 
 
-def read_workbooks(spark: SparkSession, folder: str) -> DataFrame:
-    """The rows of all sheets of a folder's workbooks, or of one."""
-    if (local := _opened_by_path(spark, folder)) is not None:
+def read_workbooks(spark: SparkSession, folder: Folder) -> DataFrame:
+    """The rows of all sheets of a folder's workbooks, or of one, or of those in a list."""
+    local = [_opened_by_path(spark, x) for x in ([folder] if isinstance(folder, str) else folder)]
+    if None not in local:
         spark.dataSource.register(WorkbookSource)
-        return spark.read.format("workbooks").load(local)
+        return spark.read.format("workbooks").option("paths", json.dumps(local)).load()
     files = _files(spark, folder, *WORKBOOKS)
     big = files.where(F.col("length") > MOST_BYTES).select("file", F.lit(None).cast("string").alias("sheet"), F.lit(None).cast("int").alias("row_no"), F.lit("the file is beyond 2 GB").alias("error"))
     small = files.where(F.col("length") <= MOST_BYTES).select("file", "content").mapInArrow(_of_content, SCHEMA)
     return small.unionByName(big, allowMissingColumns=True)
 
 
-def read_grids(spark: SparkSession, inbox: str) -> DataFrame:
-    """The grids of a folder's files with a known suffix, or of one file, hidden and lock files left out; a row with
+def read_grids(spark: SparkSession, inbox: Folder) -> DataFrame:
+    """The grids of a folder's files with a known suffix, or of one file or a list of them, hidden and lock files left out; a row with
     error for each file that can't be read (sheet null) and each sheet that breaks off."""
     listed = {row["csv"]: row["n"] for row in _files(spark, inbox, *SUFFIXES).groupBy(F.lower("file").endswith(".csv").alias("csv")).agg(F.count(F.lit(1)).alias("n")).collect()}
     out = spark.createDataFrame([], SCHEMA)
