@@ -7,13 +7,14 @@ become half-width, so the patterns are plain ASCII.
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sheafwork.functions.unicode_forms import nfkc
+
 # What counts as not filled in, number units, currency signs, and the years that dates may have.
 EMPTY_MARKERS = ("无", "没有", "暂无", "—", "-", "/", "N/A", "NA", "null", "NULL", "None", "")
 UNITS = {"万": 10_000, "萬": 10_000, "亿": 100_000_000, "億": 100_000_000, "千": 1000, "k": 1000, "K": 1000, "w": 10_000, "W": 10_000}
@@ -28,21 +29,6 @@ NUMBER = T.DecimalType(38, 10)
 _MARK = "\x01"
 
 
-@F.arrow_udf(T.StringType())
-def _nfkc(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    for batch in texts:
-        yield pa.array([None if (x := v.as_py()) is None else unicodedata.normalize("NFKC", x) for v in batch], pa.string())
-
-
-@F.arrow_udf(T.ArrayType(T.StringType()))
-def _nfkc_all(rows: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    for batch in rows:
-        yield pa.array(
-            [None if (x := r.as_py()) is None else [None if v is None else unicodedata.normalize("NFKC", v) for v in x] for r in batch],
-            pa.list_(pa.string()),
-        )
-
-
 def half_width(text: Column) -> Column:
     """Full-width forms as half-width ones, all spaces removed."""
     return F.translate(text, _FULL + SPACES, _HALF)
@@ -55,18 +41,15 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def normalize_text(text: Column, compatibility: bool = True) -> Column:
-    """Half-width, without spaces, in Unicode compatibility form. With compatibility=False the last step, the only one
-    in Python, is left out, which is enough where there are no other compatibility characters."""
+    """Half-width, without spaces, in Unicode compatibility form. With compatibility=False the last step is left out, which
+    is enough where there are no other compatibility characters."""
     plain = half_width(text)
-    return F.trim(_nfkc(plain) if compatibility else plain)
+    return let(plain, lambda x: F.trim(nfkc(x))) if compatibility else F.trim(plain)
 
 
 def normalize_all(texts: Column) -> Column:
-    """array<string>: normalize_text of each of an array's texts, in one call of Python a row, which gets only texts that
-    another form may change: none of ASCII and common ideographs alone has one."""
-    half = F.transform(texts, half_width)
-    other = _nfkc_all(F.transform(half, lambda x: F.when(x.rlike(r"[^\x00-\x7F\u3400-\u4DB5\u4E00-\u9FA5]"), x)))
-    return F.zip_with(half, other, lambda a, b: F.trim(F.coalesce(b, a)))
+    """array<string>: normalize_text of each of an array's texts."""
+    return F.transform(texts, lambda x: normalize_text(x))
 
 
 def _plain(text: Column, normalized: bool, compatibility: bool) -> Column:

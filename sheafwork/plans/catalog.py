@@ -135,9 +135,20 @@ def fullwidth_translate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.char_length(text).cast("long").alias("n_chars_left"), F.sha2(text, 256).alias("text_sha256"))
 
 
-@query()
+#: Endings that other forms have, with what becomes of them.
+_FORMS = {"e\u0323\u0302": "\u1ec7", "\u3231": "(株)", "\uff76\uff9e": "ガ", "\u1112\u1161\u11ab": "한", "\u00bd": "1\u20442"}
+
+
+@query(
+    f"""
+    SELECT doc_id, trim(nfc_normalize(translate(text, ' ' || chr(12288) || chr(160) || chr(8203) || chr(8204) || chr(8205) || chr(9) || chr(13) || chr(10), '')))
+           || list_extract({list(_FORMS.values())}, CAST(doc_id % {len(_FORMS)} + 1 AS INTEGER)) AS text FROM documents
+    """
+)
 def nfkc_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", cleaning.normalize_text(F.col("text")).alias("text"))
+    """Texts with an ending that has another compatibility form."""
+    ending = F.get(F.array(*map(F.lit, _FORMS)), (F.col("doc_id") % len(_FORMS)).cast("int"))
+    return table(spark, sf_dir, "documents").select("doc_id", cleaning.normalize_text(F.concat("text", ending)).alias("text"))
 
 
 # Masks.

@@ -11,7 +11,10 @@ from sheafwork.functions import masking
 from sheafwork.operators.first_distinct import first_distinct
 from sheafwork.plans.catalog import Query, _folder, _sheet, table
 from sheafwork.plans.consolidate import Engine, Settings
+from sheafwork.plans.inbox import Inbox
+from sheafwork.sinks import tables
 from sheafwork.sources.csv_split import read_csv
+from sheafwork.sources.files import read_grids
 
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
@@ -50,6 +53,43 @@ def first_masked_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first_distinct(rows, ["nation"], "c_custkey", "phone", 3).select("nation", F.array_join("values", ",").alias("phones"))
 
 
+@query("SELECT CAST(row_number() OVER (ORDER BY o_orderkey) + 1 AS INTEGER) AS row_no, CAST(o_orderkey AS VARCHAR) AS orderkey, o_orderpriority AS priority, CAST(o_custkey AS VARCHAR) AS custkey FROM orders")
+def workbook_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders in order as a workbook, whose sheet is read again."""
+    path = f"{_folder(spark)}.xlsx"
+    tables.write_workbook(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_custkey").orderBy("o_orderkey"), path)
+    text = lambda k: F.get("cells", F.lit(k))["text"]
+    return read_grids(spark, path).where("row_no > 1").select("row_no", text(0).alias("orderkey"), text(1).alias("priority"), text(2).alias("custkey"))
+
+
+@query("SELECT file, CAST(count(*) AS BIGINT) AS n, CAST(sum(c_custkey) AS BIGINT) AS total FROM (SELECT c_custkey, CASE WHEN c_nationkey < 10 THEN 'a.csv' WHEN c_nationkey < 20 THEN 'b.csv' ELSE 'c.csv' END AS file FROM customer WHERE c_nationkey < 20 OR c_mktsegment = 'BUILDING') GROUP BY file")
+def growing_inbox(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as csv files of an inbox, one of which is changed and one added before the second run."""
+    base = _folder(spark)
+    folder, fs = f"{base}/in", spark._jvm.org.apache.hadoop.fs
+    files = fs.Path(folder).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+    def put(name: str, condition: str) -> None:
+        rows = table(spark, sf_dir, "customer").where(condition).select(F.concat(F.lit("学院"), "c_nationkey").alias("单位"), F.col("c_name").alias("姓名"), F.col("c_custkey").alias("人数"))
+        rows.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{base}/out/{name}")
+        part = next(s.getPath() for s in files.listStatus(fs.Path(f"{base}/out/{name}")) if s.getPath().getName().startswith("part-"))
+        files.mkdirs(fs.Path(folder))
+        files.delete(fs.Path(f"{folder}/{name}"), False)
+        files.rename(part, fs.Path(f"{folder}/{name}"))
+
+    inbox = Inbox(Engine(spark, Settings(this_year=2026)), folder, f"{base}/state")
+    put("a.csv", "c_nationkey < 10")
+    put("b.csv", "c_nationkey = 10")
+    inbox.refresh()
+    put("b.csv", "c_nationkey >= 10 AND c_nationkey < 20")
+    put("c.csv", "c_nationkey >= 20 AND c_mktsegment = 'BUILDING'")
+    read, gone = inbox.refresh()
+    if (read, gone) != (["b.csv", "c.csv"], []):
+        raise ValueError(f"read {read}, gone {gone}")
+    records = inbox.consolidate(["单位", "姓名", "人数"]).records
+    return records.groupBy(F.col("src_file").alias("file")).agg(F.count(F.lit(1)).alias("n"), F.sum("人数").cast("long").alias("total"))
+
+
 @query(
     """
     SELECT c_name AS unit, c_custkey AS f, CAST(c_nationkey AS BIGINT) AS file_rows, c_custkey + 1 AS own_row, c_mktsegment AS own_file, c_custkey % 7 AS own_source,
