@@ -3,9 +3,11 @@
 Base spans come from three patterns (assigned values, access key ids, hex runs). On top of them, base64 and hex
 candidates are decoded and are reported only if what they hold parses: a token whose header is a JSON object naming
 its algorithm, DER whose nested lengths add up and whose fields are those of a private key, an OpenSSH private key
-whose length-prefixed fields fill the body, or printable text that holds a base secret or a PEM private key itself.
+whose length-prefixed fields fill the body, or printable text that holds a base secret, a signed token or a PEM private
+key itself. A key between PEM marks may be quoted, have its line ends written as escapes, or be encrypted under headers
+that name the cipher; one without marks may go on over lines.
 
-Every row gives a result: a null or empty text has no spans. Texts are scanned whole, offsets are code points, end
+Every row gives a result: a null or empty text has no spans; an empty table stays empty. Texts are scanned whole, offsets are code points, end
 exclusive. Repeated rows each get their result, other columns pass through untouched; a column of the name asked for
 as output is replaced.
 """
@@ -41,11 +43,16 @@ _ASSIGN = re.compile(
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 # A run of the class cannot start inside a longer one, so the lookbehind spares retries and changes no match.
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{16,}")
-# Dots after a token end a sentence, unless more of a token follows. A single one that ends the text stays no match.
-_JWT = re.compile(
-    r"(?<![A-Za-z0-9_.-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)(?!\.*[A-Za-z0-9_-])(?!\.\Z)"
-)
-_PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*)PRIVATE KEY-----([A-Za-z0-9+/=\s]+)-----END \1PRIVATE KEY-----")
+# Dots after a token end a sentence, unless more of a token follows.
+_JWT = re.compile(r"(?<![A-Za-z0-9_.-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)(?!\.*[A-Za-z0-9_-])")
+# What is between the marks has none of them, so a search ends at the next one.
+_PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*)PRIVATE KEY-----([^-]*(?:-(?!----)[^-]*)*)-----END \1PRIVATE KEY-----")
+# Line ends and slashes as JSON and settings write them, marks of quoted lines, and the lines that tell of encryption.
+_ESCAPED_END, _QUOTED, _PEM_HEADER = re.compile(r"\\r\\n|\\[nrt]"), re.compile(r"^[ \t]*(?:[>|][ \t]?)+", re.M), re.compile(r"^([A-Za-z][A-Za-z0-9-]*):[ \t]*(.*)$", re.M)
+_CIPHER = re.compile(r"(DES|RC2|AES|CAMELLIA|SEED|BF|CAST5|IDEA)[A-Z0-9-]*,([0-9A-Fa-f]{16}|[0-9A-Fa-f]{32})")
+# The beginnings of keys in base64 at a line's or word's start, and the lines that one may go on in.
+_KEY_START = re.compile(r"(?<![A-Za-z0-9+/_=-])(?:M[C-I][A-Za-z0-9+/]{14}|b3BlbnNzaC1rZXktdjE)")
+_KEY_LINES = re.compile(r"[A-Za-z0-9+/]+(?:\r?\n[ \t>|]*[A-Za-z0-9+/]+)+")
 # The shortest base secret has 18 characters: an access key, or an assigned value with its name.
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}={0,2}")
 _HEX_ANY = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){18,}(?![0-9A-Fa-f])")
@@ -121,6 +128,8 @@ def is_der_private_key(data: bytes) -> bool:
     first = data[inner[0][1] : inner[0][2]]
     if tags[:9] == [0x02] * 9 and first in (b"\x00", b"\x01"):
         return True  # version, n, e, d, p, q and the three remainders
+    if tags == [0x02] * 6 and first == b"\x00":
+        return inner[1][2] - inner[1][1] >= 64  # version, p of 512 bits or more, q, g and the two keys
     if tags[:3] == [0x02, 0x30, 0x04] and first in (b"\x00", b"\x01"):
         algorithm = der_fields(data, *inner[1][1:])
         return bool(algorithm) and algorithm[0][0] == 0x06
@@ -132,10 +141,11 @@ def is_der_private_key(data: bytes) -> bool:
     return False
 
 
-def is_ssh_private_key(data: bytes) -> bool:
-    """The OpenSSH format: after the magic, length-prefixed fields and a count of keys that fill the body."""
+def ssh_key_length(data: bytes) -> int | None:
+    """Where an OpenSSH private key ends: after the magic, length-prefixed fields and a count of keys; None if the data
+    isn't one as far as it goes."""
     if not data.startswith(_SSH_MAGIC):
-        return False
+        return None
     at = len(_SSH_MAGIC)
 
     def field() -> bytes | None:
@@ -149,9 +159,14 @@ def is_ssh_private_key(data: bytes) -> bool:
         return data[at - size : at]
 
     if any(field() is None for _ in range(3)) or at + 4 > len(data):
-        return False
+        return None
     keys, at = int.from_bytes(data[at : at + 4], "big"), at + 4
-    return 1 <= keys <= 64 and all(field() is not None for _ in range(keys + 1)) and at == len(data)
+    return at if 1 <= keys <= 64 and all(field() is not None for _ in range(keys + 1)) else None
+
+
+def is_ssh_private_key(data: bytes) -> bool:
+    """The OpenSSH format, filling the data."""
+    return ssh_key_length(data) == len(data)
 
 
 def is_signed_token(head: str, body: str) -> bool:
@@ -174,26 +189,85 @@ def _key_kind(data: bytes | None) -> str | None:
     return "ssh_key" if is_ssh_private_key(data) else None
 
 
+def _is_pem_body(body: str) -> bool:
+    """What is between a private key's marks: base64 of a key, with line ends in any writing and lines quoted or not; or
+    headers that name a cipher and its start, and base64 of whole blocks."""
+    body = _QUOTED.sub("", _ESCAPED_END.sub("\n", body)).replace("\\/", "/")
+    headers = dict(_PEM_HEADER.findall(body))
+    data = unbase64(_PEM_HEADER.sub("", body)) if re.fullmatch(r"[A-Za-z0-9+/=\s]*", _PEM_HEADER.sub("", body)) else None
+    if "ENCRYPTED" in headers.get("Proc-Type", ""):
+        cipher = _CIPHER.fullmatch(headers.get("DEK-Info", "").strip())
+        return bool(cipher and data) and len(data) >= 32 and len(data) % (len(cipher[2]) // 2) == 0
+    return _key_kind(data) is not None
+
+
 def _pem_spans(text: str) -> list[tuple[str, int, int]]:
     if "-----BEGIN " not in text:
         return []
-    return [("pem_key", m.start(), m.end()) for m in _PEM.finditer(text) if _key_kind(unbase64(m[2]))]
+    return [("pem_key", m.start(), m.end()) for m in _PEM.finditer(text) if _is_pem_body(m[2])]
+
+
+def _jwt_spans(text: str) -> list[tuple[str, int, int]]:
+    if b"xxxxxxxx.xx" not in text.encode().translate(_TOKEN_CLASS):
+        return []
+    return [("jwt", m.start(), m.end()) for m in _JWT.finditer(text) if is_signed_token(m[1], m[2])]
+
+
+def _wrapped_spans(text: str) -> list[tuple[str, int, int]]:
+    """Keys in base64 without marks that go on over several lines. Their own lengths tell where they end, and how far to
+    look: lines have 16 characters or more for each six of line ends and indents."""
+    if "\n" not in text:
+        return []
+    found, past = [], 0
+    for m in _KEY_START.finditer(text):
+        if m.start() < past:
+            continue
+        head = base64.b64decode(m[0][:16])
+        if m[0][0] == "M":
+            n = head[1] & 0x7F
+            size = head[1] + 2 if head[1] < 0x80 else int.from_bytes(head[2 : 2 + n], "big") + 2 + n if 1 <= n <= 4 else 0
+            first = 2 if head[1] < 0x80 else 2 + n
+            if size < 40 or head[first] not in (0x02, 0x30):  # a key begins with its version or its algorithm
+                continue
+        reach = 2 * size + 4096 if m[0][0] == "M" else 1 << 20
+        if not (lines := _KEY_LINES.match(text, m.start(), m.start() + reach)):
+            continue
+        spots = [k.start() for k in re.finditer("[A-Za-z0-9+/]+", lines[0])]
+        body = re.sub(r"[^A-Za-z0-9+/]", "", lines[0])
+        data = base64.b64decode(body[: len(body) // 4 * 4] + (body[len(body) // 4 * 4 :] + "==")[: 4 if len(body) % 4 > 1 else 0])
+        size = size if m[0][0] == "M" else ssh_key_length(data)
+        if not size or size > len(data) or not (kind := _key_kind(data[:size])):
+            continue
+        left = (size * 8 + 5) // 6  # characters of the key itself
+        for spot in spots:
+            step = min(left, len(re.match("[A-Za-z0-9+/]+", lines[0][spot:])[0]))
+            left, end = left - step, m.start() + spot + step
+            if not left:
+                break
+        end += len(re.match("={0,2}", text[end : end + 2])[0])
+        if "\n" in text[m.start() : end]:
+            found.append((kind, m.start(), end))
+            past = end
+    return found
 
 
 def _holds_secret(data: bytes | None) -> bool:
-    """Printable ASCII with an assigned value, an access key or a PEM private key in it."""
-    if not data or not all(0x20 <= b < 0x7F or b in b"\t\r\n" for b in data):
+    """Printable text with an assigned value, an access key, a signed token or a PEM private key in it."""
+    try:
+        text = data.decode() if data else ""
+    except UnicodeDecodeError:
+        return False
+    if not text or not all(c.isprintable() or c in "\t\r\n" for c in text):
         return False
-    text = data.decode("ascii")
-    return any(kind != "hex" for kind, _, _ in base_spans(text)) or bool(_pem_spans(text))
+    return any(kind != "hex" for kind, _, _ in base_spans(text)) or bool(_pem_spans(text)) or bool(_jwt_spans(text))
 
 
 def structural_spans(text: str) -> list[tuple[str, int, int]]:
     """The spans whose decoded content parses."""
-    found, raw = [], text.encode()
-    if b"xxxxxxxx.xx" in raw.translate(_TOKEN_CLASS):
-        found += [("jwt", m.start(), m.end()) for m in _JWT.finditer(text) if is_signed_token(m[1], m[2])]
-    found += _pem_spans(text)
+    found, raw = _jwt_spans(text), text.encode()
+    marked = _pem_spans(text)
+    found += marked
+    found += [w for w in _wrapped_spans(text) if not any(a <= w[1] and w[2] <= b for _, a, b in marked)]
     runs = b"x" * 24 in raw.translate(_BASE64_CLASS)
     for m in _BASE64.finditer(text) if runs else ():
         data = unbase64(m[0])

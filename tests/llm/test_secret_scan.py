@@ -2,6 +2,7 @@ import base64
 import hashlib
 import json
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -39,7 +40,7 @@ def plain_base(text):
         ("x " + PKCS1.hex() + " y", ["hex", "hex_key"]),
         ("-----BEGIN RSA PRIVATE KEY-----\n" + "\n".join(re.findall(".{1,64}", B64(PKCS1))) + "\n-----END RSA PRIVATE KEY-----", ["pem_key"]),
         ("é " + B64(SSH), ["ssh_key"]),
-        ("Bearer " + JWT + ".", []),
+        ("Bearer " + JWT + ".", ["jwt"]),
         ("Bearer " + JWT + " ok", ["jwt"]),
         (B64(b"user=bob password=abcdefghijklmnop"), ["encoded"]),
         (B64(PKCS1[:-1]), []),
@@ -78,6 +79,52 @@ def test_secrets_by_what_is_around_them(text, secret, kind):
     assert (kind, at, at + len(secret)) in s.all_spans(text)
 
 
+DSA = der(0x30, der(2, b"\0"), *[der(2, bytes([i + 1]) * (64 if i != 1 else 20)) for i in range(5)])
+LINES = lambda x, n=64: "\n".join(re.findall(f".{{1,{n}}}", x))
+MARKED = lambda body, name="RSA ": f"-----BEGIN {name}PRIVATE KEY-----\n{body}\n-----END {name}PRIVATE KEY-----"
+LOCKED = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC," + "0A" * 16 + "\n\n" + LINES(B64(bytes(range(160))))
+
+
+@pytest.mark.parametrize(
+    "before, secret, behind, kind",
+    [
+        ("", MARKED(LINES(B64(DSA)), "DSA "), "", "pem_key"),
+        ("k: ", B64(DSA), " x", "der_key"),
+        ('{"key": "', MARKED(LINES(B64(PKCS1))).replace("\n", "\\n"), '\\n"}', "pem_key"),
+        ("KEY='", MARKED(LINES(B64(PKCS1))).replace("\n", "\\r\\n").replace("/", "\\/"), "'", "pem_key"),
+        ("", MARKED(LOCKED), "\n", "pem_key"),
+        ("> ", MARKED(LINES(B64(PKCS1))).replace("\n", "\n> "), "\n> ok", "pem_key"),
+        (">> ", MARKED(LOCKED).replace("\n", "\n>> "), "", "pem_key"),
+        ("Here:\n", LINES(B64(PKCS1)), "\nThen it goes on.", "der_key"),
+        ("x\n  ", LINES(B64(PKCS1), 76).replace("\n", "\r\n  "), "\r\n", "der_key"),
+        ("x\n", LINES(B64(SSH), 70), "\nwords", "ssh_key"),
+        ("x ", B64("müller: password=abcdefghijklmnop".encode()), " y", "encoded"),
+        ("x ", B64(b"token is here: " + JWT.encode()), "", "encoded"),
+        ("", JWT, ".", "jwt"),
+    ],
+)
+def test_writings_of_keys(before, secret, behind, kind):
+    assert (kind, len(before), len(before) + len(secret)) in s.all_spans(before + secret + behind)
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        MARKED(LOCKED.replace("AES-128-CBC", "NONE")), MARKED(LOCKED[:-8]), MARKED("Proc-Type: 4,ENCRYPTED\n\n" + B64(bytes(64))), MARKED("no key - at all"), "x\n" + LINES(B64(PKCS1[:-40])) + "\n",
+        LINES(B64(b"\x30\x82\x01\x00" + bytes(300))), B64(der(0x30, *[der(2, b"\0")] * 6)), B64(b"\xff\xfe password=abcdefghijklmnop"), MARKED("") , "-----BEGIN PRIVATE KEY-----" * 50,
+    ],
+)
+def test_no_key_by_its_writing(text):
+    assert not [x for x in s.all_spans(text) if x[0] not in s.BASE_KINDS]
+
+
+@pytest.mark.parametrize("text", ["-----BEGIN PRIVATE KEY-----\n" * 20_000, ("MIIE" + "A" * 60 + "\n") * 8_000, "MIIE" * 100_000, "a-" * 200_000])
+def test_long_texts_end_soon(text):
+    began = time.time()
+    s.all_spans(text)
+    assert time.time() - began < 5
+
+
 @pytest.mark.parametrize("text", [JWT + ".more", JWT + "..more", "K=" + B64(bytes(range(60))), B64(b"nothing to see here"), "00" * 20])
 def test_no_secret_by_structure(text):
     assert not [x for x in s.all_spans(text) if x[0] not in s.BASE_KINDS]
