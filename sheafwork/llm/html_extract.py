@@ -7,12 +7,16 @@ its path's ratio if it is content, not mostly links, and else nothing; weights d
 
 - An element that a class, id or role, a form or page header marks as something else than the article goes, unless it
   holds the article by weight: an article or main element of more weight than all that isn't marked, or most of the
-  page's weight with next to nothing outside of it. Reader comments go even if they outweigh the article.
-- The article is the article (else main) element of most weight. Without one it is the least element with three
-  quarters of the weight, and content outside of it stays too.
-- In an article or main element every block is kept. Elsewhere what isn't content is kept between the title and the last
-  content, and as headings and, later, list items, cells and the like within the article; the rest (copyright lines,
-  tags, crumbs) goes.
+  page's weight with next to nothing outside of it. Reader comments go even if they outweigh the article. A class of
+  which such a word is only a part (alert-history), or a topic of texts too (discussion, in an article), lowers the
+  element's score, the mean of its paths' ratios over its text; it goes if that is below the threshold.
+- The article is the article (else main) element of most weight, with other articles and parts beside it of at least
+  half its weight. Without one it is the least element with three quarters of the weight, and content outside of it stays
+  too.
+- In an article or main element content stays, and, unless it is mostly links, what lies between its content, running
+  text before and after that, and headings; lists of links, share and tag lines around it go. Elsewhere what isn't
+  content is kept between the title and the last content, and as headings and, later, list items, cells and the like
+  within the article; the rest (copyright lines, tags, crumbs) goes.
 
 Navigation, footers, asides, buttons, dialogs, scripts, styles, templates and comments in the markup are never text.
 Character references are decoded, white space inside a block becomes one space (a line break is white space), blocks
@@ -68,12 +72,33 @@ HINTS = frozenset(
 )
 #: Those of reader comments, whose id marks a section within an article too.
 COMMENTS = frozenset(("comment", "comments", "disqus", "replies"))
+#: Hints that are also what a part of an article is about: alone in a class there, they only lower its score.
+TOPICS = frozenset(("discussion", "related", "social", "promotion", "consent", "subscription"))
+#: Words that say no more than that an element is a part of the page: beside a hint, they leave it as it is.
+PARTS = frozenset(
+    ("area", "bar", "block", "body", "bottom", "box", "button", "buttons", "col", "column", "container", "content", "entry", "group", "icon", "icons", "inner",
+     "item", "items", "label", "left", "link", "links", "list", "main", "outer", "page", "panel", "posts", "articles", "stories", "right", "row", "section",
+     "site", "slot", "text", "title", "top", "unit", "wrap", "wrapper", "primary", "secondary", "global", "mobile", "desktop")
+)
+#: What a hint beside other words leaves of an element's score. A path of near the highest score passes any threshold with it,
+#: as a deviation of values up to 1 is at most a half.
+LOWERED = 0.7
+#: Lines about the page that have an article's tag path as often as not; they go at its edges.
+ABOUT = re.compile(
+    r"(?:©|\(c\)|copyright\b)|.*\ball rights reserved\b|(?:tags?|topics?|categor(?:y|ies)|filed under|posted in)\s*:"
+    r"|(?:share|tweet|follow us|teilen|partager|compartir)(?:\s+(?:this|it|on|via|by|auf|sur|en)\b[^.!?]*)?$",
+    re.I,
+)
+ABOUT_CHARS = 120
+#: Of the article's weight, what another article, or a part of the page beside it, needs to stay with it.
+BESIDE = 0.5
 #: A word in a class or id that these come before tells of the page's layout, and so does one before the last two.
 LAYOUT = frozenset(("no", "has", "with", "without"))
 STATES = frozenset(("open", "closed"))
 TITLES = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 #: Elements of running text: in an article, a class that a hint is only a part of doesn't mark them if they hold sentences.
 RUNNING = TITLES | {"p", "blockquote", "pre", "li", "dt", "dd", "td", "th", "figcaption"}
+BESIDES = frozenset(("article", "section", "div"))
 ROLES = frozenset(("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "form"))
 PUNCTUATION = re.compile(r"[.,;:!?…¿¡。，、；：！？]")
 #: Of the standard deviation of the fused series; paths at or above it are content.
@@ -85,9 +110,9 @@ ARTICLE_SHARE = 0.75
 _WEAK, _MARK, _READERS = 1, 2, 3
 
 
-def _mark(tag: str, attributes: str, in_article: bool) -> int:
-    """Whether an element is marked as something else than the article: 0 no, 1 unless it holds sentences, 2 yes, 3 as
-    reader comments."""
+def _mark(tag: str, attributes: str, in_article: bool, in_main: bool) -> int:
+    """Whether an element is marked as something else than the article: 0 no, 1 its score is lowered, 2 yes, 3 as reader
+    comments."""
     found = _MARK if tag in AROUND or tag == "header" and not in_article else 0
     if not attributes.strip() or tag in ("html", "body", "main") or tag == "article" and "comment" not in attributes:
         return found
@@ -105,7 +130,9 @@ def _mark(tag: str, attributes: str, in_article: bool) -> int:
             if in_article and name == "id" and (tag in TITLES or tag == "section" and COMMENTS.isdisjoint(hints)):
                 continue  # an anchor
             if hints:
-                found = max(found, _READERS if not COMMENTS.isdisjoint(hints) else _WEAK if in_article and tag in RUNNING and len(hints) < len(words) else _MARK)
+                others = [w for w in words if w not in HINTS and w != "header" and len(w) > 2]
+                weak = len(hints) < len(words) if in_article and tag in RUNNING else not PARTS.issuperset(others) or in_main and TOPICS.issuperset(words)
+                found = max(found, _READERS if not COMMENTS.isdisjoint(hints) else _WEAK if weak else _MARK)
     return found
 
 
@@ -198,11 +225,11 @@ class Page:
         if tag not in INLINE:
             self._flush()
             place = self._top(CLOSES.get(tag, ("p",)))
-            if place > self._top(_BARRIERS if tag in CLOSES else _P_BARRIERS):
+            if place >= 0 and place > self._top(_BARRIERS if tag in CLOSES else _P_BARRIERS):
                 self._pop_to(place)
         parent, in_article = self._stack[-1], bool(self._open["article"])
         outside = self.outside[parent] or tag in RAW or tag in OUTSIDE
-        mark = 0 if outside else _mark(tag, attributes, in_article)
+        mark = 0 if outside else _mark(tag, attributes, in_article, in_article or bool(self._open["main"]))
         if tag in INLINE and (mark or outside != self.outside[parent]):
             self._flush()  # a marked span parts the text around it
         path = self.paths[parent]
@@ -257,12 +284,16 @@ def path_ratios(paths: list, texts: list[str]) -> list[float]:
     return [math.sqrt(a / top_length * b / top_marks) for a, b in zip(by_length, by_marks)]
 
 
-def selected(fused: list[float]) -> list[bool]:
+def threshold(fused: list[float]) -> float:
     if not fused:
-        return []
+        return 0.0
     mean = sum(fused) / len(fused)
-    spread = math.sqrt(sum((x - mean) ** 2 for x in fused) / len(fused))
-    return [x >= THRESHOLD * spread for x in fused]
+    return THRESHOLD * math.sqrt(sum((x - mean) ** 2 for x in fused) / len(fused))
+
+
+def selected(fused: list[float]) -> list[bool]:
+    least = threshold(fused)
+    return [x >= least for x in fused]
 
 
 def _sums(page: Page, values: list[float]) -> list[float]:
@@ -275,37 +306,42 @@ def _sums(page: Page, values: list[float]) -> list[float]:
     return out
 
 
-def _ratios(page: Page) -> tuple[list[bool], list[float]]:
-    """Of each block, whether it is content by its path, and its weight."""
+def _ratios(page: Page) -> tuple[list[float], list[bool], list[float]]:
+    """Of each block, its path's ratio, whether it is content by that, and its weight."""
     fused = path_ratios([page.paths[e] for e in page.elements], page.texts)
     content = selected(fused)
-    return content, [len(t) * x if c and 2 * a <= len(t) else 0.0 for t, x, c, a in zip(page.texts, fused, content, page.linked)]
+    return fused, content, [len(t) * x if c and 2 * a <= len(t) else 0.0 for t, x, c, a in zip(page.texts, fused, content, page.linked)]
 
 
-def _dropped(page: Page, weights: list[float]) -> list[bool]:
+def _dropped(page: Page, fused: list[float], weights: list[float]) -> list[bool]:
     """Of each element, whether it is, or is in, one that is marked and doesn't hold the article."""
     n = len(page.tags)
     marked, gone = [False] * n, [False] * n
-    for e in range(1, n):
-        marked[e] = marked[page.parents[e]] or page.marks[e] > 0
-    if not any(marked):
+    if not any(page.marks):
         return gone
     weight = _sums(page, weights)
+    # A lowered score: the mean of the paths' ratios by text; what is mostly links counts nothing.
+    scores = _sums(page, [LOWERED * len(t) * x if 2 * a <= len(t) else 0.0 for t, x, a in zip(page.texts, fused, page.linked)])
+    sizes, least = _sums(page, [float(len(t)) for t in page.texts]), threshold(fused)
     sentences = _sums(page, [float(2 * a <= len(t) and PUNCTUATION.search(t) is not None) for t, a in zip(page.texts, page.linked)])
     titles = _sums(page, [float(page.titled[e]) for e in page.elements])
+    marks = list(page.marks)
+    for e in range(1, n):
+        if marks[e] == _WEAK:
+            spared = sentences[e] or page.tags[e] in TITLES if page.nested[e] and page.tags[e] in RUNNING else scores[e] >= least * sizes[e]
+            marks[e] = 0 if spared else _WEAK
+        marked[e] = marked[page.parents[e]] or marks[e] > 0
     free = sum(w for e, w in zip(page.elements, weights) if not marked[e])
     articles = [0.0] * n  # of each element, the weight of unmarked articles in it
     for e in range(n - 1, 0, -1):
-        articles[page.parents[e]] += weight[e] if page.tags[e] in ("article", "main") and not page.marks[e] else articles[e]
+        articles[page.parents[e]] += weight[e] if page.tags[e] in ("article", "main") and not marks[e] else articles[e]
     for e in range(1, n):
         gone[e] = gone[page.parents[e]]
-        if gone[e] or not page.marks[e]:
-            continue
-        if page.marks[e] == _WEAK and (sentences[e] or page.tags[e] in TITLES):
+        if gone[e] or not marks[e]:
             continue
         if articles[e] and articles[e] >= free and not page.nested[e]:
             continue
-        most, alone = 2 * weight[e] > weight[0], free == 0 if page.marks[e] == _READERS else 10 * free < weight[e]
+        most, alone = 2 * weight[e] > weight[0], free == 0 if marks[e] == _READERS else 10 * free < weight[e]
         gone[e] = not (most and (titles[e] or alone and sentences[e]))
     return gone
 
@@ -317,17 +353,44 @@ def _above(page: Page, element: int) -> int:
     return element
 
 
+def _within(page: Page, span: tuple[int, int], content: list[bool], own: list[bool], about: list[bool]) -> list[str]:
+    """The blocks in an article or main element that are its text. Between the first and the last content of its paths
+    everything stays but lists of links; before and after, content and running text do, and headings anywhere. A line
+    about the page goes there only outside of running text: in it, it may be the article's own."""
+    places = [k for k, e in enumerate(page.elements) if span[0] <= e <= span[1]]
+    sure = [k for k in places if content[k] and own[k] and not about[k]]  # what is about the page bounds nothing
+    if not sure:
+        return [page.texts[k] for k in places]
+    texts = {page.paths[page.elements[k]] for k in sure}  # paths that hold text; a path of links alone needs sentences
+    out = []
+    for k in places:
+        tags = {page.tags[page.elements[k]], page.tags[page.parents[page.elements[k]]]}
+        sentence = PUNCTUATION.search(page.texts[k]) is not None
+        running = not RUNNING.isdisjoint(tags)
+        if sure[0] <= k <= sure[-1]:
+            kept = own[k] or content[k] and (sentence or page.paths[page.elements[k]] in texts)
+        elif about[k] and not running:
+            kept = False
+        else:
+            kept = own[k] and (content[k] or running) or content[k] and sentence
+        if kept or not TITLES.isdisjoint(tags):
+            out.append(page.texts[k])
+    return out
+
+
 def extract_blocks(source: str | None) -> list[str]:
     """The blocks of the article, in page order."""
     if not source:
         return []
     page = Page(source)
-    gone = _dropped(page, _ratios(page)[1])
+    fused, _, weights = _ratios(page)
+    gone = _dropped(page, fused, weights)
     left = [k for k, e in enumerate(page.elements) if not gone[e]]
     if not left:
         return []
     page.elements, page.texts, page.linked = ([x[k] for k in left] for x in (page.elements, page.texts, page.linked))
-    content, weights = _ratios(page)
+    _, content, weights = _ratios(page)
+    about = [len(t) <= ABOUT_CHARS and ABOUT.match(t) is not None for t in page.texts]
     own = [2 * a <= len(t) for t, a in zip(page.texts, page.linked)]
     if not any(weights):  # links only
         weights = [float(len(t)) if c else 0.0 for t, c in zip(page.texts, content)]
@@ -342,13 +405,20 @@ def extract_blocks(source: str | None) -> list[str]:
         found = [e for e in range(1, n) if page.tags[e] == tag and weight[e] > 0]
         if found:
             root = max(found, key=lambda e: (weight[e], -depth[e], -e))
-            return [t for e, t in zip(page.elements, page.texts) if root <= e <= last[root]]
+            beside = [e for e in range(1, n) if page.tags[e] == tag or page.tags[e] in BESIDES and page.parents[e] == page.parents[root]]
+            roots: list[int] = []
+            for e in sorted({root, *(e for e in beside if weight[e] >= BESIDE * weight[root] and not e <= root <= last[e])}):
+                if not roots or e > last[roots[-1]]:
+                    roots.append(e)
+            return [t for e in roots for t in _within(page, (e, last[e]), content, own, about)]
     root = max((e for e in range(n) if weight[e] >= ARTICLE_SHARE * weight[0]), key=lambda e: (depth[e], -e))
     while page.tags[root] in RUNNING | INLINE | {"ul", "ol", "dl", "tr", "tbody", "table"} and page.parents[root] > 0:
         root = page.parents[root]
     inside = [root <= e <= last[root] for e in page.elements]
     # The page's title stays where it stands within the least element around all that is content, and what it leads in.
     chosen = [c and (o or i) for c, o, i in zip(content, own, inside)]
+    plain = [c and not a for c, a in zip(chosen, about)]
+    chosen = plain if any(plain) else chosen
     held = _sums(page, [float(c) for c in chosen])
     around = max((e for e in range(n) if held[e] == held[0]), key=lambda e: (depth[e], -e))
     first, final = chosen.index(True), len(chosen) - 1 - chosen[::-1].index(True)
@@ -359,6 +429,8 @@ def extract_blocks(source: str | None) -> list[str]:
         tags = {page.tags[e], page.tags[page.parents[e]]}
         title = k == start or page.titled[e] and (content[k] or around <= e <= last[around])
         running = not RUNNING.isdisjoint(tags)
+        if about[k] and not first <= k <= final:
+            continue
         within = start < k < final or running and k > start or not TITLES.isdisjoint(tags)
         if title or chosen[k] or own[k] and (within if inside[k] else start < k < first and running):
             out.append(text)

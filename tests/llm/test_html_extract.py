@@ -121,6 +121,47 @@ def test_ratios_decide_without_marks(monkeypatch):
     assert sum(h.extract_blocks(p) != want for p in BARE) == 7
 
 
+#: Articles with something else in them, or parts of the article under a word that tells of something else elsewhere.
+INSIDE = [
+    (f"<article>{ARTICLE}<section class=discussion><h2>Discussion</h2><p>{ONE}</p></section></article>", ["Discussion", ONE]),
+    (f"<article>{ARTICLE}<div class=related-work><p>{TWO}</p></div></article>", [TWO]),
+    (f"<main>{ARTICLE}<div class=alert-history>{ONE}</div></main>", [ONE]),
+    (f"<article>{ARTICLE}</article><div class=social-science-lesson><p>{ONE} {TWO}</p></div>", [f"{ONE} {TWO}"]),
+    (f"<article>{ARTICLE}</article><article><p>{ONE} {TWO}</p><p>{TWO} {ONE}</p></article>", [f"{ONE} {TWO}", f"{TWO} {ONE}"]),
+    (f"<article>{ARTICLE}<p><a href=1>{ONE}</a></p></article>", [ONE]),
+    (f"<article>{ARTICLE}<h2><a href=#x>Part</a></h2><p>{ONE}</p><p>Copyright law, all rights reserved.</p></article>", ["Part", ONE, "Copyright law, all rights reserved."]),
+]
+MENUS = [
+    "<article><ul><li><a href=1>Home</a><li><a href=2>Shop</a></ul>%s</article>",
+    "<main>%s<ul><li><a href=1>Home</a><li><a href=2>Shop</a></ul></main>",
+    "<article><div><a href=1>Home</a> <a href=2>Sea</a></div>%s<div>Share on Twitter</div><div>Tags: a, b</div></article>",
+    "<article>%s<div>12 May</div></article>",
+    "<article>%s<div class=related-reading><div>Sea</div><div>Wind</div></div></article>",
+]
+
+
+@pytest.mark.parametrize("page, more", INSIDE)
+def test_words_only_lower_the_score_of_parts_of_an_article(page, more):
+    assert h.extract_blocks(page) == ["Title", f"{ONE} {TWO}", f"{TWO} {ONE}", *more]
+
+
+def test_ratios_decide_within_an_article(monkeypatch):
+    want = ["Title", f"{ONE} {TWO}", f"{TWO} {ONE}"]
+    pages = [m % ARTICLE for m in MENUS]
+    assert [h.extract_blocks(p) for p in pages] == [want] * len(MENUS)
+    assert h.extract_blocks(f"<article>{ARTICLE}<ul><li><a href=1>Home</a></ul><p>{ONE}</p></article>") == [*want, ONE]
+    monkeypatch.setattr(h, "threshold", lambda fused: 0.0)
+    assert sum(h.extract_blocks(p) != want for p in pages) == 2  # the others hold links or lines about the page
+
+
+@pytest.mark.parametrize("line", ["Share on Twitter", "Tags: a, b", "Copyright 2020 Foo Inc.", "All rights reserved"])
+def test_lines_about_a_page_without_article(line):
+    want = ["Title", f"{ONE} {TWO}", f"{TWO} {ONE}"]
+    for page in (f"<div>{ARTICLE}<p>{line}</p></div>", f"<div>{ARTICLE}</div><p>{line}</p>", f"<p>{line}</p><div>{ARTICLE}</div>"):
+        assert h.extract_blocks(page) == want
+    assert h.extract_blocks(f"<div>{ARTICLE}<p>{line}</p><p>{ONE}</p></div>") == [*want, line, ONE]
+
+
 class Plain(HTMLParser):
     """Blocks and their tag paths of a well-formed page, by another parser."""
 
