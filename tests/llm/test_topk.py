@@ -79,6 +79,32 @@ def test_trees_are_unpacked_once_a_lane(spark, tmp_path, monkeypatch):
     assert "tree" not in plan and plan.count("RepartitionBy") >= 1
 
 
+def test_most_pairs_of_block_and_shard_never_meet_for_grouped_rows(spark):
+    r = np.random.default_rng(2)
+    centres = r.integers(-50, 50, (32, 8))
+    vectors = np.repeat(centres, 64, axis=0) + r.integers(-1, 2, (2048, 8))
+    frame = spark.createDataFrame([(i, x) for i, x in enumerate(vectors.tolist())], "vec_id long, vector array<long>")
+    asked = frame.where("vec_id % 5 = 0")
+    shards, blocks = topk.packed(frame, asked)
+    pairs, n_shards = shards.count() * blocks.count(), shards.count()
+    sent = topk.reached(shards, blocks, 5)
+    assert n_shards >= 24 and sent.count() < pairs / 3
+    rows = dict(enumerate(vectors.tolist()))
+    assert found(frame, asked, 5) == plain(rows, {i: x for i, x in rows.items() if i % 5 == 0}, 5)
+
+
+def test_cells_hold_all_rows_once_whatever_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(topk, "SAMPLE_ROWS", 100)
+    rows = {i: [i % 3, 7, 7 if i % 3 else i] for i in range(900)}  # two thirds in two points
+    frame = spark.createDataFrame(list(rows.items()), "vec_id long, vector array<long>")
+    shards, _ = topk.packed(frame, frame)
+    sizes = [topk._unpacked(bytes(x.data))["ids"] for x in shards.collect()]
+    assert sorted(i for x in sizes for i in x.tolist()) == list(range(900))
+    assert max(map(len, sizes)) <= 120 and [x.shard for x in shards.orderBy("shard").collect()] == list(range(len(sizes)))
+    queries = {i: x for i, x in rows.items() if i % 90 == 0}
+    assert found(frame, frame.where("vec_id % 90 = 0"), 5) == plain(rows, queries, 5)
+
+
 def test_odd_rows(spark):
     rows = [(1, [1, 2], "a"), (1, [1, 3], "a"), (2, [0, 1], "b"), (2, [0, 1], "b"), (3, None, "c"), (None, [9, 9], "d"), (4, [1, None], "e"), (5, [1], "f"), (6, [], "g"), (7, [2], None)]
     frame = spark.createDataFrame(rows, "vec_id long, vector array<long>, score string")
