@@ -25,15 +25,19 @@ def _value(field: str) -> Column:
 
 
 def _has(field: str) -> Column:
-    return F.coalesce(F.trim(F.regexp_replace(_value(field), r"[\s　]+", "")) != "", F.lit(False))
+    return _filled(_value(field))
 
 
-def _issue(level: Column | str, rule: str, problem: Column, suggestion: Column | str, at: tuple[Column, Column, Column], column: Column | str, value: Column | None, order: Column | int) -> list[Column]:
+def _filled(value: Column) -> Column:
+    return F.coalesce(value.rlike(r"[^\s　]"), F.lit(False))
+
+
+def _issue(level: Column | str, rule: Column | str, problem: Column, suggestion: Column | str, at: tuple[Column, Column, Column], column: Column | str, value: Column | None, order: Column | int) -> list[Column]:
     as_col = lambda x: x if isinstance(x, Column) else F.lit(x)
     file, sheet, row = at
     empty = F.lit(None).cast("string")
     return [
-        as_col(level).alias("level"), F.lit(rule).alias("rule"), problem.alias("problem"), as_col(suggestion).alias("suggestion"),
+        as_col(level).alias("level"), as_col(rule).alias("rule"), problem.alias("problem"), as_col(suggestion).alias("suggestion"),
         file.alias("file"), sheet.alias("sheet"), row.cast("int").alias("row"), as_col(column).alias("column"),
         (empty if value is None else value.cast("string")).alias("value"), as_col(order).cast("int").alias("field_order"),
     ]
@@ -91,28 +95,36 @@ def _file_issues(states: DataFrame, fields: list[str]) -> DataFrame:
 
 
 def _row_issues(records: DataFrame, fields: list[str], rules: tuple[str, ...], states: DataFrame | None) -> DataFrame:
-    """What rules (missing, type_outlier, sparse_row) find in single rows, in one pass."""
-    kind = "array<struct<level:string,rule:string,problem:string,suggestion:string,file:string,sheet:string,row:int,column:string,value:string,field_order:int>>"
+    """What rules (missing, type_outlier, sparse_row) find in single rows, in one pass: first which rule holds for which
+    field, as a number; texts are only written for what is found."""
     found, name = [], n.unused("state", records.columns)
     for k, f in enumerate(fields):
         state, value, has = F.get(F.col(name)["f"], F.lit(k)), _value(f), _has(f)
         if "missing" in rules:
-            problem = F.format_string(f"{f.replace('%', '%%')} is empty, but %d other rows have it", state["all_has"])
-            found.append(F.when(state["each"] & ~has, F.struct(*_issue("warning", "missing", problem, "Check whether it was forgotten", _here(), f, None, k))))
+            found.append(F.when(state["each"] & ~has, F.lit(3 * k)))
         if "type_outlier" in rules:
             odd = has & c.parse_number(value, normalized=True).isNull() & c.parse_date(value, normalized=True).isNull()
-            problem = F.format_string(f"{f.replace('%', '%%')} is mostly numbers, this one is %s", value)
-            found.append(F.when(state["numeric"] & odd, F.struct(*_issue("warning", "type_outlier", problem, "Check whether it is a slip", _here(), f, value, k))))
+            found.append(F.when(state["numeric"] & odd, F.lit(3 * k + 1)))
     if "sparse_row" in rules and len(fields) >= 3:
         filled = sum((_has(f).cast("int") for f in fields), F.lit(0))
-        problem = F.format_string(f"only %d of {len(fields)} fields are filled", filled)
-        sparse = F.struct(*_issue("warning", "sparse_row", problem, "Check whether the row was finished", _here(), "", None, len(fields)))
-        found.append(F.when((filled > 0) & (filled / len(fields) < SPARSE_SHARE), sparse))
+        found.append(F.when((filled > 0) & (filled / len(fields) < SPARSE_SHARE), F.lit(3 * len(fields) + 2)))
     if not found:
         return _nothing(records)
-    at = F.filter(F.array(*found).cast(kind), lambda x: x.isNotNull())
     rows = records if states is None else _by_file(records, states, name)
-    return rows.select(F.explode(at).alias("i")).select("i.*")
+    state = F.lit(None).cast("array<struct<all_has:bigint>>") if states is None else F.col(name)["f"]
+    at = rows.select("src_file", "src_sheet", "src_row", F.array(*map(_value, fields)).alias("values"), state.alias("state"), F.explode(F.array_compact(F.array(*found))).alias("code"))
+    at = at.withColumn("k", F.floor(F.col("code") / 3).cast("int"))
+    names, rule = F.array(*map(F.lit, fields)), F.col("code") % 3
+    field, value = F.get(names, "k"), F.when(rule == 1, F.get("values", F.col("k")))
+    problem = (
+        F.when(rule == 0, F.format_string("%s is empty, but %d other rows have it", field, F.get("state", F.col("k"))["all_has"]))
+        .when(rule == 1, F.format_string("%s is mostly numbers, this one is %s", field, value))
+        .otherwise(F.format_string(f"only %d of {len(fields)} fields are filled", F.size(F.filter("values", _filled))))
+    )
+    rule_name, advice = F.get(F.array(*map(F.lit, ("missing", "type_outlier", "sparse_row"))), rule), F.array(
+        F.lit("Check whether it was forgotten"), F.lit("Check whether it is a slip"), F.lit("Check whether the row was finished")
+    )
+    return at.select(*_issue("warning", rule_name, problem, F.get(advice, rule), _here(), F.coalesce(field, F.lit("")), value, F.col("k")))
 
 
 def missing(records: DataFrame, fields: list[str]) -> DataFrame:
