@@ -12,7 +12,7 @@ from sheafwork.operators.first_distinct import first_distinct
 from sheafwork.plans.catalog import Query, _folder, _sheet, table
 from sheafwork.plans.consolidate import Engine, Settings
 from sheafwork.plans.inbox import Inbox
-from sheafwork.sinks import tables
+from sheafwork.sinks import tables, workbook
 from sheafwork.sources.csv_split import read_csv
 from sheafwork.sources.files import read_grids
 
@@ -55,11 +55,11 @@ def first_masked_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT CAST(row_number() OVER (ORDER BY o_orderkey) + 1 AS INTEGER) AS row_no, CAST(o_orderkey AS VARCHAR) AS orderkey, o_orderpriority AS priority, CAST(o_custkey AS VARCHAR) AS custkey FROM orders")
 def workbook_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders in order as a workbook, whose sheet is read again."""
+    """Orders in order as a workbook, whose sheets are read again as one."""
     path = f"{_folder(spark)}.xlsx"
     tables.write_workbook(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_custkey").orderBy("o_orderkey"), path)
     text = lambda k: F.get("cells", F.lit(k))["text"]
-    return read_grids(spark, path).where("row_no > 1").select("row_no", text(0).alias("orderkey"), text(1).alias("priority"), text(2).alias("custkey"))
+    return workbook.rejoined(read_grids(spark, path)).select("row_no", text(0).alias("orderkey"), text(1).alias("priority"), text(2).alias("custkey"))
 
 
 @query("SELECT file, CAST(count(*) AS BIGINT) AS n, CAST(sum(c_custkey) AS BIGINT) AS total FROM (SELECT c_custkey, CASE WHEN c_nationkey < 10 THEN 'a.csv' WHEN c_nationkey < 20 THEN 'b.csv' ELSE 'c.csv' END AS file FROM customer WHERE c_nationkey < 20 OR c_mktsegment = 'BUILDING') GROUP BY file")

@@ -20,7 +20,7 @@ from decimal import Decimal
 from xml.sax.saxutils import escape
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows of a sheet with its header, characters of a cell, rows and bytes of a block, rows that widths are taken from.
@@ -253,6 +253,17 @@ def write(df: DataFrame, path: str, scratch: str, highlighted: set[str] | None =
     return sum(b["rows"] for blocks in sheets for _, _, b in blocks)
 
 
+def rejoined(grids: DataFrame, name: str = "Sheet1") -> DataFrame:
+    """(file, row_no, cells): the rows below the headers of workbooks that write has made, as read_grids gives them, with
+    numbers that go on through the sheets as if one sheet held all rows. What is known of a sheet is one row."""
+    rows = grids.where(F.col("row_no") > 1)
+    place = F.when(F.col("sheet") == name, 1).otherwise(F.regexp_extract("sheet", " ([0-9]+)$", 1).try_cast("int"))
+    before = Window.partitionBy("file").orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy("file", "sheet").agg((F.max("row_no") - 1).alias("rows"))
+    starts = sizes.select("file", "sheet", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("start"))
+    return rows.join(F.broadcast(starts), ["file", "sheet"]).select("file", (F.col("row_no") + F.col("start")).cast("int").alias("row_no"), "cells")
+
+
 def _parts(book: _Archive, names: list[str]) -> None:
     """The parts of a workbook around its sheets."""
     types = "application/vnd.openxmlformats-officedocument.spreadsheetml"

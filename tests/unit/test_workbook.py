@@ -4,10 +4,12 @@ import zipfile
 import zlib
 from datetime import date
 from decimal import Decimal
+from functools import partial
 
 import pytest
 from pyspark.sql import functions as F
 
+from sheafwork.plans import catalog_files
 from sheafwork.sinks import tables, workbook
 from sheafwork.sources import files, xlsx
 
@@ -48,6 +50,15 @@ def test_three_million_rows(spark, tmp_path):
     assert len(found) == 3 and max(r["last"] for r in found) <= 1_048_576 and all(r.e is None for r in found)
 
 
+def test_rows_are_numbered_through_the_sheets(spark, monkeypatch):
+    monkeypatch.setattr(workbook, "SHEET_ROWS", 101)
+    monkeypatch.setattr(workbook, "write", partial(workbook.write, block_rows=40))
+    sf = "/root/testdata/sf0.001"
+    keys = [str(r.o_orderkey) for r in spark.read.parquet(f"{sf}/orders.parquet").orderBy("o_orderkey").select("o_orderkey").collect()]
+    got = sorted((r.row_no, r.orderkey) for r in catalog_files.QUERIES["workbook_round_trip"](spark, sf).collect())
+    assert len(keys) > 1100 and got == list(enumerate(keys, 2))  # more than ten sheets, so that their names don't sort
+
+
 def test_long_texts_are_told(spark, tmp_path):
     df = spark.createDataFrame([("x" * 40_000, date(2026, 9, 1), Decimal("1.50")), ("y" * 32_767, None, None)], "t string, day date, n decimal(10,2)")
     with pytest.warns(UserWarning, match="1 texts are longer"):
