@@ -146,7 +146,8 @@ def projected(spark: SparkSession, rows: DataFrame, sheets: list[tuple[str, str,
     values = F.transform("places", lambda p, k: F.when(k == F.col("fill_at"), given).when(p >= 0, F.get("cells", p)))
     # A row a sheet, made on the driver.
     out = rows.join(F.broadcast(where), KEYS).select(*KEYS, "row_no", "file_order", values.alias("values"))
-    out = out.where(F.exists("values", lambda c: ~is_blank(c)))
+    # A file or sheet may be read by one task; its rows are spread before their values are worked on and kept.
+    out = out.where(F.exists("values", lambda c: ~is_blank(c))).hint("rebalance")
     plain = out.withColumn("plain", normalize_all(F.transform("values", lambda v: v["text"])))
     both = F.zip_with("values", "plain", lambda v, p: F.when(v.isNotNull(), F.struct(v["kind"].alias("kind"), v["text"].alias("text"), p.alias("plain"))))
     return plain.select(*KEYS, "row_no", "file_order", both.alias("values"))

@@ -2,7 +2,9 @@
 
 A grid is a table (file, sheet, row_no, cells array<struct<kind, text>>): every row of a sheet, blank ones too, kind one
 of n (number), d (date, as ISO text), b (boolean) and s (text); an empty cell is null. All sheets of all files are worked
-on at once, split by file and sheet; only a sheet's first rows are ever brought together, for its header.
+on at once, split by file and sheet; only a sheet's first rows are ever brought together, for its header. What is known
+of a sheet is one row of the size of its header; it goes to every executor, so that a sheet's rows stay where they are
+read, however many it has, and never meet in one task.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ KEYS = ["file", "sheet"]
 
 
 def is_blank(cell: Column) -> Column:
-    return cell.isNull() | cell["text"].isNull() | (F.trim(F.regexp_replace(cell["text"], r"[\s　]+", "")) == "")
+    return cell.isNull() | cell["text"].isNull() | ~cell["text"].rlike(r"[^\s　]")
 
 
 def _text(cell: Column) -> Column:
@@ -87,8 +89,9 @@ def trimmed(grid: DataFrame) -> DataFrame:
     """Without blank rows before the first and after the last filled row, and without blank columns; row numbers stay.
     Adds at, the row's place in the trimmed grid."""
     filled = grid.select(*KEYS, "row_no", F.posexplode("cells").alias("place", "cell")).where(~is_blank(F.col("cell")))
-    extent = filled.groupBy(*KEYS).agg(F.min("row_no").alias("first"), F.max("row_no").alias("last"), F.sort_array(F.collect_set("place")).alias("places"))
-    rows = grid.join(extent, KEYS).where(F.col("row_no").between(F.col("first"), F.col("last")))
+    columns = filled.groupBy(*KEYS, "place").agg(F.min("row_no").alias("first"), F.max("row_no").alias("last"))
+    extent = columns.groupBy(*KEYS).agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sort_array(F.collect_list("place")).alias("places"))
+    rows = grid.join(F.broadcast(extent), KEYS).where(F.col("row_no").between(F.col("first"), F.col("last")))
     cells = F.transform("places", lambda p: F.get("cells", p))
     return rows.select(*KEYS, "row_no", (F.col("row_no") - F.col("first")).alias("at"), cells.alias("cells"))
 
@@ -155,7 +158,7 @@ def recovered(grid: DataFrame, scan_rows: int = SCAN_ROWS) -> tuple[DataFrame, D
     cells in the order of names; without blank and total rows. Columns with neither name nor data are left out of
     both."""
     rows = trimmed(grid)
-    placed = rows.join(header_blocks(rows, scan_rows), KEYS)
+    placed = rows.join(F.broadcast(header_blocks(rows, scan_rows)), KEYS)
     top = placed.where(F.col("at") <= F.col("last")).groupBy(*KEYS).agg(
         F.array_sort(F.collect_list(F.struct("at", "row_no", "cells", (F.col("at") >= F.col("first")).alias("header")))).alias("lines")
     )
@@ -173,7 +176,7 @@ def recovered(grid: DataFrame, scan_rows: int = SCAN_ROWS) -> tuple[DataFrame, D
     total = is_total_row(F.col("cells"))
     dropped = body.groupBy(*KEYS).agg(F.count_if(total).alias("dropped"))
     data = body.where(~total).select(*KEYS, "row_no", "cells")
-    used = data.select(*KEYS, F.posexplode("cells").alias("k", "c")).where(~is_blank(F.col("c"))).groupBy(*KEYS).agg(F.collect_set("k").alias("used"))
+    used = data.select(*KEYS, F.posexplode("cells").alias("k", "c")).where(~is_blank(F.col("c"))).select(*KEYS, "k").distinct().groupBy(*KEYS).agg(F.collect_list("k").alias("used"))
     heads = heads.join(dropped, KEYS, "left").join(used, KEYS, "left")
     keep = F.filter(
         F.sequence(F.lit(0), F.size("names") - 1), lambda k: (F.get("names", k) != "") | F.coalesce(F.array_contains(F.col("used"), k), F.lit(False))
@@ -182,7 +185,7 @@ def recovered(grid: DataFrame, scan_rows: int = SCAN_ROWS) -> tuple[DataFrame, D
     sheets = heads.select(
         *KEYS, "header_rows", F.transform("keep", lambda k: F.get("names", k)).alias("names"), "hint", F.coalesce("dropped", F.lit(0)).alias("dropped")
     )
-    out = data.join(heads.select(*KEYS, "keep"), KEYS).select(*KEYS, "row_no", F.transform("keep", lambda k: F.get("cells", k)).alias("cells"))
+    out = data.join(F.broadcast(heads.select(*KEYS, "keep")), KEYS).select(*KEYS, "row_no", F.transform("keep", lambda k: F.get("cells", k)).alias("cells"))
     return sheets, out
 
 
