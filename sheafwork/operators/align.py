@@ -65,9 +65,11 @@ def template_columns(rows: DataFrame) -> list[str]:
 
 def field_samples(samples: DataFrame, fields: DataFrame) -> DataFrame:
     """(field, samples): of each field, those of the first sheet (by file, sheet and place) that has a column of just
-    that name. samples: as by headers.column_samples; fields (field): at most some hundred."""
+    that name. samples: as by headers.column_samples, first_samples or counted_samples, which gives n too; fields
+    (field): at most some hundred."""
+    own = [c for c in samples.columns if c not in (*KEYS, "place", "name")]
     named = samples.join(F.broadcast(fields), F.col("name") == F.col("field"))
-    return named.groupBy("field").agg(F.min_by("samples", F.struct(*KEYS, "place")).alias("samples"))
+    return named.groupBy("field").agg(F.min_by(F.struct(*own), F.struct(*KEYS, "place")).alias("own")).select("field", "own.*")
 
 
 def match_by_rules(columns: list[str], fields: list[str]) -> Mapping:

@@ -191,7 +191,7 @@ def recovered(grid: DataFrame, scan_rows: int = SCAN_ROWS) -> tuple[DataFrame, D
 
 def column_samples(sheets: DataFrame, rows: DataFrame) -> DataFrame:
     """(file, sheet, place, name, samples): each column's distinct filled values, in the order they first occur. All of a
-    column's values meet in one row: first_samples has some of each, however long a column is."""
+    column's values meet in one row: counted_samples and first_samples have some of each, however long a column is."""
     cells = rows.select(*KEYS, "row_no", F.posexplode("cells").alias("place", "cell")).where(~is_blank(F.col("cell")))
     first = cells.groupBy(*KEYS, "place", _text(F.col("cell")).alias("value")).agg(F.min("row_no").alias("row_no"))
     found = first.groupBy(*KEYS, "place").agg(F.array_sort(F.collect_list(F.struct("row_no", "value"))).alias("v"))
@@ -201,6 +201,21 @@ def column_samples(sheets: DataFrame, rows: DataFrame) -> DataFrame:
     )
 
 
+def counted_samples(sheets: DataFrame, rows: DataFrame, most: int) -> DataFrame:
+    """(file, sheet, place, name, n, samples): the number of each column's distinct filled values, and the first most of
+    them. Values are spread by value to be told apart; each task then hands on at most so many a column."""
+    cells = rows.select(*KEYS, "row_no", F.posexplode("cells").alias("place", "cell")).where(~is_blank(F.col("cell")))
+    first = cells.groupBy(*KEYS, "place", _text(F.col("cell")).alias("value")).agg(F.min("row_no").alias("row_no"))
+    counts = first.groupBy(*KEYS, "place").agg(F.count(F.lit(1)).alias("n"))
+    rank = F.row_number().over(Window.partitionBy(*KEYS, "place").orderBy("row_no", "value"))
+    some = first.withColumn("rank", rank).where(F.col("rank") <= most)
+    found = some.groupBy(*KEYS, "place").agg(F.array_sort(F.collect_list(F.struct("rank", "value"))).alias("v"))
+    named = sheets.select(*KEYS, F.posexplode("names").alias("place", "name"))
+    return named.join(counts, [*KEYS, "place"], "left").join(found, [*KEYS, "place"], "left").select(
+        *KEYS, "place", "name", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce(F.transform("v", lambda x: x["value"]), F.array().cast("array<string>")).alias("samples")
+    )
+
+
 def first_samples(sheets: DataFrame, rows: DataFrame, most: int, change: Callable[[Column], Column] | None = None) -> DataFrame:
     """column_samples with at most so many samples a column. change (a mask) is applied before values are compared; what
     it leaves blank is none."""

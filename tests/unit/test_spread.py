@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from sheafwork.operators import headers
+from sheafwork.operators import align, headers
 from sheafwork.plans.consolidate import Engine, Settings
 
 ROWS = 4000
@@ -40,3 +40,13 @@ def test_rows_of_a_sheet_that_one_task_reads_are_spread(big):
     result = Engine(big, Settings(this_year=2026)).from_grids(grid(big, 1))
     assert result.records.count() == ROWS - 1 and most_of_a_task(result.records) < ROWS // 2
     result.close()
+
+
+def test_samples_are_counted_without_meeting_in_a_row(big):
+    sheets, rows = headers.recovered(grid(big, 8))
+    whole = {r.name: r.samples for r in headers.column_samples(sheets, rows).collect()}
+    some = headers.counted_samples(sheets, rows, 5)
+    assert {r.name: (r.n, r.samples) for r in some.collect()} == {name: (len(x), x[:5]) for name, x in whole.items()}
+    assert {r.name: r.n for r in some.collect()} == {"单位": 7, "姓名": ROWS - 1}
+    fields = big.createDataFrame([("姓名",)], "field string")
+    assert [tuple(r) for r in align.field_samples(some, fields).collect()] == [("姓名", ROWS - 1, whole["姓名"][:5])]
